@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from inkbasin.llm import op6_urlglob
 from inkbasin.llm.op1_ctw import op1_ctw_scoring
+from inkbasin.llm.op2_crossparse import op2_cross_parsing
 
 QUERIES = {
     "op1_ctw_scoring": op1_ctw_scoring,
+    "op2_cross_parsing": op2_cross_parsing,
+    "op6_url_globs": op6_urlglob.op6_url_globs,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_globs": op6_urlglob.ORACLE_SQL,
+}
