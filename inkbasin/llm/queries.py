@@ -5,11 +5,13 @@ from __future__ import annotations
 from inkbasin.llm import op6_urlglob
 from inkbasin.llm.op1_ctw import op1_ctw_scoring
 from inkbasin.llm.op2_crossparse import op2_cross_parsing
+from inkbasin.llm.op4_apportion import op4_sainte_lague
 from inkbasin.llm.op7_packing import op7_packing
 
 QUERIES = {
     "op1_ctw_scoring": op1_ctw_scoring,
     "op2_cross_parsing": op2_cross_parsing,
+    "op4_sainte_lague": op4_sainte_lague,
     "op6_url_globs": op6_urlglob.op6_url_globs,
     "op7_packing": op7_packing,
 }
