@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from inkbasin.llm import op6_urlglob
+from inkbasin.llm import op5_segments, op6_urlglob
 from inkbasin.llm.op1_ctw import op1_ctw_scoring
 from inkbasin.llm.op2_crossparse import op2_cross_parsing
+from inkbasin.llm.op3_ivfpq import op3_ivf_pq
 from inkbasin.llm.op4_apportion import op4_sainte_lague
 from inkbasin.llm.op7_packing import op7_packing
 
 QUERIES = {
     "op1_ctw_scoring": op1_ctw_scoring,
     "op2_cross_parsing": op2_cross_parsing,
+    "op3_ivf_pq": op3_ivf_pq,
     "op4_sainte_lague": op4_sainte_lague,
+    "op5_segment_bounds": op5_segments.op5_segment_bounds,
     "op6_url_globs": op6_urlglob.op6_url_globs,
     "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_segment_bounds": op5_segments.ORACLE_SQL,
     "op6_url_globs": op6_urlglob.ORACLE_SQL,
 }
