@@ -10,7 +10,8 @@ The weights depend on counts alone, not on the order of the text, so the tree is
    together with their sums, so these alone go to the driver and back.
 3. Each distinct gram gets its log probability once, and goes back only to the blocks in which it occurs.
 
-Nothing that grows with the corpus is broadcast or collected. Where training never reached a context, the mixture
+Words, for the base score, go the same way, by a 63-bit hash. Nothing that grows with the corpus is broadcast or
+collected. Where training never reached a context, the mixture
 ends at the deepest context that it did reach.
 
 Texts: null is the empty text. Every text ends in an end symbol, byte 0xFF, which UTF-8 never uses; before its start
@@ -21,19 +22,22 @@ the choice of held-out rows. An empty table gives an empty result. Other columns
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkbasin.llm.common import id_text, partitions_for, stored, table
 from inkbasin.llm.grams import KeyTable
+from inkbasin.llm.shingles import word_hashes
 
 END = 0xFF
+GRAM, WORD, DOCS = 0, 1, 2  # kinds of counted rows
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = 1 << 20
+_BATCH = 4 << 20
 _LN2 = math.log(2)
 _HALF = np.array([math.lgamma(i / 2) if i else 0.0 for i in range(64)])
 
@@ -138,6 +142,15 @@ def _joined(texts: list, depth: int):
     return buffer, starts, lengths
 
 
+def _batches(column: pa.ChunkedArray, mask: np.ndarray):
+    """(indexes, lower-cased texts) of the rows where mask holds, some MB at a time."""
+    rows = np.flatnonzero(mask)
+    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy()[rows].astype(np.int64) + 1)
+    for group in np.split(rows, np.flatnonzero(np.diff(size // _BATCH)) + 1):
+        if len(group):
+            yield group, [(t or b"").translate(_LOWER) for t in column.take(pa.array(group)).to_pylist()]
+
+
 def _pieces(buffer: np.ndarray, depth: int):
     """(first position, grams) of stretches of the buffer, which bounds what is held at once."""
     for a in range(depth, len(buffer), _STEP):
@@ -158,49 +171,54 @@ def _scored(a: int, n: int, starts: np.ndarray, lengths: np.ndarray):
     return d, np.maximum(starts[d] - a, 0), np.minimum(starts[d] + lengths[d] + 1 - a, n)
 
 
+def _words(texts: list[bytes]):
+    """63-bit hashes of the words of texts, and how many each text has."""
+    h, counts = word_hashes(texts)
+    return h >> _u(1), counts
+
+
+class _Counted:
+    """Keys with counts."""
+
+    def __init__(self):
+        self.seen, self.n = KeyTable(18), np.zeros(1 << 10, np.int64)
+
+    def add(self, keys: np.ndarray, count: bool) -> None:
+        index = self.seen.index(keys)
+        if self.seen.n + 1 > len(self.n):
+            self.n = np.concatenate([self.n, np.zeros(self.seen.n + 1, np.int64)])
+        if count:
+            add = np.bincount(index, minlength=1)
+            self.n[: len(add)] += add
+
+    def rows(self):
+        return self.seen.keys[1 : self.seen.n + 1].astype(np.int64), self.n[1 : self.seen.n + 1]
+
+
 def _count_block(depth: int):
     def count(block: pa.Table) -> pa.Table:
         number = block["block"][0].as_py()
         held = np.array(block["held_out"].to_pylist(), bool)
-        texts = [(t or b"").translate(_LOWER) for t in block["raw"].to_pylist()]
-        seen, counts = KeyTable(18), np.zeros(1 << 10, np.int64)
-        words: Counter = Counter()
-        asked: set = set()
-        for train in (True, False):
-            own = [t for t, h in zip(texts, held) if h != train]
+        grams, words = _Counted(), _Counted()
+        for train, own in ((train, own) for train in (True, False) for _, own in _batches(block["raw"], held != train)):
             buffer, starts, lengths = _joined(own, depth)
-            for a, grams in _pieces(buffer, depth) if own else ():
-                _, lo, hi = _scored(a, len(grams), starts, lengths)
-                edge = np.zeros(len(grams) + 1, np.int32)
+            for a, g in _pieces(buffer, depth):
+                _, lo, hi = _scored(a, len(g), starts, lengths)
+                edge = np.zeros(len(g) + 1, np.int32)
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, hi, -1)
-                index = seen.index(grams[np.cumsum(edge[:-1]) > 0])
-                if seen.n + 1 > len(counts):
-                    counts = np.concatenate([counts, np.zeros(seen.n + 1, np.int64)])
-                if train:
-                    add = np.bincount(index, minlength=seen.n + 1)
-                    counts[: len(add)] += add
-            for t in own:
-                words.update(t.split()) if train else asked.update(t.split())
-        n_train = int((~held).sum())
-        tokens = list(words) + [w for w in asked if w not in words]
-        grams = seen.keys[1 : seen.n + 1].astype(np.int64)
-        long = pa.int64()
-        return pa.table(
-            {
-                "block": pa.array(np.full(len(grams) + len(tokens) + 1, number, np.int64)),
-                "gram": pa.chunked_array([pa.array(grams), pa.nulls(len(tokens) + 1, long)]),
-                "token": pa.chunked_array([pa.nulls(len(grams), pa.binary()), pa.array(tokens, pa.binary()), pa.nulls(1, pa.binary())]),
-                "n": pa.chunked_array([pa.array(counts[1 : seen.n + 1]), pa.array([words.get(w, 0) for w in tokens], long), pa.array([n_train], long)]),
-            }
-        )
+                grams.add(g[np.cumsum(edge[:-1]) > 0], train)
+            words.add(_words(own)[0], train)
+        (gk, gn), (wk, wn) = grams.rows(), words.rows()
+        kind = np.repeat(np.array([GRAM, WORD, DOCS], np.int8), [len(gk), len(wk), 1])
+        return pa.table({"block": np.full(len(kind), number, np.int64), "kind": kind, "key": np.r_[gk, wk, 0], "n": np.r_[gn, wn, (~held).sum()]})
 
     return count
 
 
 def _top_sums(depth: int):
     def sums(bucket: pa.Table) -> pa.Table:
-        grams, counts = bucket["gram"].to_numpy().astype(np.uint64), bucket["n"].to_numpy()
+        grams, counts = bucket["key"].to_numpy().astype(np.uint64), bucket["n"].to_numpy()
         nodes = weigh(grams[counts > 0], counts[counts > 0], depth, 2)
         out = []
         for bit in range(8):
@@ -216,44 +234,45 @@ def _top_sums(depth: int):
 
 def _gram_scores(depth: int, top):
     def score(bucket: pa.Table) -> pa.Table:
-        grams, counts = bucket["gram"].to_numpy().astype(np.uint64), bucket["n"].to_numpy()
+        grams, counts = bucket["key"].to_numpy().astype(np.uint64), bucket["n"].to_numpy()
         nodes = weigh(grams[counts > 0], counts[counts > 0], depth, 2) | top.value
-        return pa.table({"gram": grams.astype(np.int64), "value": log10_probability(grams, nodes, depth)})
+        return pa.table({"key": grams.astype(np.int64), "value": log10_probability(grams, nodes, depth)})
 
     return score
 
 
 def _score_block(depth: int, end_base: float, end_known: bool):
     def score(docs: pa.Table, values: pa.Table) -> pa.Table:
-        texts = [(t or b"").translate(_LOWER) for t in docs["raw"].to_pylist()]
-        is_gram = pa.compute.is_valid(values["gram"]).to_numpy()
-        grams, value = values["gram"].fill_null(0).to_numpy()[is_gram].astype(np.uint64), values["value"].to_numpy()
-        known = values["known"].to_numpy(zero_copy_only=False)
-        tokens = values["token"].filter(pa.array(~is_gram)).to_pylist()
-        base = dict(zip(tokens, value[~is_gram].tolist()))
-        unknown = {t for t, k in zip(tokens, known[~is_gram].tolist()) if not k}
-        logp = np.concatenate([[0.0], value[is_gram]])
-        seen = KeyTable(18)
-        seen.add(grams)
-        buffer, starts, lengths = _joined(texts, depth)
-        total = np.zeros(len(texts))
-        for a, g in _pieces(buffer, depth):
-            run = np.concatenate([[0.0], np.cumsum(logp[seen.find(g)])])
-            d, lo, hi = _scored(a, len(g), starts, lengths)
-            total[d] += run[hi] - run[lo]
-        n_tokens, n_known, base_score = [], [], []
-        for t in texts:
-            words = t.split()
-            n_tokens.append(len(words) + 1)
-            n_known.append(len(words) - sum(map(unknown.__contains__, words)) + end_known if unknown else len(words) + end_known)
-            base_score.append(math.fsum(map(base.__getitem__, words)) + end_base)
-        bits = -math.log2(10) * total / np.maximum(lengths, 1)
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": total, "bits_per_byte": bits})
+        kind, key, value, known = (values[c].to_numpy() for c in ("kind", "key", "value", "known"))
+        del values
+        tables = []
+        for k in (GRAM, WORD):
+            seen = KeyTable(18)
+            seen.add(key[kind == k].astype(np.uint64))
+            tables.append((seen, np.r_[0.0, value[kind == k]], np.r_[0, known[kind == k]]))
+        del kind, key, value, known
+        (grams, logp, _), (words, base, known) = tables
+        n = docs.num_rows
+        total, base_score = np.zeros(n), np.full(n, end_base)
+        n_tokens, n_known, size = np.ones(n, np.int64), np.full(n, end_known, np.int64), np.zeros(n, np.int64)
+        for rows, texts in _batches(docs["raw"], np.ones(n, bool)):
+            buffer, starts, size[rows] = _joined(texts, depth)
+            for a, g in _pieces(buffer, depth):
+                run = np.r_[0.0, np.cumsum(logp[grams.find(g)])]
+                d, lo, hi = _scored(a, len(g), starts, size[rows])
+                total[rows[d]] += run[hi] - run[lo]
+            hashes, counts = _words(texts)
+            found, of = words.find(hashes), np.repeat(np.arange(len(texts)), counts)
+            n_tokens[rows] += counts
+            n_known[rows] += np.bincount(of, weights=known[found], minlength=len(texts)).astype(np.int64)
+            base_score[rows] += np.bincount(of, weights=base[found], minlength=len(texts))
+        bits = -math.log2(10) * total / np.maximum(size, 1)
+        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": total, "bits_per_byte": bits})
 
     return score
 
 
-def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes: int = 32 << 20, held_out=None) -> DataFrame:
+def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes: int = 24 << 20, held_out=None) -> DataFrame:
     """Score every text of docs (doc_id, text) under a tree learned from the rows that aren't held out.
 
     held_out: a boolean Column; by default crc32 of the id as text, modulo 10, is 0. Returns doc_id, held_out,
@@ -266,27 +285,22 @@ def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes:
     size = rows.agg(F.sum(F.coalesce(F.octet_length("raw"), F.lit(0)) + 64)).first()[0]
     n_blocks = partitions_for(size, block_bytes)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_blocks)))
-    found = stored(rows.groupBy("block").applyInArrow(_count_block(depth), "block long, gram long, token binary, n long"), "ctw-counts")
-
-    grams, tokens = found.filter("gram is not null"), found.filter("token is not null")
-    counts = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
-    words = stored(tokens.groupBy("token").agg(F.sum("n").alias("n")), "ctw-tokens")
-    n_docs = found.filter("gram is null and token is null").agg(F.sum("n")).first()[0] or 0
-    n_words, distinct = words.filter("n > 0").agg(F.sum("n"), F.count("*")).first()
-    train = (n_words or 0) + n_docs
+    found = stored(rows.groupBy("block").applyInArrow(_count_block(depth), "block long, kind byte, key long, n long"), "ctw-counts")
+    counts = stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-sums")
+    totals = {r[0]: r[1:] for r in counts.groupBy("kind").agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count("*")).collect()}
+    n_docs, n_words, distinct = (totals.get(DOCS, (0,))[0], *totals.get(WORD, (0, 0))[:2])
+    train = n_words + n_docs
     whole = train + 0.1 * (distinct + (n_docs > 0) + 1)
 
-    near = F.expr(f"shiftrightunsigned(gram, {8 * (depth - 1)})")
-    buckets = counts.withColumn("bucket", F.pmod(F.xxhash64(near), F.lit(partitions_for(counts.count(), 1 << 18))))
+    near = F.expr(f"shiftrightunsigned(key, {8 * (depth - 1)})")
+    buckets = counts.filter(F.col("kind") == GRAM).withColumn("bucket", F.pmod(F.xxhash64(near), F.lit(partitions_for(totals.get(GRAM, (0, 0, 0))[2], 1 << 18))))
     sums = buckets.groupBy("bucket").applyInArrow(_top_sums(depth), "bit int, node long, zeros double, ones double, below double")
     top = weigh_top([(r.bit, r.node, r.zeros, r.ones, r.below) for r in sums.groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()])
     sent = spark.sparkContext.broadcast(top)
-    scored = buckets.groupBy("bucket").applyInArrow(_gram_scores(depth, sent), "gram long, value double")
-    base = words.select("token", F.log10((F.col("n") + 0.1) / F.lit(whole)).alias("value"), (F.col("n") > 0).alias("known"))
-
-    none = F.lit(None)
-    values = grams.join(scored, "gram").select("block", "gram", none.cast("binary").alias("token"), "value", F.lit(True).alias("known"))
-    values = values.unionAll(tokens.join(base, "token").select("block", none.cast("long").alias("gram"), "token", "value", "known"))
+    scored = buckets.groupBy("bucket").applyInArrow(_gram_scores(depth, sent), "key long, value double")
+    scored = scored.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value", F.lit(1).cast("byte").alias("known"))
+    base = counts.filter(F.col("kind") == WORD).select("kind", "key", F.log10((F.col("n") + 0.1) / F.lit(whole)).alias("value"), (F.col("n") > 0).cast("byte").alias("known"))
+    values = found.filter(F.col("kind") != DOCS).select("block", "kind", "key").join(scored.unionAll(base), ["kind", "key"])
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     end = math.log10((n_docs + 0.1) / whole)
     result = rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(depth, end, n_docs > 0), out)

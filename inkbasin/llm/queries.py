@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from inkbasin.llm import op5_segments, op6_urlglob
+from inkbasin.llm.op10_sigtree import op10_signature_trees
 from inkbasin.llm.op1_ctw import op1_ctw_scoring
 from inkbasin.llm.op2_crossparse import op2_cross_parsing
 from inkbasin.llm.op3_ivfpq import op3_ivf_pq
 from inkbasin.llm.op4_apportion import op4_sainte_lague
 from inkbasin.llm.op7_packing import op7_packing
+from inkbasin.llm.op8_surrogates import op8_surrogates
+from inkbasin.llm.op9_bwt import op9_interval_expansion
 
 QUERIES = {
     "op1_ctw_scoring": op1_ctw_scoring,
@@ -17,6 +20,9 @@ QUERIES = {
     "op5_segment_bounds": op5_segments.op5_segment_bounds,
     "op6_url_globs": op6_urlglob.op6_url_globs,
     "op7_packing": op7_packing,
+    "op8_surrogates": op8_surrogates,
+    "op9_interval_expansion": op9_interval_expansion,
+    "op10_signature_trees": op10_signature_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
