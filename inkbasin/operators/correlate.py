@@ -7,13 +7,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from inkbasin import rules
 from inkbasin.functions.arrays import dedupe, jaccard, merged_overlays
 from inkbasin.functions.text import extension, normalize_stem, pair_hash, session_id, stem_prefix, words
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings; names repeat, so each pair is computed once a batch."""
     seen: dict = {}
