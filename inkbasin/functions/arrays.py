@@ -47,9 +47,10 @@ def capped(items: Column, kind: str) -> Column:
 
 
 def tags(products: Column, topics: Column, domains: Column, client: Column, doc_type: Column, source_type: Column) -> Column:
-    parts = []
-    for prefix, items in (("product", products), ("topic", topics), ("domain", domains)):
-        parts.append(F.transform(listed(items), lambda x, p=prefix: F.concat(F.lit(p + "/"), normalize_tag(x))))
+    def prefixed(prefix: str, items: Column) -> Column:
+        return F.transform(listed(items), lambda x: F.concat(F.lit(prefix + "/"), normalize_tag(x)))
+
+    parts = [prefixed(*x) for x in (("product", products), ("topic", topics), ("domain", domains))]
     for prefix, one in (("client", client), ("type", doc_type), ("source", source_type)):
         there = F.coalesce(one, F.lit("")) != ""
         parts.append(F.when(there, F.array(F.concat(F.lit(prefix + "/"), normalize_tag(one)))).otherwise(F.array().cast(EMPTY)))

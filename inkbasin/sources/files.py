@@ -11,7 +11,7 @@ from inkbasin.functions.classify import scan_tier, text_quality
 from inkbasin.functions.text import extension, file_name, frontmatter, pdf_month
 
 HASH_LIMIT = 500 << 20
-MANIFEST = T.StructType.fromDDL("schema_version int, project string, output_dir string, config map<string,string>, files array<struct<id string, path string, doc_type string, name string, client string, project string, user_context string>>")
+MANIFEST = ("schema_version int, project string, output_dir string, config map<string,string>, files array<struct<id string, path string, doc_type string, name string, client string, project string, user_context string>>")
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True, content: bool = False) -> DataFrame:
@@ -45,7 +45,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text, chars and quality of text files; CSV rows as cells joined by ` | `, without blank rows."""
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.btrim(x, F.lit(" ,")) != "")
-    rows = F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, ","), F.trim), " | "))
+    rows = F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, ","), lambda c: F.trim(c)), " | "))
     text = F.when(extension(F.col("path")) == ".csv", F.array_join(rows, "\n")).otherwise(F.col("text"))
     return files.withColumn("text", text).withColumn("chars", F.length("text")).withColumn("quality", text_quality(F.col("chars"), F.lit(0)))
 
