@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +44,7 @@ def scanned(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text, chars and quality of text files; CSV rows as cells joined by ` | `, without blank rows."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.btrim(x, F.lit(" ,")) != "")
     rows = F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, ","), lambda c: F.trim(c)), " | "))
     text = F.when(extension(F.col("path")) == ".csv", F.array_join(rows, "\n")).otherwise(F.col("text"))
@@ -86,7 +87,7 @@ def status(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes of packages without index, synthesis, transcripts and session notes: path, frontmatter block, text."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     name = file_name(F.col("path"))
     kept = files.filter(name.endswith(".md") & ~name.rlike(r"^(index|synthesis)\.md$|_transcript\.md$|^session_"))
     return kept.withColumn("frontmatter", frontmatter(F.col("text")))
@@ -94,8 +95,6 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
 
 def yaml_values(notes_: DataFrame) -> DataFrame:
     """The frontmatter of notes as VARIANT; a bad or missing block is an empty object."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def as_json(blocks: pd.Series) -> pd.Series:
         import json
