@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -30,11 +31,32 @@ from inkbasin.llm.common import partitions_for, stored, table
 
 SIZE = 2048
 END_ID = 1
-_CACHED_WORDS = 400_000  # the cache of a task is emptied there; words met later are encoded again
+_CACHED_WORDS = 500_000  # the cache of a worker process is emptied there; words met later are encoded again
+
+
+#: Words that normalising only lower-cases, as letters of one pre-token, with ASCII marks after them as another.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_characters() -> str:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    out, spare = [], 256
+    for b in range(256):
+        printable = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if printable else spare))
+        spare += not printable
+    return "".join(out)
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.
+
+    Plain words go straight to the tokenizer's model, all others through its whole chain; both are kept for the next
+    time. A tokenizer that doesn't encode word by word gets whole texts.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -43,24 +65,68 @@ class WordEncoder:
         self.special = re.compile("|".join(map(re.escape, sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
         self.end = np.array([end_id], "<u4").tobytes()
         self.words: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_word = encode("The cat, \t\nÉtat") == encode("the") + encode("cat") + encode(",") + encode("état")
+        self.plain = self.by_word and all(encode(w) == self._model(w) for w in ("a", "the", "zebras", "qxqxz", "été"))
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, word: str) -> list[int]:
+        return [x.id for x in self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(_BYTE_CHARACTERS))]
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        plain = _PLAIN.fullmatch(text) if self.plain else None
+        if not plain:
+            return self._encode(text)
+        letters, marks = plain.groups()
+        letters = letters.lower()
+        key = letters.encode("utf-8")
+        out = self.words.get(key)  # met with other marks or capitals
+        if out is None:
+            out = self.words[key] = array("I", self._model(letters)).tobytes()
+        return out + self._marks(marks) if marks else out
+
+    def _marks(self, marks: str) -> bytes:
+        key = marks.encode()
+        if key not in self.words:
+            self.words[key] = self._encode(marks)
+        return self.words[key]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # bytes split at ASCII white space alone, which is what the tokenizer always drops; a special token may span words
-        split = [None if self.special.search(t) else t.encode("utf-8").split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.words})
-        if len(self.words) + len(new) > _CACHED_WORDS:
-            self.words.clear()
-            new = list({w for words in split if words for w in words})
-        self.words.update(zip(new, self._encode([w.decode("utf-8") for w in new])))
-        return [(self._encode([t])[0] if words is None else b"".join(map(self.words.__getitem__, words))) + self.end for t, words in zip(texts, split)]
+        out = []
+        for t in texts:
+            if not self.by_word or self.special.search(t):  # a special token may span words
+                out.append(self._encode(t) + self.end)
+                continue
+            # bytes split at ASCII white space alone, which is what the tokenizer always drops
+            words = t.encode("utf-8").lower().split()
+            known = self.words
+            for w in words:
+                if w not in known:
+                    if len(known) >= _CACHED_WORDS:
+                        kept = {x: known[x] for x in words if x in known}
+                        known.clear()
+                        known.update(kept)
+                    known[w] = self._word(w)
+            out.append(b"".join(map(known.__getitem__, words)) + self.end)
+        return out
+
+
+_encoders: dict = {}
+
+
+def _encoder(path: str, end_id: int) -> WordEncoder:
+    """One for all tasks of a worker process."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = WordEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _pieces(path: str, size: int, end_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        encoder = _encoder(path, end_id)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a in range(0, len(texts), 256):
