@@ -65,9 +65,14 @@ def _best(q: np.ndarray, rid: np.ndarray, score: np.ndarray, k: int):
 
 
 def top(x: np.ndarray, rid: np.ndarray, queries: np.ndarray, query_rid: np.ndarray, k: int):
-    """(query's index, rid, score) of each query's k best rows other than itself, and the pairs scored exactly."""
-    order = np.argsort(-(x**2).sum(1), kind="stable")  # long vectors first: thresholds rise early
+    """(query's index, rid, score) of each query's k best rows other than itself, and the pairs scored exactly.
+
+    Rows come in steps, long vectors first, so that thresholds rise early. Many survivors of a step are scored by one
+    matrix product, few pair by pair; only scores that reach the threshold are kept and sorted.
+    """
+    order = np.argsort(-(x**2).sum(1), kind="stable")
     x, rid = x[order], rid[order]
+    small = len(x) and float(np.abs(x).max()) * float(np.abs(queries).max(initial=0)) * x.shape[1] < 2.0**53
     mine = [statistics(queries, s) for s in LEVELS]
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     least = np.full(len(queries), -np.inf)
@@ -77,19 +82,27 @@ def top(x: np.ndarray, rid: np.ndarray, queries: np.ndarray, query_rid: np.ndarr
         open_ = query_rid[:, None] != ids
         for own, segments in zip(mine, LEVELS):
             qs, rows = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-            if not len(qs):
+            if not len(qs) or not a:  # nothing is known yet in the first step
                 break
             bound = upper_bounds(statistics(part[rows], segments), own[qs])
-            open_[np.ix_(qs, rows)] &= bound * (1 + 1e-9) + 1e-6 + 1e-9 * abs(bound) >= least[qs, None]
-        q, r = np.nonzero(open_)
-        scored += len(q)
-        for b in range(0, len(q), 1 << 17):
-            qb, rb = q[b : b + (1 << 17)], r[b : b + (1 << 17)]
-            new = (qb, ids[rb], _exact(part[rb], queries[qb]))
-            found = _best(*(np.concatenate(p) for p in zip(found, new)), k)
-        count = np.bincount(found[0], minlength=len(queries))
-        last = np.cumsum(count) - 1
-        least = np.where(count == k, found[2][np.maximum(last, 0)] if len(found[2]) else -np.inf, -np.inf)
+            bound += 1e-6 + 1e-9 * np.abs(bound)
+            open_[np.ix_(qs, rows)] &= bound >= least[qs, None]
+        scored += int(open_.sum())
+        if small and open_.mean() > 0.02:
+            s = np.where(open_, queries @ part.T, -np.inf)
+            if not a and len(part) > k:
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+            q, r = np.nonzero((s >= least[:, None]) & open_)
+            s = s[q, r].astype(np.int64)
+        else:
+            q, r = np.nonzero(open_)
+            s = np.concatenate([_exact(part[r[b : b + (1 << 16)]], queries[q[b : b + (1 << 16)]]) for b in range(0, len(q), 1 << 16)] or [np.zeros(0, np.int64)])
+            keep = s >= least[q]
+            q, r, s = q[keep], r[keep], s[keep]
+        if len(q):
+            found = _best(*(np.concatenate(p) for p in zip(found, (q, ids[r], s))), k)
+            count = np.bincount(found[0], minlength=len(queries))
+            least = np.where(count == k, found[2][np.maximum(np.cumsum(count) - 1, 0)], -np.inf)
     return found, scored
 
 
