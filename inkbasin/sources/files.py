@@ -16,7 +16,7 @@ MANIFEST = ("schema_version int, project string, output_dir string, config map<s
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True, content: bool = False) -> DataFrame:
-    """path, size, modified (and content) of all files below a folder; the content column is pruned unless asked for."""
+    """path, size, modified (and content) of all files below a folder that aren't empty, which Spark leaves out of every source."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     out = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
     return out.withColumn("relative", F.regexp_replace("path", r"^.*?" + _quoted(path) + r"/?", ""))
