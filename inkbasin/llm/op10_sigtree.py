@@ -14,9 +14,10 @@ up to collisions of 64-bit hashes of shingles.
    common plus the smaller excess, is too small for the sizes, or if all below are joined already. Pairs of leaves
    that remain are compared exactly.
    First, each class is in the cell of its smallest shared shingle, which joins nearly all near copies to a group.
-   Then every shingle that different groups share makes a cell, one for all shingles with the same members, dealt by
-   size band (a partner's size is within 1.25). A cell of more than `cell_rows` members is split into a grid, so that
-   every pair of members still meets in one.
+   Then classes that share enough with other groups are dealt anew: every shingle that different groups share makes a
+   cell, one for all shingles with the same members, by size band (a partner's size is within 1.25). Here members come
+   with their bitmaps alone, and the sets of the pairs that remain are compared afterwards. A cell of more than
+   `cell_rows` members is split into a grid, so that every pair of members still meets in one.
 4. Connected components of the links found, without collecting any.
 
 n_shingles counts the set. A text that is null or has no word has an empty set and links with nothing. Repeated rows
@@ -26,6 +27,7 @@ gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import partitions_for, row_keys, stored, table
+from inkbasin.llm.common import release, row_keys, stored, table
 from inkbasin.llm.components import components
 from inkbasin.llm.shingles import mixed, shingle_sets
 
@@ -138,10 +140,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["h", "k1", "first"])
 
 
+def band_of(n: int) -> int:
+    """Sizes of partners lie in the same band or a neighbouring one."""
+    return int(math.log(n) / math.log(1.25) + 1e-9)
+
+
+def band_bits(band: int) -> int:
+    """Bits of the bitmaps of a band: about four for each shingle."""
+    return 1 << min(17, max(6, int(4 * 1.25 ** (band + 1)).bit_length()))
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, np.uint64)
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of classes, their band, and their bitmaps for that band and the next."""
     for batch in batches:
         for rows, texts in _raw_runs(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("k1").slice(rows[0], len(rows)), batch.column("key").slice(rows[0], len(rows)), _lists(shingle_sets(texts))], names=["k1", "key", "s"])
+            sets = shingle_sets(texts)
+            bands = [band_of(len(s)) for s in sets]
+            maps = [pa.array([bitmap(s, band_bits(b + up)).tobytes() for s, b in zip(sets, bands)], pa.binary()) for up in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("k1").slice(rows[0], len(rows)), batch.column("key").slice(rows[0], len(rows)), _lists(sets), pa.array(bands, pa.int64()), *maps], names=["k1", "key", "s", "band", "own", "up"])
 
 
 class Forest:
@@ -168,13 +191,8 @@ class Forest:
 class SignatureTree:
     """Bitmaps, sizes and excess of members; levels of nodes above them."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        words = bits // 64
-        self.size = np.array([len(s) for s in sets], np.int64)
-        self.map = np.zeros((len(sets), words), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(self.map[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    def __init__(self, size: np.ndarray, maps: np.ndarray):
+        self.size, self.map = size, maps
         self.excess = self.size - np.bitwise_count(self.map).sum(1)
 
     def build(self, order: np.ndarray, roots: np.ndarray) -> None:
@@ -225,9 +243,9 @@ def join_cell(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     forest = Forest(labels)
     if len(sets) < 2:
         return forest.roots()
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
     bits = 1 << min(15, max(6, int(4 * np.median(size)).bit_length()))
-    tree = SignatureTree(sets, bits)
+    tree = SignatureTree(size, np.stack([bitmap(x, bits) for x in sets]))
 
     def leaders(todo: np.ndarray) -> None:
         """Stars: members that link with the first that is left join it. Large groups of near copies fall at once."""
@@ -266,6 +284,27 @@ def _join(cell: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _candidates(cell: pa.Table) -> pa.Table:
+    """Pairs of members of different groups that the trees can't rule out; two of the lower band meet elsewhere."""
+    k, label, n, lower = (cell[c].to_numpy(zero_copy_only=False) for c in ("k1", "label", "n", "lower"))
+    tree = SignatureTree(n.astype(np.int64), np.stack([np.frombuffer(m, "<u8") for m in cell["map"].to_pylist()]))
+    _, roots = np.unique(label, return_inverse=True)
+    tree.build(np.lexsort((n, roots)), roots.astype(np.int64))
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in tree.pairs():
+        keep = (label[a] != label[b]) & ~(lower[a] & lower[b])
+        out.append(np.sort(np.stack([k[a[keep]], k[b[keep]]], 1), axis=1))
+    pairs = np.concatenate(out)
+    return pa.table({"ka": pairs[:, 0], "kb": pairs[:, 1]})
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (_arrays(pa.chunked_array([batch.column(c)])) for c in ("sa", "sb"))
+        keep = pa.array([linked(a, b) for a, b in zip(x, y)], pa.bool_())
+        yield batch.select(["a", "b"]).filter(keep)
+
+
 def _cells(members: DataFrame, by: list[str], cell_rows: int) -> DataFrame:
     """Split keys with over cell_rows members into a grid: a member of part p goes to cells {p, j} for every j."""
     sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / cell_rows).cast("long").alias("_parts")).filter("_parts > 1")
@@ -287,27 +326,36 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096) ->
     found = shared.groupBy("k1").agg(F.count("*").alias("met"), F.min(F.when(F.col("first"), F.col("h"))).alias("key"))
     need = F.greatest(F.lit(1), F.expr("((4 * n + 4) div 5) div 20"))
     open_ = found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key").isNotNull()).select("k1", "rep", "key")
-    sets = stored(raw.join(open_, raw["_rid"] == open_["rep"]).select("k1", "key", "raw").mapInArrow(_sets, "k1 long, key long, s array<long>"), "jaccard-sets")
+    schema = "k1 long, key long, s array<long>, band long, own binary, up binary"
+    sets = stored(raw.join(open_, raw["_rid"] == open_["rep"]).select("k1", "key", "raw").mapInArrow(_sets, schema), "jaccard-sets")
 
-    first = sets.withColumn("label", F.col("k1"))
-    alone = first.groupBy("key").count().filter("count > 1").select("key")
-    first = first.join(alone, "key")
+    first = sets.select("k1", "key", "s", F.col("k1").alias("label"))
+    first = first.join(first.groupBy("key").count().filter("count > 1").select("key"), "key")
     near = stored(_cells(first, ["key"], cell_rows).groupBy("key", "cell_i", "cell_j").applyInArrow(_join, "a long, b long"), "jaccard-first")
     group = stored(components(near), "jaccard-groups")
-    labelled = sets.join(group, sets["k1"] == group["node"], "left").select("k1", "s", F.coalesce("component", "k1").alias("label"))
-    labels = stored(labelled.select("k1", "label", F.size("s").alias("n")), "jaccard-labels")
-
-    marks = shared.filter("first").join(labels, "k1").select("h", "k1", "label", "n")
-    members = marks.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sig")).filter("low <> high")
-    chosen = members.groupBy("m", "sig").agg(F.min("h").alias("h")).select("h")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1.25).item())).cast("long")
-    dealt = marks.join(chosen, "h").select("h", "k1", F.explode(F.array(band, band + 1)).alias("band"))
+    labels = sets.join(group, sets["k1"] == group["node"], "left").select("k1", "band", "own", "up", F.coalesce("component", "k1").alias("label"), F.size("s").alias("n"))
+    labels = stored(labels, "jaccard-labels")
+
+    # what is shared with another group only; classes with too little of that are done
+    marks = shared.join(labels.select("k1", "label", "n"), "k1")
+    spread = lambda rows: rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sig")).filter("low <> high")
+    marks = stored(marks.join(spread(marks).select("h"), "h"), "jaccard-marks")
+    still = marks.groupBy("k1", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= need).select("k1")
+    marks = marks.filter("first").join(still, "k1")
+    chosen = spread(marks).groupBy("m", "sig").agg(F.min("h").alias("h")).select("h")
+    members = marks.join(chosen, "h").select("h", "k1").join(labels.select("k1", "band"), "k1")
+    dealt = members.select("h", "k1", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     several = dealt.groupBy("h", "band").count().filter("count > 1").select("h", "band")
     dealt = _cells(dealt.join(several, ["h", "band"]), ["h", "band"], cell_rows)
-    cells = dealt.join(labelled, "k1").select("h", "band", "cell_i", "cell_j", "label", "s")
-    more = stored(cells.groupBy("h", "band", "cell_i", "cell_j").applyInArrow(_join, "a long, b long"), "jaccard-more")
-
-    joined = components(near.unionAll(more))
+    lower = F.col("cell_band") > F.col("band")
+    cells = dealt.withColumnRenamed("band", "cell_band").join(labels, "k1").select("h", "cell_band", "cell_i", "cell_j", "k1", "label", "n", lower.alias("lower"), F.when(lower, F.col("up")).otherwise(F.col("own")).alias("map"))
+    pairs = stored(cells.groupBy("h", "cell_band", "cell_i", "cell_j").applyInArrow(_candidates, "ka long, kb long").distinct(), "jaccard-pairs")
+    one = sets.select("k1", "s").join(labels.select("k1", "label"), "k1")
+    both = pairs.join(one.select(F.col("k1").alias("ka"), F.col("label").alias("a"), F.col("s").alias("sa")), "ka").join(one.select(F.col("k1").alias("kb"), F.col("label").alias("b"), F.col("s").alias("sb")), "kb")
+    more = stored(both.select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long").distinct(), "jaccard-more")
+
+    joined = stored(components(near.unionAll(more)), "jaccard-joined")
+    release(spark)
     # components speak of classes; a group is named by the smallest row of its classes
     named = classes.join(joined, classes["k1"] == joined["node"]).select("k1", "k2", "rep", F.col("component").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least"))

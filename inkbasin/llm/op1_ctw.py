@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import id_text, partitions_for, stored, table
+from inkbasin.llm.common import id_text, partitions_for, release, stored, table
 from inkbasin.llm.grams import KeyTable
 from inkbasin.llm.shingles import word_hashes
 
@@ -272,7 +272,7 @@ def _score_block(depth: int, end_base: float, end_known: bool):
     return score
 
 
-def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes: int = 24 << 20, held_out=None) -> DataFrame:
+def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes: int = 36 << 20, held_out=None) -> DataFrame:
     """Score every text of docs (doc_id, text) under a tree learned from the rows that aren't held out.
 
     held_out: a boolean Column; by default crc32 of the id as text, modulo 10, is 0. Returns doc_id, held_out,
@@ -303,6 +303,7 @@ def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes:
     values = found.filter(F.col("kind") != DOCS).select("block", "kind", "key").join(scored.unionAll(base), ["kind", "key"])
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     end = math.log10((n_docs + 0.1) / whole)
+    release(spark)
     result = rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(depth, end, n_docs > 0), out)
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 

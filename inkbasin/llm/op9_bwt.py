@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import partitions_for, row_keys, stored, table
+from inkbasin.llm.common import partitions_for, release, row_keys, stored, table
 from inkbasin.llm.shingles import _BYTE, mixed, powers
 
 ANCHOR = 32
@@ -307,6 +307,7 @@ def op9_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digests(spark: SparkSession, docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text, _rid)."""
     marks = repeated_bytes(spark, docs, least).groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
+    release(spark)
     raw = docs.select("_rid", F.col("text").cast("binary").alias("raw"))
     found = raw.join(marks, raw["_rid"] == marks["rid"], "left").select("_rid", "raw", "marks")
     found = found.mapInArrow(_cut(least), "_rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
