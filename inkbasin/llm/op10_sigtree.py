@@ -13,7 +13,8 @@ up to collisions of 64-bit hashes of shingles.
    together: a pair of nodes goes no further if the sizes are too far apart, if the largest possible overlap, bits in
    common plus the smaller excess, is too small for the sizes, or if all below are joined already. Pairs of leaves
    that remain are compared exactly.
-   First, each class is in the cell of its smallest shared shingle, which joins nearly all near copies to a group.
+   First, each class is in the cell of its smallest shared shingle, then in two cells by other orders if other groups
+   are there, which joins nearly all near copies to a group.
    Then classes that share enough with other groups are dealt anew: every shingle that different groups share makes a
    cell, one for all shingles with the same members, by size band (a partner's size is within 1.25). Here members come
    with their bitmaps alone, and the sets of the pairs that remain are compared afterwards. A cell of more than
@@ -323,15 +324,26 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096) ->
     shared = entries.repartition("h").sortWithinPartitions("h", "k1").mapInArrow(_shared, "h long, k1 long, first boolean")
     shared = stored(shared, "jaccard-shared")
 
-    found = shared.groupBy("k1").agg(F.count("*").alias("met"), F.min(F.when(F.col("first"), F.col("h"))).alias("key"))
+    # one key for the first round and two more for the second: each is the least shingle under another order
+    first = F.when(F.col("first"), F.col("h"))
+    keys = [F.min(first).alias("key"), *(F.min_by(first, F.when(F.col("first"), F.xxhash64("h", F.lit(r)))).alias(f"key{r}") for r in (1, 2))]
+    found = shared.groupBy("k1").agg(F.count("*").alias("met"), *keys)
     need = F.greatest(F.lit(1), F.expr("((4 * n + 4) div 5) div 20"))
-    open_ = found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key").isNotNull()).select("k1", "rep", "key")
+    open_ = stored(found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key").isNotNull()).select("k1", "rep", "key", "key1", "key2"), "jaccard-open")
     schema = "k1 long, key long, s array<long>, band long, own binary, up binary"
     sets = stored(raw.join(open_, raw["_rid"] == open_["rep"]).select("k1", "key", "raw").mapInArrow(_sets, schema), "jaccard-sets")
 
-    first = sets.select("k1", "key", "s", F.col("k1").alias("label"))
-    first = first.join(first.groupBy("key").count().filter("count > 1").select("key"), "key")
-    near = stored(_cells(first, ["key"], cell_rows).groupBy("key", "cell_i", "cell_j").applyInArrow(_join, "a long, b long"), "jaccard-first")
+    def round_of(members: DataFrame, name: str) -> DataFrame:
+        """Links between labels, found in cells of members (k1, key, label); cells with one label have none."""
+        mixed_ = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        cells = _cells(members.join(mixed_, "key"), ["key"], cell_rows).join(sets.select("k1", "s"), "k1")
+        return stored(cells.groupBy("key", "cell_i", "cell_j").applyInArrow(_join, "a long, b long"), name)
+
+    near = round_of(open_.select("k1", "key", F.col("k1").alias("label")), "jaccard-first")
+    # a class that was joined to another one takes its name; that needn't be the last name of its group yet
+    named = near.groupBy("a").agg(F.min("b").alias("b"))
+    second = open_.select("k1", F.explode(F.array("key1", "key2")).alias("key")).distinct().join(named, F.col("k1") == F.col("a"), "left")
+    near = near.unionAll(round_of(second.select("k1", "key", F.coalesce("b", "k1").alias("label")), "jaccard-second"))
     group = stored(components(near), "jaccard-groups")
     labels = sets.join(group, sets["k1"] == group["node"], "left").select("k1", "band", "own", "up", F.coalesce("component", "k1").alias("label"), F.size("s").alias("n"))
     labels = stored(labels, "jaccard-labels")
