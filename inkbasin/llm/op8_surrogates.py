@@ -7,12 +7,12 @@ other values get others (distinctness), and kind, gender, script and format stay
   positions that may change: card numbers keep length, separators, issuer digit and a valid check digit, phone numbers
   the country code and punctuation, addresses their public or private range, IBANs the country and a valid check
   number, e-mail addresses and secrets the class of every character.
-- Names after a title, or a known given name with a family name, become a given name of the same gender and a family
-  name of syllables in the same script.
+- Names after a title, or a known given name with a family name, become a given name with an ending of the same gender
+  and a family name, both of syllables in the same script.
 
 Replacements are made where the text is, by computation alone. A table of the distinct values of the corpus is checked
-for collisions: two values with one replacement, or a replacement that is itself a value of the corpus. All but one
-value (the smallest) of a collision are drawn again until none is left. Those few exceptions go to the texts: as a
+for collisions: two values with one replacement, or a replacement that is itself a value of the corpus (given and
+family names count as one kind here). All but one value (the smallest) of a collision are drawn again until none is left. Those few exceptions go to the texts: as a
 list if there are at most `most_sent`, else by a join on the row.
 
 A null text stays null, an empty one stays empty. Rows with equal or null ids, repeated rows, empty tables and very
@@ -39,6 +39,9 @@ OTHER_TITLES = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Доктор")
 MALE = ("James", "Robert", "Michael", "David", "Thomas", "Daniel", "Matthew", "Andrew", "Hans", "Klaus", "Jürgen", "Pierre", "Jacques", "François", "Carlos", "José", "Javier", "Иван", "Сергей", "Дмитрий")
 FEMALE = ("Mary", "Patricia", "Jennifer", "Elizabeth", "Susan", "Sarah", "Karen", "Emily", "Ursula", "Greta", "Heidi", "Marie", "Camille", "Chloé", "Carmen", "Lucía", "Isabel", "Анна", "Мария", "Ольга")
 SYLLABLES = {"LATIN": ("ba", "den", "for", "gra", "hol", "kin", "lam", "mor", "nel", "pas", "ril", "sten", "tor", "ver", "wick", "zan"), "CYRILLIC": ("ба", "ден", "гор", "зар", "кин", "лом", "мир", "нел", "пар", "рил", "сте", "тор", "вер", "жан", "чик", "шин")}
+#: What given names end with, by script and gender.
+ENDINGS = {"LATIN": {"male": "o", "female": "a"}, "CYRILLIC": {"male": "ий", "female": "ия"}}
+_NAMES = ("male", "female", "family")
 
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERNS = {
@@ -132,15 +135,13 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return f"{value[:2]}{98 - rest % 97:02d}{new}"
     if kind == "secret":
         return _swap(key, tweak, value, alphabet="0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", value) else None)
-    if kind in ("male", "female"):
-        pool = [n for n in (MALE if kind == "male" else FEMALE) if n != value and _script(n) == _script(value)]
-        return pool[_number(key, tweak, value) % len(pool)]
-    parts = SYLLABLES[_script(value)]
+    script = _script(value)
+    parts, ending = SYLLABLES[script], ENDINGS[script].get(kind, "")
     n, out = _number(key, tweak, value), ""
-    for _ in range(4):
+    for _ in range(3 + attempt if ending else 4):  # given names: more of them with every attempt
         n, i = divmod(n, len(parts))
         out += parts[i]
-    return out.capitalize()
+    return (out + ending).capitalize()
 
 
 def _tokens(kind: str, found: str):
@@ -230,14 +231,13 @@ def attempts(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> DataFrame:
     new = _new(key)
     now = stored(values.withColumn("attempt", F.lit(0)).withColumn("new", new("kind", "value", "attempt")), "surrogates")
     for _ in range(rounds):
-        # given names come from a short list, shared on purpose; all other replacements have to be distinct and new
-        held = now.filter(~F.col("kind").isin("male", "female"))
+        held = now.withColumn("domain", F.when(F.col("kind").isin(*_NAMES), "name").otherwise(F.col("kind")))
         # a replacement is kept by the value that has had it longest, so that one drawn again gives way
-        order = F.struct("attempt", "value")
-        first = held.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(order).alias("keep"))
-        shared = first.filter("n > 1").select("kind", "new", F.col("keep.value").alias("keep"))
-        twice = held.join(shared, ["kind", "new"]).filter("value <> keep").select("kind", "value")
-        taken = held.select("kind", "value", "new").join(held.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi").select("kind", "value")
+        order = F.struct("attempt", "value", "kind")
+        first = held.groupBy("domain", "new").agg(F.count("*").alias("n"), F.min(order).alias("keep"))
+        shared = first.filter("n > 1").select("domain", "new", "keep")
+        twice = held.join(shared, ["domain", "new"]).filter("value <> keep.value or kind <> keep.kind").select("kind", "value")
+        taken = held.select("domain", "kind", "value", "new").join(held.select("domain", F.col("value").alias("new")), ["domain", "new"], "left_semi").select("kind", "value")
         bad = stored(twice.unionAll(taken).distinct(), "collisions")
         if not bad.take(1):
             break

@@ -389,6 +389,17 @@ def test_surrogates_distinct(spark, monkeypatch):
         assert len({op8_surrogates.surrogate(op8_surrogates.KEY, kind, v) for v in values}) == len(values)
 
 
+def test_given_names_distinct(spark):
+    """Persons who share a family name stay apart, and no made-up name is one of the corpus."""
+    latin = [f"{a}{b}" for a in ("Al", "Be", "Co", "Du", "Er") for b in ("bin", "cor", "dan", "fred", "gar", "hart", "kin", "mund")] + ["James", "Robert"]
+    cyrillic = [f"{a}{b}" for a in ("Ал", "Бо", "Ви") for b in ("бин", "кор", "дан", "фред")] + ["Иван", "Сергей", "Дмитрий"]
+    persons = [f"{t} {n} {f}" for t, names, f in (("Mr", latin, "Hill"), ("Mrs", latin, "Hill"), ("Господин", cyrillic, "Холмов"), ("Госпожа", cyrillic, "Холмов")) for n in names]
+    table = spark.createDataFrame(list(enumerate(persons)), "doc_id long, text string")
+    out = [r.t for r in op8_surrogates.with_surrogates(table).select(F.col("_pii.text").alias("t")).collect()]
+    assert len(set(out)) == len(persons)
+    assert not {w for t in out for w in t.split(" ")[1:]} & {w for t in persons for w in t.split(" ")[1:]}
+
+
 # --- 9 ---
 
 
