@@ -12,8 +12,11 @@ other values get others (distinctness), and kind, gender, script and format stay
 
 Replacements are made where the text is, by computation alone. A table of the distinct values of the corpus is checked
 for collisions: two values with one replacement, or a replacement that is itself a value of the corpus (given and
-family names count as one kind here). All but one value (the smallest) of a collision are drawn again until none is left. Those few exceptions go to the texts: as a
-list if there are at most `most_sent`, else by a join on the row.
+family names count as one kind here). All but one value (the smallest) of a collision are drawn again until none is
+left. Names are drawn from a space that grows with every attempt; secrets and e-mail addresses become longer from
+attempt LONGER on, as there may be more values of a short format than strings. The other formats can't grow: if a
+corpus holds too many values of one, ValueError is raised. Exceptions go to the texts: as a list if there are at most
+`most_sent`, else by a join on the row.
 
 A null text stays null, an empty one stays empty. Rows with equal or null ids, repeated rows, empty tables and very
 long texts need no special case.
@@ -42,6 +45,8 @@ SYLLABLES = {"LATIN": ("ba", "den", "for", "gra", "hol", "kin", "lam", "mor", "n
 #: What given names end with, by script and gender.
 ENDINGS = {"LATIN": {"male": "o", "female": "a"}, "CYRILLIC": {"male": "ий", "female": "ия"}}
 _NAMES = ("male", "female", "family")
+#: The attempt from which secrets and e-mail addresses get more characters than they had.
+LONGER = 8
 
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERNS = {
@@ -107,13 +112,25 @@ def _script(word: str) -> str:
     return "CYRILLIC" if "Ѐ" <= word[0] <= "ӿ" else "LATIN"
 
 
+def _more(key: bytes, tweak: str, value: str, n: int) -> str:
+    """n characters, letters and digits in turn."""
+    rest, out = _number(key, tweak, "more", value), ""
+    for i in range(n):
+        own = _CLASSES[1 - i % 2]
+        rest, at = divmod(rest, len(own))
+        out += own[at]
+    return out
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The replacement of a canonical value; another one for each attempt."""
     tweak = f"{kind}{attempt}"
+    more = _more(key, tweak, value, attempt - LONGER + 1) if attempt >= LONGER and kind in ("email", "secret") else ""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         top = domain.rindex(".")
-        return _swap(key, tweak, f"{local}@{domain[:top]}") + domain[top:]
+        local, _, name = _swap(key, tweak, f"{local}@{domain[:top]}").rpartition("@")
+        return f"{local}{more}@{name}{domain[top:]}"
     if kind == "ip":
         octets = list(map(int, value.split(".")))
         private = lambda o: o[0] in (0, 10, 127) or o[0] >= 224 or tuple(o[:2]) in ((192, 168), (169, 254)) or (o[0] == 172 and 16 <= o[1] < 32)
@@ -134,11 +151,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         rest = int("".join(str(int(c, 36)) for c in new + value[:2] + "00"))
         return f"{value[:2]}{98 - rest % 97:02d}{new}"
     if kind == "secret":
-        return _swap(key, tweak, value, alphabet="0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", value) else None)
+        return _swap(key, tweak, value, alphabet="0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", value) else None) + more
     script = _script(value)
     parts, ending = SYLLABLES[script], ENDINGS[script].get(kind, "")
     n, out = _number(key, tweak, value), ""
-    for _ in range(3 + attempt if ending else 4):  # given names: more of them with every attempt
+    for _ in range((3 if ending else 4) + attempt):  # more of them with every attempt
         n, i = divmod(n, len(parts))
         out += parts[i]
     return (out + ending).capitalize()
@@ -170,7 +187,7 @@ def _tokens(kind: str, found: str):
 def _written(kind: str, found: str, new: str) -> str:
     """The replacement with the capitals and separators of what was found."""
     if kind == "email":
-        return "".join(c.upper() if o.isupper() else c for o, c in zip(found, new))
+        return "".join(c.upper() if o.isupper() else c for o, c in zip(found.ljust(len(new)), new))
     if kind in ("card", "iban"):
         rest = iter(new)
         return "".join(next(rest) if c.isalnum() else c for c in found)
@@ -225,12 +242,16 @@ def _replace(key: bytes, sent: dict):
 
 
 def attempts(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> DataFrame:
-    """(kind, value, attempt) of the distinct values of docs (text) whose first replacements collide."""
+    """(kind, value, attempt) of the distinct values of docs (text) whose first replacements collide.
+
+    Goes on until no collision is left; ValueError if as many as before are left `rounds` times in succession.
+    """
     found = F.arrow_udf(_values, "array<struct<kind string, value string>>")
     values = docs.select(F.explode(found("text")).alias("e")).select("e.kind", "e.value").distinct()
     new = _new(key)
     now = stored(values.withColumn("attempt", F.lit(0)).withColumn("new", new("kind", "value", "attempt")), "surrogates")
-    for _ in range(rounds):
+    fewest, stuck = None, 0
+    while True:
         held = now.withColumn("domain", F.when(F.col("kind").isin(*_NAMES), "name").otherwise(F.col("kind")))
         # a replacement is kept by the value that has had it longest, so that one drawn again gives way
         order = F.struct("attempt", "value", "kind")
@@ -239,8 +260,14 @@ def attempts(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> DataFrame:
         twice = held.join(shared, ["domain", "new"]).filter("value <> keep.value or kind <> keep.kind").select("kind", "value")
         taken = held.select("domain", "kind", "value", "new").join(held.select("domain", F.col("value").alias("new")), ["domain", "new"], "left_semi").select("kind", "value")
         bad = stored(twice.unionAll(taken).distinct(), "collisions")
-        if not bad.take(1):
+        left = bad.count()
+        if not left:
             break
+        stuck = stuck + 1 if fewest is not None and left >= fewest else 0
+        fewest = left if fewest is None else min(fewest, left)
+        if stuck >= rounds:
+            kinds = sorted(r[0] for r in bad.select("kind").distinct().collect())
+            raise ValueError(f"{left} values have no replacement of their own: too many of one format ({', '.join(kinds)})")
         again = now.join(bad.withColumn("bad", F.lit(1)), ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0)))
         fresh = again.filter("bad = 1").select("kind", "value", "attempt").withColumn("new", new("kind", "value", "attempt"))
         now = stored(again.filter("bad is null").select("kind", "value", "attempt", "new").unionAll(fresh.select("kind", "value", "attempt", "new")), "surrogates")

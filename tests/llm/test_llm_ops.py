@@ -1,6 +1,7 @@
 """The operators against brute force on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -400,6 +401,20 @@ def test_given_names_distinct(spark):
     assert not {w for t in out for w in t.split(" ")[1:]} & {w for t in persons for w in t.split(" ")[1:]}
 
 
+def test_surrogates_of_full_domains(spark):
+    """Collisions are repaired however many there are, and a domain that is too small is an error."""
+    digits = "0123456789"
+    families = ["".join(p) for p in itertools.product("BCDFGHJKLMNPRST", *["aeiourstln"] * 4)][:70_000]  # more than four of 16 syllables give
+    rows = [*(f"token={d}" for d in digits), "password=***", "password=пароль", *(f"{c}@x.de" for c in digits + "abcdefghijklmnopqrstuvwxyz"), *(" ".join(f"Mr {n}," for n in families[i : i + 500]) for i in range(0, len(families), 500))]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = [r.t for r in op8_surrogates.with_surrogates(table).select(F.col("_pii.text").alias("t")).collect()]
+    old, new = ({e[:2] for t in texts for e in op8_surrogates.entities(t)} for texts in (rows, out))
+    assert len(old) == len(new) and not old & new
+    phones = " and ".join(f"+49 {i // 10000} {i // 100 % 100:02d} {i % 100:02d}" for i in range(100_000))
+    with pytest.raises(ValueError, match="phone"):
+        op8_surrogates.attempts(spark.createDataFrame([(1, phones)], "doc_id long, text string"), rounds=1)
+
+
 # --- 9 ---
 
 
