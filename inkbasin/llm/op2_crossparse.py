@@ -4,8 +4,11 @@ For every language a suffix automaton recognises the substrings of a sample of i
 greedily against each automaton: every phrase is the longest match with the sample, and a symbol that the sample
 doesn't have is a phrase of its own. The language that needs the fewest phrases per symbol wins.
 
-The samples are bounded: about `sample_rows` rows a language, `sample_bytes` symbols in all, so what is sent to the
-executors is at most languages x sample_bytes. Predictions read whole texts. Automata become dense tables, and a
+The samples are bounded: `sample_bytes` symbols a language, so what is sent to the executors is at most languages x
+sample_bytes. They are stretches of sample_bytes / sample_rows symbols at hash-chosen places of the whole texts: one
+of each drawn text, more where a language has few texts, and all of a language that has no more than sample_bytes. A
+text and a stretch count once, and more is drawn until a sample is full or the language is used up. Predictions read
+whole texts. Automata become dense tables, and a
 batch of texts walks them in parallel, in stretches of STRETCH symbols (a phrase ends where a stretch ends).
 
 Symbols are the bytes of the lower-cased text, with everything that is ASCII and not a letter as one space. A null
@@ -156,29 +159,78 @@ def _predict(samples: list[tuple[str, list[bytes]]]):
     return predict.asNondeterministic()  # so that it is planned once
 
 
+def _stretches(each: int):
+    @F.arrow_udf("array<binary>")
+    def stretches(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, caps, seeds in batches:
+            out = []
+            for text, cap, seed in zip(texts.to_pylist(), caps.to_pylist(), seeds.to_pylist()):
+                s = symbols(text)
+                if not cap or len(s) <= each:  # no cap: the whole text
+                    out.append([s] if s else [])
+                    continue
+                n = -(-len(s) // each)
+                places = np.random.default_rng(seed & (1 << 63) - 1).choice(n, min(n, -(-cap // each)), replace=False)
+                starts = [min(int(i) * each, len(s) - each) for i in places]
+                out.append([s[x : x + each] for x in starts])
+            yield pa.array(out, pa.list_(pa.binary()))
+
+    return stretches.asNondeterministic()  # so that it is planned once
+
+
+def _draw(sizes: list[tuple[int, int, int]], each: int, want: int, sample_bytes: int) -> tuple[float, int, bool]:
+    """The rate of texts and the symbols of each (0: whole) that give about `want`, and whether that is all there is.
+
+    sizes: (texts, symbols, symbols of the longest) by class of length.
+    """
+    total, longest = sum(x[1] for x in sizes), max(x[2] for x in sizes)
+    if total <= sample_bytes:
+        return 1.0, 0, True
+    held = lambda cap: sum(min(symbols_, n * cap) for n, symbols_, _ in sizes)
+    if held(each) >= want:
+        return want / held(each), each, False
+    cap = each
+    while cap < longest and held(cap) < want:
+        cap *= 2
+    return 1.0, cap, cap >= longest
+
+
 def samples_of(docs: DataFrame, learn, sample_rows: int, sample_bytes: int) -> list[tuple[str, list[bytes]]]:
-    """Per language, most rows first: stretches of the texts of about sample_rows rows, chosen by a hash of the text."""
-    labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    each = sample_bytes // sample_rows
-    counts = sorted(((r[1], r[0]) for r in labelled.groupBy("lang").count().collect()), key=lambda x: (-x[0], x[1]))
-    out = []
-    if counts:
-        share = F.create_map(*(F.lit(x) for n, lang in counts for x in (lang, sample_rows / n)))
-        drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-        # a text counts once, so that copies don't fill a sample
-        got = labelled.filter(drawn | (share[F.col("lang")] >= 1)).groupBy("lang", F.substring("text", 1, 8 * each).alias("text")).count()
-        parts: dict[str, list[bytes]] = {}
-        for lang, text in sorted((r[0], r[1]) for r in got.select("lang", "text").collect()):
-            parts.setdefault(lang, []).append(symbols(text))
-        for _, lang in counts:
-            rows = parts.get(lang, [])
-            size = max(each, sample_bytes // max(1, len(rows)))
+    """Per language, most rows first: stretches of its distinct texts, sample_bytes symbols or all there are."""
+    each = max(1, sample_bytes // sample_rows)
+    # texts are told apart by their symbols, so that neither copies nor other digits in a form fill a sample
+    folded = F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+", " ")
+    labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", folded.alias("folded"))
+    hashed = labelled.select("lang", "text", F.xxhash64("folded").alias("hash"), F.octet_length("folded").alias("size"))
+    texts = hashed.groupBy("lang", "hash").agg(F.max("size").alias("size"), F.count("*").alias("rows"))
+    classes = texts.groupBy("lang", F.floor(F.log2("size")).alias("class")).agg(F.count("*"), F.sum("size"), F.max("size"), F.sum("rows"))
+    sizes: dict[str, list[tuple[int, int, int]]] = {}
+    rows: dict[str, int] = {}
+    for lang, _, n, total, longest, copies in classes.collect():
+        sizes.setdefault(lang, []).append((n, total, longest))
+        rows[lang] = rows.get(lang, 0) + copies
+    out: dict[str, list[bytes]] = {}
+    want, open_ = sample_bytes * 3 // 2, sorted(rows)  # more than needed, as stretches repeat
+    while open_:
+        plan = {lang: _draw(sizes[lang], each, want, sample_bytes) for lang in open_}
+        rate, cap = (F.create_map(*(F.lit(x) for lang in open_ for x in (lang, plan[lang][i])))[F.col("lang")] for i in (0, 1))
+        drawn = hashed.filter(F.col("lang").isin(open_) & (F.pmod("hash", F.lit(1 << 30)) < rate * (1 << 30)))
+        parts = drawn.select("lang", "hash", F.posexplode(_stretches(each)("text", cap, "hash")).alias("turn", "part"))
+        got = parts.groupBy("lang", "part").agg(F.min("turn").alias("turn"), F.min("hash").alias("hash")).collect()
+        found: dict[str, list[bytes]] = {}
+        for r in sorted(got, key=lambda r: (r.lang, r.turn, r.hash, bytes(r.part))):  # each text once before one twice
+            found.setdefault(r.lang, []).append(bytes(r.part))
+        left = []
+        for lang in open_:
             kept, total = [], 0
-            for r in rows:
-                kept.append(r[: min(size, sample_bytes - total)])
+            for p in found.get(lang, []):
+                kept.append(p[: sample_bytes - total])
                 total += len(kept[-1])
-            out.append((lang, [r for r in kept if r]))
-    return [x for x in out if x[1]]
+            out[lang] = [p for p in kept if p]
+            if total < sample_bytes and not plan[lang][2]:
+                left.append(lang)
+        open_, want = left, want * 4
+    return [(lang, out[lang]) for lang in sorted(rows, key=lambda x: (-rows[x], x)) if out[lang]]
 
 
 def identify(docs: DataFrame, learn=None, sample_rows: int = 200, sample_bytes: int = 20_000):

@@ -166,6 +166,24 @@ def test_languages(spark, none):
     assert {r[0] for r in unlabelled.select(op2_crossparse.identify(unlabelled)("text").lang).collect()} == {"und"}
 
 
+def test_samples_are_whole(spark):
+    """A header doesn't fill a sample, and few long texts do."""
+    rng = random.Random(8)
+    header = prose(random.Random(1), 40)
+    few = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)) for _ in range(3)]
+    small = ["un deux", "trois quatre"]
+    made = [(f"{header} {prose(rng, 120)}", "en") for _ in range(400)] + [(t, "xx") for t in few] + [(t, "fr") for t in small * 1500]
+    table = spark.createDataFrame(made, "text string, lang string").repartition(4)
+    got = dict(op2_crossparse.samples_of(table, F.lit(True), 200, 20_000))
+    assert set(got) == {"en", "xx", "fr"}
+    assert all(sum(map(len, got[x])) == 20_000 for x in ("en", "xx"))
+    assert sorted(got["fr"]) == sorted(t.encode() for t in small)
+    assert len(set(got["en"])) == len(got["en"]) and sum(p in op2_crossparse.symbols(header) for p in got["en"]) <= 2
+    for t in few:  # from all parts of each text
+        places = [op2_crossparse.symbols(t).find(p) for p in got["xx"]]
+        assert min(x for x in places if x >= 0) < 4000 and max(places) > 16_000
+
+
 # --- 3 and 5 ---
 
 
