@@ -184,6 +184,15 @@ def test_samples_are_whole(spark):
         assert min(x for x in places if x >= 0) < 4000 and max(places) > 16_000
 
 
+def test_languages_of_copies(spark):
+    """Every language is learned, and all of its texts if they are few, however often they are repeated."""
+    rng = random.Random(5)
+    texts = {f"l{k}": sorted({"".join(rng.choice("αβγδεζηθ") for _ in range(40)) for _ in range(2)}) for k in range(10)}
+    table = spark.createDataFrame([(t, lang) for lang, own in texts.items() for t in own for _ in range(1500)], "text string, lang string")
+    got = dict(op2_crossparse.samples_of(table, F.lit(True), 200, 20_000))
+    assert {lang: sorted(own) for lang, own in got.items()} == {lang: sorted(t.encode() for t in own) for lang, own in texts.items()}
+
+
 # --- 3 and 5 ---
 
 
