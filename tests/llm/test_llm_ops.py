@@ -229,6 +229,13 @@ def test_ivf_recall_and_scores(spark):
     assert op3_ivfpq.search(spark, table.limit(0), F.lit(True)).count() == 0
 
 
+def test_ivf_small_table(spark):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(12)], "vec_id long, embedding array<float>")
+    got = op3_ivfpq.search(spark, table, F.lit(True)).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == dict.fromkeys(range(12), 10)
+
+
 def test_cells():
     cells = op3_ivfpq.cells_of({0: 10, 1: 5, 2: 100, 3: 7}, 16)
     assert cells[2][1] == 7 and cells[0] == cells[1] and len({c for f, n in cells.values() for c in range(f, f + n)}) == 9
