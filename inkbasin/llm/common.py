@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +16,78 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows go to and from Python in batches of at most so many bytes (and one row at least), however long texts are.
+BATCH_BYTES = 8 << 20
+
+
 def work_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, else one of our own (local runs and tests)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir, in it a folder of this application alone.
+
+    Where the setting is missing, a local session gets a temporary folder; on a cluster that is an error, as executors
+    would write to their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="inkbasin-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/") + "/inkbasin"
+    return f"{root.rstrip('/')}/inkbasin/{spark.sparkContext.applicationId}"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the Arrow batches of this session to BATCH_BYTES; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf.get().arrowMaxBytesPerBatch()
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return what a reused Python worker has freed to the system; else Arrow's pool and the C heap keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(rows):
+    """A function over batches that gives memory back when its task is over."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(group):
+    """The same for a function of one group, after each."""
+
+    @functools.wraps(group)
+    def run(rows):
+        try:
+            return group(rows)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_groups(groups):
+    """The same for a function of two groups."""
+
+    @functools.wraps(groups)
+    def run(left, right):
+        try:
+            return groups(left, right)
+        finally:
+            give_back()
+
+    return run
 
 
 def release(spark: SparkSession) -> None:
@@ -33,17 +101,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     release(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a writer holds one in memory
+    df.write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing will read any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def purge(spark: SparkSession) -> None:
-    """Delete every table that stored() wrote in this shared folder; call it when no result that reads them is needed any more."""
+    """Delete every table that stored() wrote in this application; call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until no column has it, upper and lower case alike."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

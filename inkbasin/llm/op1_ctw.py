@@ -1,18 +1,21 @@
 """LM scoring by context-tree weighting.
 
 Every byte is eight binary decisions. A decision's context is the bits of the byte so far and up to `depth` bytes
-before it; each context holds a Krichevsky-Trofimov estimate, and the weighting mixes the estimates of all depths.
+before it; each context holds a Krichevsky-Trofimov estimate, and the weighting mixes the estimates of all depths. A
+context that training never reached predicts one half.
 The weights depend on counts alone, not on the order of the text, so the tree is a batch computation:
 
-1. Documents are dealt to blocks of about `block_bytes`. A task counts the block's distinct (context, byte) grams.
-2. Gram counts of all training documents are summed. Grams that share their two nearest context bytes form whole
-   subtrees; each bucket of them is weighted from the leaves up. Depths 0 and 1 have at most 65,280 decision nodes
-   together with their sums, so these alone go to the driver and back.
-3. Each distinct gram gets its log probability once, and goes back only to the blocks in which it occurs.
+1. A task cuts its rows into blocks of about `block_bytes` and stores them with the block's distinct (context, byte)
+   grams and words and their counts: for each block one row of packed keys per bucket. Grams with the same two nearest
+   context bytes are whole subtrees and share a bucket; words, for the base score, go the same way by a 63-bit hash.
+2. The rows of a bucket stream through one task, which sums the counts. Subtrees are weighted from the leaves up, some
+   ten thousand grams at a time. Depths 0 and 1 have at most 65,280 decision nodes together with their sums, so these
+   alone go to the driver and back.
+3. The rows of a bucket stream through a task once more, after the bucket's sums: each distinct gram gets its log
+   probability once, and every block gets the values of its own grams and words back.
 
-Words, for the base score, go the same way, by a 63-bit hash. Nothing that grows with the corpus is broadcast or
-collected. Where training never reached a context, the mixture
-ends at the deepest context that it did reach.
+Nothing that grows with the corpus is broadcast or collected, and no task holds more than a block or the distinct keys
+of a bucket. There are at most `most_buckets` buckets, so that rows don't grow with the square of the blocks.
 
 Texts: null is the empty text. Every text ends in an end symbol, byte 0xFF, which UTF-8 never uses; before its start
 stand `depth` such bytes. Rows with equal or null ids are scored one by one; a null id counts as the empty text for
@@ -21,23 +24,27 @@ the choice of held-out rows. An empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import id_text, partitions_for, release, stored, table
+from inkbasin.llm.common import id_text, lean, lean_groups, partitions_for, release, small_batches, stored, table
 from inkbasin.llm.grams import KeyTable
-from inkbasin.llm.shingles import word_hashes
+from inkbasin.llm.shingles import mixed, word_hashes
 
 END = 0xFF
-GRAM, WORD, DOCS = 0, 1, 2  # kinds of counted rows
+GRAM, WORD = 0, 1  # kinds of keys
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_STEP = 1 << 20
-_BATCH = 4 << 20
+_STEP = 1 << 19
+_BATCH = 1 << 20
+_SLICE = 1 << 16  # grams that are weighted at once, and more only if they share two context bytes
 _LN2 = math.log(2)
 _HALF = np.array([math.lgamma(i / 2) if i else 0.0 for i in range(64)])
 
@@ -118,17 +125,15 @@ def log10_probability(grams: np.ndarray, nodes: dict, depth: int) -> np.ndarray:
     total = np.zeros(len(grams))
     for bit in range(8):
         value = ((grams >> _u(7 - bit)) & _u(1)).astype(bool)
-        p, met = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
+        p = np.full(len(grams), 0.5)
         for d in range(depth, -1, -1):
             ids, zeros, count, own, _ = nodes[d, bit]
             if not len(ids):
                 continue
             want = ((grams >> _u(8 * (depth - d) + 8)) << _u(bit)) | ((grams & _u(255)) >> _u(8 - bit))
             at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
-            here = ids[at] == want
             kt = (np.where(value, count[at] - zeros[at], zeros[at]) + 0.5) / (count[at] + 1)
-            p = np.where(here, np.where(met, own[at] * kt + (1 - own[at]) * p, kt), p)
-            met |= here
+            p = np.where(ids[at] == want, own[at] * kt + (1 - own[at]) * p, p)
         total += np.log10(p)
     return total
 
@@ -177,81 +182,227 @@ def _words(texts: list[bytes]):
     return h >> _u(1), counts
 
 
+def pack(values: np.ndarray) -> bytes:
+    """8-byte values, byte by byte of their places, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return pack(np.diff(keys, prepend=_u(0)))
+
+
+def unpack_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(raw, n, np.uint64), dtype=np.uint64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, with the sums of their counts."""
+    keys, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
+    order = np.argsort(keys, kind="stable")
+    return _sums(keys[order], counts[order])
+
+
 class _Counted:
-    """Keys with counts."""
+    """Keys with counts; what comes in is summed up whenever it has doubled."""
 
     def __init__(self):
-        self.seen, self.n = KeyTable(18), np.zeros(1 << 10, np.int64)
-
-    def add(self, keys: np.ndarray, count: bool) -> None:
-        index = self.seen.index(keys)
-        if self.seen.n + 1 > len(self.n):
-            self.n = np.concatenate([self.n, np.zeros(self.seen.n + 1, np.int64)])
-        if count:
-            add = np.bincount(index, minlength=1)
-            self.n[: len(add)] += add
-
-    def rows(self):
-        return self.seen.keys[1 : self.seen.n + 1].astype(np.int64), self.n[1 : self.seen.n + 1]
-
-
-def _count_block(depth: int):
-    def count(block: pa.Table) -> pa.Table:
-        number = block["block"][0].as_py()
-        held = np.array(block["held_out"].to_pylist(), bool)
-        grams, words = _Counted(), _Counted()
-        for train, own in ((train, own) for train in (True, False) for _, own in _batches(block["raw"], held != train)):
-            buffer, starts, lengths = _joined(own, depth)
-            for a, g in _pieces(buffer, depth):
-                _, lo, hi = _scored(a, len(g), starts, lengths)
-                edge = np.zeros(len(g) + 1, np.int32)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, hi, -1)
-                grams.add(g[np.cumsum(edge[:-1]) > 0], train)
-            words.add(_words(own)[0], train)
-        (gk, gn), (wk, wn) = grams.rows(), words.rows()
-        kind = np.repeat(np.array([GRAM, WORD, DOCS], np.int8), [len(gk), len(wk), 1])
-        return pa.table({"block": np.full(len(kind), number, np.int64), "kind": kind, "key": np.r_[gk, wk, 0], "n": np.r_[gn, wn, (~held).sum()]})
+        self.parts, self.size, self.least = [], 0, 1 << 18
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.least:
+            self.parts = [_summed(self.parts)]
+            self.size = len(self.parts[0][0])
+            self.least = 2 * self.size + (1 << 18)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(self.parts)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows in order, in tables of about `most` bytes of text (column raw); a longer text is a table with its neighbours."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("raw")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        a = 0
+        while a < len(ends):
+            before = int(ends[a - 1]) if a else 0
+            b = min(len(ends), int(np.searchsorted(ends, before + most - size, "left")) + 1)
+            held.append(batch.slice(a, b - a))
+            size += int(ends[b - 1]) - before
+            a = b
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _distinct(texts: list[bytes], depth: int, train: bool, grams: _Counted, words: _Counted) -> None:
+    buffer, starts, _ = _joined(texts, depth)
+    scored = np.ones(len(buffer), bool)
+    scored[(starts[:, None] - 1 - np.arange(depth)).ravel()] = False
+    for a, g in _pieces(buffer, depth):
+        keys, n = np.unique(g[scored[a : a + len(g)]], return_counts=True)
+        grams.add(keys, n if train else np.zeros(len(keys), np.int64))
+    keys, n = np.unique(_words(texts)[0], return_counts=True)
+    words.add(keys, n if train else np.zeros(len(keys), np.int64))
+
+
+def bucket_of(kind: int, keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """Grams by their two nearest context bytes, words by themselves."""
+    return (mixed(keys >> _u(8 * (depth - 1)) if kind == GRAM else keys) % _u(buckets)).astype(np.int32)
+
+
+_COUNTS = "block long, doc_id long, held_out boolean, raw binary, kind byte, bucket int, size int, keys binary, counts binary"
+
+
+def _count(depth: int, block_bytes: int, buckets: int):
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for number, block in enumerate(blocks(batches, block_bytes), first):
+            held = block["held_out"].to_numpy()
+            grams, words = _Counted(), _Counted()
+            for train in (True, False):
+                for _, texts in _batches(block["raw"], held != train):
+                    _distinct(texts, depth, train, grams, words)
+            out: list[tuple] = []
+            for kind, counted in ((GRAM, grams), (WORD, words)):
+                keys, counts = counted.all()
+                bucket = bucket_of(kind, keys, depth, buckets)
+                order = np.argsort(bucket, kind="stable")
+                at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(at)).tolist():
+                    own = order[at[k] : at[k + 1]]
+                    out.append((kind, k, len(own), pack_keys(keys[own]), pack(counts[own])))
+            for text in block.to_batches():
+                yield _row_batch(text.num_rows, number, text.column("doc_id"), text.column("held_out"), text.column("raw"))
+            for a in range(0, len(out), 256):
+                part = out[a : a + 256]
+                yield _row_batch(len(part), number, *(pa.nulls(len(part), t) for t in (pa.int64(), pa.bool_(), pa.binary())), *(pa.array(c, t) for c, t in zip(zip(*part), (pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))))
 
     return count
 
 
-def _top_sums(depth: int):
-    def sums(bucket: pa.Table) -> pa.Table:
-        grams, counts = bucket["key"].to_numpy().astype(np.uint64), bucket["n"].to_numpy()
-        nodes = weigh(grams[counts > 0], counts[counts > 0], depth, 2)
-        out = []
-        for bit in range(8):
-            ids, zeros, total, _, mixed = nodes[2, bit]
-            up = _parent(ids, bit)
-            order = np.argsort(up, kind="stable")
-            one, z, o, s = _sums(up[order], zeros[order], (total - zeros)[order], mixed[order])
-            out.append((np.full(len(one), bit, np.int32), one.astype(np.int64), z, o, s))
-        return pa.table({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("bit", "node", "zeros", "ones", "below"))})
+def _row_batch(n: int, number: int, doc_id, held_out, raw, *keys) -> pa.RecordBatch:
+    keys = keys or tuple(pa.nulls(n, t) for t in (pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+    names = ["block", "doc_id", "held_out", "raw", "kind", "bucket", "size", "keys", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), doc_id, held_out, raw, *keys], names=names)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _cuts(kind: int, keys: np.ndarray, depth: int) -> list[int]:
+    """Where to cut ascending keys into slices of about _SLICE, whole subtrees each."""
+    at, out = 0, [0]
+    while at < len(keys):
+        at = min(len(keys), at + _SLICE)
+        if at < len(keys) and kind == GRAM:
+            at = int(np.searchsorted(keys, ((keys[at - 1] >> _u(8 * (depth - 1))) + _u(1)) << _u(8 * (depth - 1))))
+        out.append(at)
+    return out
+
+
+_SUMS = "kind byte, bucket int, part int, size int, total long, known long, keys binary, counts binary"
+
+
+def _sum_buckets(depth: int):
+    @lean
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (kind, bucket)."""
+        for (kind, bucket), rows in itertools.groupby(_rows(batches, "kind", "bucket", "size", "keys", "counts"), lambda r: r[:2]):
+            counted = _Counted()
+            for _, _, n, keys, counts in rows:
+                counted.add(unpack_keys(keys, n), unpack(counts, n, np.int64))
+            keys, counts = counted.all()
+            cuts = _cuts(kind, keys, depth)
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                row = (kind, bucket, part, b - a, int(counts[a:b].sum()), int((counts[a:b] > 0).sum()), pack_keys(keys[a:b]), pack(counts[a:b]))
+                types = (pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["kind", "bucket", "part", "size", "total", "known", "keys", "counts"])
 
     return sums
 
 
-def _gram_scores(depth: int, top):
-    def score(bucket: pa.Table) -> pa.Table:
-        grams, counts = bucket["key"].to_numpy().astype(np.uint64), bucket["n"].to_numpy()
-        nodes = weigh(grams[counts > 0], counts[counts > 0], depth, 2) | top.value
-        return pa.table({"key": grams.astype(np.int64), "value": log10_probability(grams, nodes, depth)})
+def _top_sums(depth: int):
+    @lean
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, keys, counts in _rows(batches, "size", "keys", "counts"):
+            grams, counts = unpack_keys(keys, n), unpack(counts, n, np.int64)
+            nodes = weigh(grams[counts > 0], counts[counts > 0], depth, 2)
+            out = []
+            for bit in range(8):
+                ids, zeros, total, _, mixed_ = nodes[2, bit]
+                up = _parent(ids, bit)
+                order = np.argsort(up, kind="stable")
+                one, z, o, s = _sums(up[order], zeros[order], (total - zeros)[order], mixed_[order])
+                out.append((np.full(len(one), bit, np.int32), one.astype(np.int64), z, o, s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(5)], names=["bit", "node", "zeros", "ones", "below"])
 
-    return score
+    return sums
 
 
-def _score_block(depth: int, end_base: float, end_known: bool):
+def _values(depth: int, top, whole: float):
+    def of(kind: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if kind == WORD:
+            return np.log10((counts + 0.1) / whole)
+        seen = counts > 0
+        return log10_probability(keys, weigh(keys[seen], counts[seen], depth, 2) | top.value, depth)
+
+    @lean
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (kind, bucket, block, part); a bucket's sums come before its blocks, as block -1."""
+        rows = _rows(batches, "kind", "bucket", "block", "size", "keys", "counts")
+        for (kind, _), bucket in itertools.groupby(rows, lambda r: r[:2]):
+            known: list[tuple[np.ndarray, np.ndarray]] = []
+            keys = value = None
+            out: list[tuple] = []
+            for _, _, block, n, packed, counts in bucket:
+                own = unpack_keys(packed, n)
+                if block < 0:
+                    known.append((own, of(kind, own, unpack(counts, n, np.int64))))
+                    continue
+                if keys is None:
+                    keys, value = (np.concatenate([x[i] for x in known]) for i in (0, 1))
+                    known.clear()
+                out.append((block, kind, n, packed, pack(value[np.searchsorted(keys, own)])))
+                if len(out) == 256:
+                    yield _value_batch(out)
+                    out = []
+            if out:
+                yield _value_batch(out)
+
+    return values
+
+
+def _value_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int8(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "kind", "size", "keys", "value"])
+
+
+def _score_block(depth: int, end_base: float, end_known: bool, unknown: float):
+    @lean_groups
     def score(docs: pa.Table, values: pa.Table) -> pa.Table:
-        kind, key, value, known = (values[c].to_numpy() for c in ("kind", "key", "value", "known"))
-        del values
         tables = []
         for k in (GRAM, WORD):
-            seen = KeyTable(18)
-            seen.add(key[kind == k].astype(np.uint64))
-            tables.append((seen, np.r_[0.0, value[kind == k]], np.r_[0, known[kind == k]]))
-        del kind, key, value, known
-        (grams, logp, _), (words, base, known) = tables
+            seen, logs = KeyTable(18), [np.zeros(1)]
+            for kind, n, keys, value in _rows(values.to_batches(), "kind", "size", "keys", "value"):
+                if kind == k:
+                    seen.add(unpack_keys(keys, n))
+                    logs.append(unpack(value, n, np.float64))
+            tables.append((seen, np.concatenate(logs)))
+        (grams, logp), (words, base) = tables
         n = docs.num_rows
         total, base_score = np.zeros(n), np.full(n, end_base)
         n_tokens, n_known, size = np.ones(n, np.int64), np.full(n, end_known, np.int64), np.zeros(n, np.int64)
@@ -262,17 +413,17 @@ def _score_block(depth: int, end_base: float, end_known: bool):
                 d, lo, hi = _scored(a, len(g), starts, size[rows])
                 total[rows[d]] += run[hi] - run[lo]
             hashes, counts = _words(texts)
-            found, of = words.find(hashes), np.repeat(np.arange(len(texts)), counts)
+            found, of = base[words.find(hashes)], np.repeat(np.arange(len(texts)), counts)
             n_tokens[rows] += counts
-            n_known[rows] += np.bincount(of, weights=known[found], minlength=len(texts)).astype(np.int64)
-            base_score[rows] += np.bincount(of, weights=base[found], minlength=len(texts))
+            n_known[rows] += np.bincount(of, weights=found > unknown, minlength=len(texts)).astype(np.int64)
+            base_score[rows] += np.bincount(of, weights=found, minlength=len(texts))
         bits = -math.log2(10) * total / np.maximum(size, 1)
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": total, "bits_per_byte": bits})
 
     return score
 
 
-def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes: int = 36 << 20, held_out=None) -> DataFrame:
+def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes: int = 16 << 20, most_buckets: int = 2048, held_out=None) -> DataFrame:
     """Score every text of docs (doc_id, text) under a tree learned from the rows that aren't held out.
 
     held_out: a boolean Column; by default crc32 of the id as text, modulo 10, is 0. Returns doc_id, held_out,
@@ -280,31 +431,31 @@ def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes:
     bits_per_byte.
     """
     assert 2 <= depth <= 6, "a gram has to fit in fewer than 64 bits"
+    small_batches(spark)
     held_out = F.crc32(id_text()) % 10 == 0 if held_out is None else held_out
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), held_out.alias("held_out"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("raw"), F.lit(0)) + 64)).first()[0]
-    n_blocks = partitions_for(size, block_bytes)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_blocks)))
-    found = stored(rows.groupBy("block").applyInArrow(_count_block(depth), "block long, kind byte, key long, n long"), "ctw-counts")
-    counts = stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-sums")
-    totals = {r[0]: r[1:] for r in counts.groupBy("kind").agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count("*")).collect()}
-    n_docs, n_words, distinct = (totals.get(DOCS, (0,))[0], *totals.get(WORD, (0, 0))[:2])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("binary").alias("raw"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("raw"), F.lit(0)))).first()[0]
+    buckets = min(most_buckets, max(64, partitions_for(size, 8 << 20)))
+    found = stored(rows.mapInArrow(_count(depth, block_bytes, buckets), _COUNTS), "ctw-blocks")
+    texts, keyed = found.filter("kind is null"), found.filter("kind is not null")
+    sums = keyed.select("kind", "bucket", "size", "keys", "counts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    sums = stored(sums.mapInArrow(_sum_buckets(depth), _SUMS), "ctw-sums")
+    n_docs = texts.filter("not held_out").count()
+    n_words, distinct = sums.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     train = n_words + n_docs
     whole = train + 0.1 * (distinct + (n_docs > 0) + 1)
 
-    near = F.expr(f"shiftrightunsigned(key, {8 * (depth - 1)})")
-    buckets = counts.filter(F.col("kind") == GRAM).withColumn("bucket", F.pmod(F.xxhash64(near), F.lit(partitions_for(totals.get(GRAM, (0, 0, 0))[2], 1 << 18))))
-    sums = buckets.groupBy("bucket").applyInArrow(_top_sums(depth), "bit int, node long, zeros double, ones double, below double")
-    top = weigh_top([(r.bit, r.node, r.zeros, r.ones, r.below) for r in sums.groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()])
+    below = sums.filter(F.col("kind") == GRAM).select("size", "keys", "counts").mapInArrow(_top_sums(depth), "bit int, node long, zeros double, ones double, below double")
+    top = weigh_top([(r.bit, r.node, r.zeros, r.ones, r.below) for r in below.groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()])
     sent = spark.sparkContext.broadcast(top)
-    scored = buckets.groupBy("bucket").applyInArrow(_gram_scores(depth, sent), "key long, value double")
-    scored = scored.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value", F.lit(1).cast("byte").alias("known"))
-    base = counts.filter(F.col("kind") == WORD).select("kind", "key", F.log10((F.col("n") + 0.1) / F.lit(whole)).alias("value"), (F.col("n") > 0).cast("byte").alias("known"))
-    values = found.filter(F.col("kind") != DOCS).select("block", "kind", "key").join(scored.unionAll(base), ["kind", "key"])
+    columns = ["kind", "bucket", "block", "part", "size", "keys", "counts"]
+    both = sums.withColumn("block", F.lit(-1).cast("long")).select(columns).unionAll(keyed.withColumn("part", F.lit(0)).withColumn("counts", F.lit(None).cast("binary")).select(columns))
+    both = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block", "part")
+    values = both.mapInArrow(_values(depth, sent, whole), "block long, kind byte, size int, keys binary, value binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-    end = math.log10((n_docs + 0.1) / whole)
+    score = _score_block(depth, math.log10((n_docs + 0.1) / whole), n_docs > 0, math.log10(0.5 / whole))
     release(spark)
-    result = rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(depth, end, n_docs > 0), out)
+    result = texts.select("block", "doc_id", "held_out", "raw").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, out)
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 

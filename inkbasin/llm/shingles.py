@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
+_SEGMENT = 1 << 19
 _RNG = np.random.default_rng(20240)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -35,21 +36,39 @@ def powers(n: int):
     return _powers["up"], _powers["down"]
 
 
+def _segments(joined: np.ndarray):
+    """Bounds of stretches of about _SEGMENT bytes that end in a space; a longer word is not cut."""
+    a = 0
+    while a < len(joined):
+        b = a + _SEGMENT
+        if b < len(joined):
+            inside = np.flatnonzero(_SPACE[joined[a:b]])
+            while not len(inside) and b < len(joined):
+                a_, b = b, b + _SEGMENT
+                inside = np.flatnonzero(_SPACE[joined[a_:b]]) + (a_ - a)
+            b = a + int(inside[-1]) + 1
+        yield a, min(b, len(joined))
+        a = b
+
+
 def word_hashes(texts: list[bytes]):
     """The hash of each word of each text, one after another, and the number of words of each text."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    space = _SPACE[joined]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.r_[0, edge]
-    start, end = edge[0::2], edge[1::2]
-    up, down = powers(len(joined) + 1)
-    run = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTE[joined] * up[: len(joined)], out=run[1:])
-    h = mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
-    text = np.searchsorted(np.cumsum(lengths), start, "right")
-    return h, np.bincount(text, minlength=len(texts))
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    for a, b in _segments(joined):
+        part = joined[a:b]
+        space = _SPACE[part]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.r_[0, edge]
+        start, end = edge[0::2], edge[1::2]
+        up, down = powers(len(part) + 1)
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=run[1:])
+        hashes.append(mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)))
+        counts += np.bincount(np.searchsorted(ends, start + a, "right"), minlength=len(texts))
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
