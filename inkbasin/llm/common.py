@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,26 @@ def lean(rows):
     return run
 
 
+def runs_of(batches, *keys: str):
+    """Tables of rows with equal keys (integer columns), from batches sorted by them; a table may span batches."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        columns = [rows[k].to_numpy() for k in keys]
+        new = functools.reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+        at = [0, *(np.flatnonzero(new) + 1).tolist()]
+        rows = rows.combine_chunks()
+        for a, b in zip(at, at[1:]):
+            yield rows.slice(a, b - a)
+        held = rows.slice(at[-1])
+    if held is not None:
+        yield held
+
+
 def lean_group(group):
     """The same for a function of one group, after each."""
 
@@ -143,17 +164,17 @@ def id_text(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def row_keys(docs: DataFrame, column: str = "doc_id", tie: str = "text") -> DataFrame:
-    """Add _rid, a long that no two rows share and that orders rows by (column with nulls last, tie).
+def row_keys(docs: DataFrame, column: str = "doc_id", tie: str = "text", name: str = "_rid") -> DataFrame:
+    """Add `name`, a long that no two rows share and that orders rows by (column with nulls last, tie).
 
-    Where the ids are distinct and not null, _rid is the id. Else the rows are sorted by range and numbered in a
+    Where the ids are distinct and not null, it is the id. Else the rows are sorted by range and numbered in a
     stored table, so that a recomputed task can't number them anew.
     """
-    repeated = docs.groupBy(column).count().filter(F.col("count").__gt__(1) | F.col(column).isNull()).limit(1)
+    repeated = docs.groupBy(column).agg(F.count("*").alias("_n")).filter(F.col("_n").__gt__(1) | F.col(column).isNull()).limit(1)
     if not repeated.take(1):
-        return docs.withColumn("_rid", F.col(column).cast("long"))
+        return docs.withColumn(name, F.col(column).cast("long"))
     ordered = docs.orderBy(F.col(column).asc_nulls_last(), F.col(tie).asc_nulls_first())
-    return stored(ordered.withColumn("_rid", F.monotonically_increasing_id()), "keys")
+    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), "keys")
 
 
 def partitions_for(total: int, each: int) -> int:

@@ -7,23 +7,26 @@ up to collisions of 64-bit hashes of shingles.
 2. Candidates. Linked sets share shingles among the smallest of each (in hash order): of a set of n, the first
    n - ceil(0.8 n) + l hold l common ones. With l = n / 20, a class of which fewer of these shingles occur elsewhere
    than any partner asks for can't link and is dropped. Tasks drop repeated (shingle, class) rows before the shuffle,
-   and the reader of a shingle's rows streams over them.
-3. Signature trees. Classes with a shingle in common meet in a cell. There, a tree over them holds in each node the OR
-   of the bitmaps below, the range of sizes and the largest number of shingles beyond one per bit. Two trees are walked
+   and the reader of a shingle's rows streams over them. Only the texts of classes that are left are shuffled: a bitmap
+   of 2^24 bits, which has the hashes of their rows and possibly some others, is broadcast for that.
+3. Signature trees. Classes with a shingle in common meet in a cell, as bitmaps, by band of sizes (a partner's size is
+   within 1.25, so a class is in the cells of two bands). There, a tree over them holds in each node the OR of the
+   bitmaps below, the range of sizes and the largest number of shingles beyond one per bit. Two trees are walked
    together: a pair of nodes goes no further if the sizes are too far apart, if the largest possible overlap, bits in
-   common plus the smaller excess, is too small for the sizes, or if all below are joined already. Pairs of leaves
-   that remain are compared exactly.
-   First, each class is in the cell of its smallest shared shingle, then in two cells by other orders if other groups
-   are there, which joins nearly all near copies to a group.
-   Then classes that share enough with other groups are dealt anew: every shingle that different groups share makes a
-   cell, one for all shingles with the same members, by size band (a partner's size is within 1.25). Here members come
-   with their bitmaps alone, and the sets of the pairs that remain are compared afterwards. A cell of more than
-   `cell_rows` members is split into a grid, so that every pair of members still meets in one.
+   common plus the smaller excess, is too small for the sizes, or if all below are joined already. The texts of the
+   pairs that remain are compared afterwards, exactly. A cell of more than `cell_rows` members or `cell_bytes` of
+   bitmaps is split into a grid, so that every pair of members still meets in one.
+   First, each class is in the cells of its smallest shared shingle, then of the smallest by two other orders if other
+   groups are there. In these two rounds a cell gives a spanning forest of what may link, so that large groups of near
+   copies cost one comparison a member; what that misses is left for the last round.
+   Then classes that share enough with other groups are dealt anew, and every pair that the trees can't rule out is
+   compared. Shingles with the same members count as one, so that a passage that many share makes one cell. By
+   rising number of members, a class that shares k shingles and needs t of them is in the cells of the first k - t + 1.
 4. Connected components of the links found, without collecting any.
 
 n_shingles counts the set. A text that is null or has no word has an empty set and links with nothing. Repeated rows
 and equal or null ids are rows of their own (component_id is null only if every id of the component is). An empty table
-gives an empty result; other columns don't matter.
+gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +37,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import release, row_keys, stored, table
+from inkbasin.llm.common import dropped, free_names, lean, release, row_keys, runs_of, small_batches, stored, table
 from inkbasin.llm.components import components
 from inkbasin.llm.shingles import mixed, shingle_sets
 
 FANOUT = 8
+#: Bits of the bitmap of rows whose texts are needed.
+SIFT = 1 << 24
 
 
 def least_overlap(n: int) -> int:
@@ -91,6 +96,7 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(x, np.uint64) for chunk in column.chunks for x in np.split(chunk.flatten().to_numpy().astype(np.uint64), np.cumsum(pc.list_value_length(chunk).to_numpy())[:-1])] if column.length() else []
 
 
+@lean
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid = batch.column("_rid")
@@ -102,6 +108,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rid.slice(rows[0], len(rows)), sizes, pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(heads)], names=["_rid", "n", "k1", "k2", "head"])
 
 
+@lean
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, class, whether it is within the l = 1 prefix), once for a class that the task meets again."""
     met: set[int] = set()
@@ -119,6 +126,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array([keys[i] for i in part], np.int64), length)), pa.array(first)], names=["h", "k1", "first"])
 
 
+@lean
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows, sorted by (h, k1), of shingles that more than one class has; one row per class."""
     held = None  # the last row, of which it isn't known yet
@@ -147,7 +155,7 @@ def band_of(n: int) -> int:
 
 
 def band_bits(band: int) -> int:
-    """Bits of the bitmaps of a band: about four for each shingle."""
+    """Bits of the bitmaps of a band: four to eight for each shingle."""
     return 1 << min(17, max(6, int(4 * 1.25 ** (band + 1)).bit_length()))
 
 
@@ -158,14 +166,16 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of classes, their band, and their bitmaps for that band and the next."""
+@lean
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and band of classes, their bitmaps for that band and the next, and the text."""
     for batch in batches:
         for rows, texts in _raw_runs(batch):
             sets = shingle_sets(texts)
             bands = [band_of(len(s)) for s in sets]
             maps = [pa.array([bitmap(s, band_bits(b + up)).tobytes() for s, b in zip(sets, bands)], pa.binary()) for up in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("k1").slice(rows[0], len(rows)), batch.column("key").slice(rows[0], len(rows)), _lists(sets), pa.array(bands, pa.int64()), *maps], names=["k1", "key", "s", "band", "own", "up"])
+            k1, raw = (batch.column(c).slice(rows[0], len(rows)) for c in ("k1", "raw"))
+            yield pa.RecordBatch.from_arrays([k1, pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.int64()), *maps, raw], names=["k1", "n", "band", "own", "up", "raw"])
 
 
 class Forest:
@@ -206,6 +216,12 @@ class SignatureTree:
             level = tuple(f.reduceat(x, cut, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), level))
             self.levels.append(level)
 
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may link with one."""
+        both = np.bitwise_count(self.map[others] & self.map[one]).sum(1).astype(np.int64) + np.minimum(self.excess[others], self.excess[one])
+        n, m = self.size[others], self.size[one]
+        return (180 * np.minimum(both, np.minimum(n, m)) >= 80 * (n + m)) & (5 * n >= 4 * m) & (4 * n <= 5 * m)
+
     def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of nodes may hold a pair that links and isn't joined."""
         bits, low, high, excess, first, last = self.levels[level]
@@ -239,134 +255,182 @@ class SignatureTree:
                 stack.append((level - 1, x[p : p + (1 << 15)], y[p : p + (1 << 15)]))
 
 
-def join_cell(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The root (a member's index) of each member: members joined by label or by a chain of links within the cell."""
-    forest = Forest(labels)
-    if len(sets) < 2:
-        return forest.roots()
-    size = np.array([len(s) for s in sets], np.int64)
-    bits = 1 << min(15, max(6, int(4 * np.median(size)).bit_length()))
-    tree = SignatureTree(size, np.stack([bitmap(x, bits) for x in sets]))
-
-    def leaders(todo: np.ndarray) -> None:
-        """Stars: members that link with the first that is left join it. Large groups of near copies fall at once."""
-        for _ in range(32):
-            if len(todo) < 2:
-                return
-            lead, todo = todo[0], todo[1:]
-            both = np.bitwise_count(tree.map[todo] & tree.map[lead]).sum(1).astype(np.int64) + np.minimum(tree.excess[todo], tree.excess[lead])
-            near = (180 * np.minimum(both, size[todo]) >= 80 * (size[todo] + size[lead])) & (5 * size[todo] >= 4 * size[lead]) & (4 * size[todo] <= 5 * size[lead])
-            joined = np.zeros(len(todo), bool)
-            for i in np.flatnonzero(near):
-                if forest.find(todo[i]) == forest.find(lead):
-                    joined[i] = True
-                elif linked(sets[todo[i]], sets[lead]):
-                    forest.join(todo[i], lead)
-                    joined[i] = True
-            todo = todo[~joined]
-
-    leaders(np.argsort(size, kind="stable"))
-    roots = forest.roots()
-    tree.build(np.lexsort((size, roots)), roots)
+def _tree(cell: pa.Table):
+    """A cell's classes, labels, whether they are of the lower band, sizes, and a tree over them by label."""
+    k, label, n, lower = (cell[c].to_numpy(zero_copy_only=False) for c in ("k1", "label", "n", "lower"))
+    tree = SignatureTree(n.astype(np.int64), np.stack([np.frombuffer(m, "<u8") for m in cell["map"].to_pylist()]))
+    _, roots = np.unique(label, return_inverse=True)
+    tree.build(np.lexsort((n, roots)), roots.astype(np.int64))
+    return k, label, lower, tree
+
+
+def spanning(label: np.ndarray, tree: SignatureTree) -> list[tuple[int, int]]:
+    """Pairs (member, leader) that may link, at most one less than there are members: a forest over them.
+
+    Members that may link with the first that is left fall to it at once, as large groups of near copies do. What some
+    leaders leave goes through the tree.
+    """
+    forest, out = Forest(label), []
+    todo = np.argsort(tree.size, kind="stable")
+    for _ in range(32):
+        if len(todo) < 2:
+            return out
+        lead, todo = todo[0], todo[1:]
+        near = tree.near(lead, todo)
+        for i in todo[near].tolist():
+            if forest.find(i) != forest.find(lead):
+                forest.join(i, lead)
+                out.append((i, int(lead)))
+        todo = todo[~near]
     for a, b in tree.pairs():
         for i, j in zip(a.tolist(), b.tolist()):
-            if forest.find(i) != forest.find(j) and linked(sets[i], sets[j]):
+            if forest.find(i) != forest.find(j):
                 forest.join(i, j)
-    return forest.roots()
+                out.append((i, j))
+    return out
+
+
+def _pair(cell: pa.Table) -> bool:
+    """Whether the two members of a cell may link; what SignatureTree.possible says, for the commonest cell."""
+    (n, m), (x, y) = cell["n"].to_pylist(), (int.from_bytes(v, "little") for v in cell["map"].to_pylist())
+    both = min((x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()), n, m)
+    return 5 * n >= 4 * m and 5 * m >= 4 * n and 180 * both >= 80 * (n + m)
+
+
+def _of_cells(pick):
+    """Over cells that lie one after another: the pairs that pick gives of each."""
+
+    @lean
+    def of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for cell in runs_of(batches, "key", "cell_band", "cell_i", "cell_j"):
+            if cell.num_rows == 2:
+                same, lower = (cell[c].to_pylist() for c in ("label", "lower"))
+                pairs = np.array([cell["k1"].to_pylist()] if same[0] != same[1] and not all(lower) and _pair(cell) else [], np.int64).reshape(-1, 2)
+            elif cell.num_rows > 2:
+                pairs = pick(cell)
+            else:
+                continue
+            if len(pairs):
+                out.append(np.sort(pairs, axis=1))
+                size += len(pairs)
+            if size > 100_000:
+                yield _pairs(out)
+                out, size = [], 0
+        yield _pairs(out)
 
+    return of_cells
 
-def _join(cell: pa.Table) -> pa.Table:
-    cell = cell.sort_by("label")
-    labels = cell["label"].to_numpy()
-    roots = join_cell(_arrays(cell["s"]), labels)
-    a, b = labels, labels[roots]
-    keep = a != b
-    pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
+def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *parts]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ka", "kb"])
 
-def _candidates(cell: pa.Table) -> pa.Table:
+
+def _spanning(cell: pa.Table) -> np.ndarray:
+    k, label, _, tree = _tree(cell)
+    return k[np.array(spanning(label, tree), np.int64).reshape(-1, 2)]
+
+
+def _candidates(cell: pa.Table) -> np.ndarray:
     """Pairs of members of different groups that the trees can't rule out; two of the lower band meet elsewhere."""
-    k, label, n, lower = (cell[c].to_numpy(zero_copy_only=False) for c in ("k1", "label", "n", "lower"))
-    tree = SignatureTree(n.astype(np.int64), np.stack([np.frombuffer(m, "<u8") for m in cell["map"].to_pylist()]))
-    _, roots = np.unique(label, return_inverse=True)
-    tree.build(np.lexsort((n, roots)), roots.astype(np.int64))
+    k, label, lower, tree = _tree(cell)
     out = [np.zeros((0, 2), np.int64)]
     for a, b in tree.pairs():
         keep = (label[a] != label[b]) & ~(lower[a] & lower[b])
-        out.append(np.sort(np.stack([k[a[keep]], k[b[keep]]], 1), axis=1))
-    pairs = np.concatenate(out)
-    return pa.table({"ka": pairs[:, 0], "kb": pairs[:, 1]})
+        out.append(np.stack([k[a[keep]], k[b[keep]]], 1))
+    return np.concatenate(out)
 
 
+@lean
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (_arrays(pa.chunked_array([batch.column(c)])) for c in ("sa", "sb"))
-        keep = pa.array([linked(a, b) for a, b in zip(x, y)], pa.bool_())
-        yield batch.select(["a", "b"]).filter(keep)
+        x, y = batch.column("ra").to_pylist(), batch.column("rb").to_pylist()
+        keep = [linked(*shingle_sets([a, b])) for a, b in zip(x, y)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _cells(members: DataFrame, cell_rows: int, cell_bytes: int) -> DataFrame:
+    """Members of keys and bands with several groups; those with too many members in a grid.
+
+    members (key, k1, label, band, bytes of the bitmap): each is in its own band and the next. A member of part p of a
+    split key goes to cells {p, j} for every j.
+    """
+    dealt = members.select("key", "k1", "label", "band", "bytes", F.explode(F.array("band", F.col("band") + 1)).alias("cell_band"))
+    parts = F.greatest(F.ceil(F.count("*") / cell_rows), F.ceil(F.sum("bytes") / cell_bytes)).cast("long").alias("_parts")
+    sizes = dealt.groupBy("key", "cell_band").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts)
+    sizes = sizes.filter("low <> high").select("key", "cell_band", "_parts")
+    split = dealt.drop("bytes").join(sizes, ["key", "cell_band"])
+    split = split.withColumn("_p", F.pmod(F.xxhash64("k1"), F.col("_parts"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    return split.withColumn("cell_i", F.least("_p", "_j")).withColumn("cell_j", F.greatest("_p", "_j")).drop("_parts", "_p", "_j")
 
 
-def _cells(members: DataFrame, by: list[str], cell_rows: int) -> DataFrame:
-    """Split keys with over cell_rows members into a grid: a member of part p goes to cells {p, j} for every j."""
-    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / cell_rows).cast("long").alias("_parts")).filter("_parts > 1")
-    split = members.join(sizes, by, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
-    part = F.pmod(F.xxhash64("k1"), F.col("_parts"))
-    split = split.withColumn("_p", part).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    return split.withColumn("cell_i", F.least("_p", "_j")).withColumn("cell_j", F.greatest("_p", "_j")).drop("_parts", "_p", "_j")
+def _sifted(raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of raw (_rid) that are in wanted (rep), and a few others: what a bitmap of SIFT bits lets through."""
+    bit = F.pmod(F.xxhash64("_rid"), F.lit(SIFT))
+    marks = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(SIFT)).alias("_bit")).groupBy((F.col("_bit") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_mask"))
+    met = raw.withColumn("_bit", bit).withColumn("_word", (F.col("_bit") / 64).cast("int")).join(F.broadcast(marks), "_word")  # at most SIFT / 64 rows
+    return met.filter("(_mask & shiftleft(1L, cast(_bit % 64 as int))) <> 0").select(*raw.columns)
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cell_bytes: int = 16 << 20) -> DataFrame:
     """_rid, n, component (the smallest _rid of its group) of every row of docs (_rid, text)."""
+    small_batches(spark)
     raw = docs.select("_rid", F.col("text").cast("binary").alias("raw"))
-    rows = stored(raw.mapInArrow(_summaries, "_rid long, n long, k1 long, k2 long, head array<long>"), "jaccard-rows")
+    heads = stored(raw.mapInArrow(_summaries, "_rid long, n long, k1 long, k2 long, head array<long>"), "jaccard-heads")
+    rows = stored(heads.select("_rid", "n", "k1", "k2"), "jaccard-rows")
     classes = stored(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("_rid").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
-    entries = rows.select("n", "k1", "head").mapInArrow(_entries, "h long, k1 long, first boolean")
+    entries = heads.select("n", "k1", "head").mapInArrow(_entries, "h long, k1 long, first boolean")
     shared = entries.repartition("h").sortWithinPartitions("h", "k1").mapInArrow(_shared, "h long, k1 long, first boolean")
     shared = stored(shared, "jaccard-shared")
+    dropped(heads)
 
     # one key for the first round and two more for the second: each is the least shingle under another order
     first = F.when(F.col("first"), F.col("h"))
-    keys = [F.min(first).alias("key"), *(F.min_by(first, F.when(F.col("first"), F.xxhash64("h", F.lit(r)))).alias(f"key{r}") for r in (1, 2))]
+    keys = [F.min(first).alias("key0"), *(F.min_by(first, F.when(F.col("first"), F.xxhash64("h", F.lit(r)))).alias(f"key{r}") for r in (1, 2))]
     found = shared.groupBy("k1").agg(F.count("*").alias("met"), *keys)
     need = F.greatest(F.lit(1), F.expr("((4 * n + 4) div 5) div 20"))
-    open_ = stored(found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key").isNotNull()).select("k1", "rep", "key", "key1", "key2"), "jaccard-open")
-    schema = "k1 long, key long, s array<long>, band long, own binary, up binary"
-    sets = stored(raw.join(open_, raw["_rid"] == open_["rep"]).select("k1", "key", "raw").mapInArrow(_sets, schema), "jaccard-sets")
-
-    def round_of(members: DataFrame, name: str) -> DataFrame:
-        """Links between labels, found in cells of members (k1, key, label); cells with one label have none."""
-        mixed_ = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        cells = _cells(members.join(mixed_, "key"), ["key"], cell_rows).join(sets.select("k1", "s"), "k1")
-        return stored(cells.groupBy("key", "cell_i", "cell_j").applyInArrow(_join, "a long, b long"), name)
-
-    near = round_of(open_.select("k1", "key", F.col("k1").alias("label")), "jaccard-first")
+    open_ = stored(found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key0").isNotNull()).select("k1", "rep", "key0", "key1", "key2"), "jaccard-open")
+    texts = _sifted(raw, open_).join(open_.select("k1", F.col("rep").alias("_rid")), "_rid").select("k1", "raw")
+    maps = stored(texts.mapInArrow(_maps, "k1 long, n long, band long, own binary, up binary, raw binary"), "jaccard-maps")
+    sized = maps.select("k1", "n", "band", F.octet_length("up").cast("long").alias("bytes"))
+
+    def compared(members: DataFrame, pick, name: str) -> DataFrame:
+        """Links (a, b) between classes that meet in cells of members (key, k1, label, band, bytes)."""
+        cells = _cells(members, cell_rows, cell_bytes)
+        lower = F.col("cell_band") > F.col("band")
+        cells = cells.withColumn("lower", lower).drop("band").join(maps.select("k1", "n", "own", "up"), "k1")
+        cells = cells.select("key", "cell_band", "cell_i", "cell_j", "k1", "label", "n", "lower", F.when(F.col("lower"), F.col("up")).otherwise(F.col("own")).alias("map"))
+        cell = ["key", "cell_band", "cell_i", "cell_j"]
+        pairs = stored(cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_of_cells(pick), "ka long, kb long").distinct(), f"{name}-pairs")
+        release(spark)
+        both = pairs.join(maps.select(F.col("k1").alias("ka"), F.col("raw").alias("ra")), "ka").join(maps.select(F.col("k1").alias("kb"), F.col("raw").alias("rb")), "kb")
+        return stored(both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ra", "rb").mapInArrow(_verified, "a long, b long"), name)
+
+    label = F.col("k1").alias("label")
+    near = compared(open_.select("k1", F.col("key0").alias("key")).join(sized, "k1").select("key", "k1", label, "band", "bytes"), _spanning, "jaccard-first")
     # a class that was joined to another one takes its name; that needn't be the last name of its group yet
     named = near.groupBy("a").agg(F.min("b").alias("b"))
-    second = open_.select("k1", F.explode(F.array("key1", "key2")).alias("key")).distinct().join(named, F.col("k1") == F.col("a"), "left")
-    near = near.unionAll(round_of(second.select("k1", "key", F.coalesce("b", "k1").alias("label")), "jaccard-second"))
+    second = open_.select("k1", F.explode(F.array("key1", "key2")).alias("key")).distinct().join(sized, "k1").join(named, F.col("k1") == F.col("a"), "left")
+    near = near.unionAll(compared(second.select("key", "k1", F.coalesce("b", "k1").alias("label"), "band", "bytes"), _spanning, "jaccard-second"))
     group = stored(components(near), "jaccard-groups")
-    labels = sets.join(group, sets["k1"] == group["node"], "left").select("k1", "band", "own", "up", F.coalesce("component", "k1").alias("label"), F.size("s").alias("n"))
-    labels = stored(labels, "jaccard-labels")
+    labels = stored(sized.join(group, sized["k1"] == group["node"], "left").select("k1", "n", "band", "bytes", F.coalesce("component", "k1").alias("label")), "jaccard-labels")
 
     # what is shared with another group only; classes with too little of that are done
-    marks = shared.join(labels.select("k1", "label", "n"), "k1")
-    spread = lambda rows: rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sig")).filter("low <> high")
+    marks = shared.select("h", "k1").join(labels.select("k1", "label", "n"), "k1")
+    spread = lambda rows: rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sig")).filter("low <> high").select("h", "m", "sig")
     marks = stored(marks.join(spread(marks).select("h"), "h"), "jaccard-marks")
     still = marks.groupBy("k1", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= need).select("k1")
-    marks = marks.filter("first").join(still, "k1")
-    chosen = spread(marks).groupBy("m", "sig").agg(F.min("h").alias("h")).select("h")
-    members = marks.join(chosen, "h").select("h", "k1").join(labels.select("k1", "band"), "k1")
-    dealt = members.select("h", "k1", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    several = dealt.groupBy("h", "band").count().filter("count > 1").select("h", "band")
-    dealt = _cells(dealt.join(several, ["h", "band"]), ["h", "band"], cell_rows)
-    lower = F.col("cell_band") > F.col("band")
-    cells = dealt.withColumnRenamed("band", "cell_band").join(labels, "k1").select("h", "cell_band", "cell_i", "cell_j", "k1", "label", "n", lower.alias("lower"), F.when(lower, F.col("up")).otherwise(F.col("own")).alias("map"))
-    pairs = stored(cells.groupBy("h", "cell_band", "cell_i", "cell_j").applyInArrow(_candidates, "ka long, kb long").distinct(), "jaccard-pairs")
-    one = sets.select("k1", "s").join(labels.select("k1", "label"), "k1")
-    both = pairs.join(one.select(F.col("k1").alias("ka"), F.col("label").alias("a"), F.col("s").alias("sa")), "ka").join(one.select(F.col("k1").alias("kb"), F.col("label").alias("b"), F.col("s").alias("sb")), "kb")
-    more = stored(both.select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long").distinct(), "jaccard-more")
+    marks = marks.join(still, "k1")
+    # shingles with the same members are one; of all that it shares, a class may miss need - 1 with a partner
+    owned = marks.join(spread(marks), "h").groupBy("k1", "n", "label", "m", "sig").agg(F.count("*").alias("w"))
+    order = Window.partitionBy("k1").orderBy("m", "sig")
+    owned = owned.withColumn("before", F.sum("w").over(order) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy("k1")))
+    chosen = owned.filter(F.col("before") <= F.col("all") - need).select("k1", "label", F.xxhash64("m", "sig").alias("key"))
+    more = compared(chosen.join(labels.select("k1", "band", "bytes"), "k1"), _candidates, "jaccard-more")
 
     joined = stored(components(near.unionAll(more)), "jaccard-joined")
+    dropped(shared, maps)
     release(spark)
     # components speak of classes; a group is named by the smallest row of its classes
     named = classes.join(joined, classes["k1"] == joined["node"]).select("k1", "k2", "rep", F.col("component").alias("c"))
@@ -378,9 +442,10 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096) ->
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one document of each group: that with the smallest id."""
-    keyed = row_keys(docs)
-    groups = near_groups(spark, keyed.select("_rid", "text")).filter("_rid = component").select("_rid")
-    return keyed.join(groups, "_rid", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    (rid,) = free_names(docs.columns, "_rid")
+    keyed = row_keys(docs, name=rid)
+    groups = near_groups(spark, keyed.select(F.col(rid).alias("_rid"), "text")).filter("_rid = component").select(F.col("_rid").alias(rid))
+    return keyed.join(groups, rid, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

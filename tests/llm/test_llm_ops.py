@@ -534,19 +534,38 @@ def test_signature_trees(spark, docs, odd, none, cell):
     assert op10_sigtree.near_groups(spark, row_keys(none).select("_rid", "text")).count() == 0
 
 
-def test_join_cell_against_brute_force():
+def cell_of(sets, labels):
+    """A cell of sets of one size class, as the operator hands it to its trees."""
+    import pyarrow as pa
+
+    maps = [op10_sigtree.bitmap(x, 256).tobytes() for x in sets]
+    return pa.table({"k1": np.arange(len(sets)), "label": labels, "n": [len(x) for x in sets], "lower": np.zeros(len(sets), bool), "map": pa.array(maps, pa.binary())})
+
+
+def test_cells_against_brute_force():
+    """The trees lose no pair that links, and a forest joins what links unless something else may stand between."""
     rng = np.random.default_rng(11)
     base = [np.unique(rng.integers(0, 2**62, 60).astype(np.uint64)) for _ in range(6)]
     sets = [np.unique(np.r_[b[: rng.integers(40, 60)], rng.integers(0, 2**62, rng.integers(0, 12)).astype(np.uint64)]) for b in base for _ in range(25)]
-    got = op10_sigtree.join_cell(sets, np.arange(len(sets)))
-    up = list(range(len(sets)))
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if op10_sigtree.linked(sets[i], sets[j])}
+    assert links
+    everyone = np.arange(len(sets))
+    got = {tuple(sorted(p)) for p in op10_sigtree._candidates(cell_of(sets, everyone)).tolist()}
+    assert links <= got and len(got) < len(sets) * (len(sets) - 1) / 4
+    labels = everyone // 2
+    assert {(i, j) for i, j in links if labels[i] != labels[j]} <= {tuple(sorted(p)) for p in op10_sigtree._candidates(cell_of(sets, labels)).tolist()}
+    forest = op10_sigtree._spanning(cell_of(sets, everyone)).tolist()
+    assert len(forest) < len(sets)
+    up = everyone.tolist()
     find = lambda i: i if up[i] == i else find(up[i])
-    for i in range(len(sets)):
+    for a, b in forest:
+        assert find(a) != find(b)
+        up[find(a)] = find(b)
+    assert all(find(i) == find(j) for i, j in links)
+    for i in range(40):
         for j in range(i):
-            if op10_sigtree.linked(sets[i], sets[j]):
-                a, b = find(i), find(j)
-                up[max(a, b)] = min(a, b)
-    assert got.tolist() == [find(i) for i in range(len(sets))]
+            pair = cell_of([sets[i], sets[j]], np.array([0, 1]))
+            assert op10_sigtree._pair(pair) == bool(len(op10_sigtree._candidates(pair)))
 
 
 def test_components(spark):
