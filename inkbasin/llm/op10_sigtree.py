@@ -14,14 +14,15 @@ up to collisions of 64-bit hashes of shingles.
    bitmaps below, the range of sizes and the largest number of shingles beyond one per bit. Two trees are walked
    together: a pair of nodes goes no further if the sizes are too far apart, if the largest possible overlap, bits in
    common plus the smaller excess, is too small for the sizes, or if all below are joined already. The texts of the
-   pairs that remain are compared afterwards, exactly. A cell of more than `cell_rows` members or `cell_bytes` of
-   bitmaps is split into a grid, so that every pair of members still meets in one.
+   pairs that remain are compared exactly. That takes two steps: bitmaps alone tell which members may link with one of
+   another group, and only their texts come to the cell, where groups grow as links are found, so that a large group of
+   near copies costs about one comparison a member and no list of pairs ever leaves a cell. A cell of more than
+   `cell_rows` members or `cell_bytes` of bitmaps is split into a grid, so that every pair of members still meets in one.
    First, each class is in the cells of its smallest shared shingle, then of the smallest by two other orders if other
-   groups are there. In these two rounds a cell gives a spanning forest of what may link, so that large groups of near
-   copies cost one comparison a member; what that misses is left for the last round.
-   Then classes that share enough with other groups are dealt anew, and every pair that the trees can't rule out is
-   compared. Shingles with the same members count as one, so that a passage that many share makes one cell. By
-   rising number of members, a class that shares k shingles and needs t of them is in the cells of the first k - t + 1.
+   groups are there, which joins nearly all near copies to a group.
+   Then classes that share enough with other groups are dealt anew. Shingles with the same members count as one, so that
+   a passage that many share makes few cells. By rising number of members, a class that shares k shingles and needs t
+   of them is in the cells of the first k - t + 1.
 4. Connected components of the links found, without collecting any.
 
 n_shingles counts the set. A text that is null or has no word has an empty set and links with nothing. Repeated rows
@@ -149,6 +150,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["h", "k1", "first"])
 
 
+@lean
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, k1, label) sorted by h: of shingles that several groups share, each class with the number and a sum of hashes of all of them."""
+    for batch in _whole_runs(batches, "h"):
+        h, k, label = (batch[c].to_numpy() for c in ("h", "k1", "label"))
+        cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        m = np.diff(np.r_[cut, len(h)])
+        sig = np.add.reduceat(mixed(k.astype(np.uint64)), cut).astype(np.int64)
+        keep = np.repeat(np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut), m)
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(np.repeat(m, m)[keep]), pa.array(np.repeat(sig, m)[keep])], names=["k1", "m", "sig"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by key in tables that end where a key ends."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, keys = pa.Table.from_batches([batch]), batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and held[0][key][0].as_py() != keys[0].item():
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        if cut:
+            yield pa.concat_tables([*held, rows.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(rows.slice(cut))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def band_of(n: int) -> int:
     """Sizes of partners lie in the same band or a neighbouring one."""
     return int(math.log(n) / math.log(1.25) + 1e-9)
@@ -255,99 +287,112 @@ class SignatureTree:
                 stack.append((level - 1, x[p : p + (1 << 15)], y[p : p + (1 << 15)]))
 
 
-def _tree(cell: pa.Table):
-    """A cell's classes, labels, whether they are of the lower band, sizes, and a tree over them by label."""
-    k, label, n, lower = (cell[c].to_numpy(zero_copy_only=False) for c in ("k1", "label", "n", "lower"))
-    tree = SignatureTree(n.astype(np.int64), np.stack([np.frombuffer(m, "<u8") for m in cell["map"].to_pylist()]))
-    _, roots = np.unique(label, return_inverse=True)
-    tree.build(np.lexsort((n, roots)), roots.astype(np.int64))
-    return k, label, lower, tree
+_CELL = ["key", "cell_band", "cell_i", "cell_j"]
 
 
-def spanning(label: np.ndarray, tree: SignatureTree) -> list[tuple[int, int]]:
-    """Pairs (member, leader) that may link, at most one less than there are members: a forest over them.
+def partnered(k: np.ndarray, label: np.ndarray, tree: SignatureTree) -> np.ndarray:
+    """Which members the tree can't rule out for a member of another group.
 
-    Members that may link with the first that is left fall to it at once, as large groups of near copies do. What some
-    leaders leave goes through the tree.
+    Some leaders are compared with all, as that settles large groups of near copies at once.
     """
-    forest, out = Forest(label), []
-    todo = np.argsort(tree.size, kind="stable")
-    for _ in range(32):
-        if len(todo) < 2:
-            return out
-        lead, todo = todo[0], todo[1:]
-        near = tree.near(lead, todo)
-        for i in todo[near].tolist():
-            if forest.find(i) != forest.find(lead):
-                forest.join(i, lead)
-                out.append((i, int(lead)))
-        todo = todo[~near]
+    found = np.zeros(len(k), bool)
+    todo, everyone = np.argsort(tree.size, kind="stable"), np.arange(len(k))
+    for _ in range(8):
+        if not len(todo):
+            return found
+        near = tree.near(todo[0], everyone) & (label != label[todo[0]])
+        found |= near
+        found[todo[0]] |= near.any()
+        todo = todo[1:][~found[todo[1:]]]
+    _, roots = np.unique(label, return_inverse=True)
+    tree.build(np.lexsort((tree.size, roots)), roots.astype(np.int64))
     for a, b in tree.pairs():
-        for i, j in zip(a.tolist(), b.tolist()):
-            if forest.find(i) != forest.find(j):
-                forest.join(i, j)
-                out.append((i, j))
-    return out
+        other = label[a] != label[b]
+        found[a[other]] = found[b[other]] = True
+    return found
+
+
+@lean
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, k1, label, n, map) sorted by cell: those with a possible partner of another group in the cell."""
+    held: list[pa.Table] = []
+    names, size = [*_CELL, "k1", "label"], 0
+    for cell in runs_of(batches, *_CELL):
+        if cell.num_rows < 2:
+            continue
+        if cell.num_rows == 2:
+            keep = None if _pair(cell) else cell.slice(0, 0)
+        else:
+            k, label, n = (cell[c].to_numpy() for c in ("k1", "label", "n"))
+            tree = SignatureTree(n.astype(np.int64), np.stack([np.frombuffer(m, "<u8") for m in cell["map"].to_pylist()]))
+            keep = cell.filter(pa.array(partnered(k, label, tree)))
+        part = (cell if keep is None else keep).select(names)
+        if part.num_rows:
+            held.append(part)
+            size += part.num_rows
+        if size > 10_000:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
 
 
 def _pair(cell: pa.Table) -> bool:
-    """Whether the two members of a cell may link; what SignatureTree.possible says, for the commonest cell."""
+    """Whether the two members of a cell are of different groups and may link; the commonest cell."""
     (n, m), (x, y) = cell["n"].to_pylist(), (int.from_bytes(v, "little") for v in cell["map"].to_pylist())
     both = min((x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()), n, m)
-    return 5 * n >= 4 * m and 5 * m >= 4 * n and 180 * both >= 80 * (n + m)
-
-
-def _of_cells(pick):
-    """Over cells that lie one after another: the pairs that pick gives of each."""
-
-    @lean
-    def of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        for cell in runs_of(batches, "key", "cell_band", "cell_i", "cell_j"):
-            if cell.num_rows == 2:
-                same, lower = (cell[c].to_pylist() for c in ("label", "lower"))
-                pairs = np.array([cell["k1"].to_pylist()] if same[0] != same[1] and not all(lower) and _pair(cell) else [], np.int64).reshape(-1, 2)
-            elif cell.num_rows > 2:
-                pairs = pick(cell)
-            else:
-                continue
-            if len(pairs):
-                out.append(np.sort(pairs, axis=1))
-                size += len(pairs)
-            if size > 100_000:
-                yield _pairs(out)
-                out, size = [], 0
-        yield _pairs(out)
-
-    return of_cells
-
-
-def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *parts]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ka", "kb"])
-
-
-def _spanning(cell: pa.Table) -> np.ndarray:
-    k, label, _, tree = _tree(cell)
-    return k[np.array(spanning(label, tree), np.int64).reshape(-1, 2)]
-
-
-def _candidates(cell: pa.Table) -> np.ndarray:
-    """Pairs of members of different groups that the trees can't rule out; two of the lower band meet elsewhere."""
-    k, label, lower, tree = _tree(cell)
-    out = [np.zeros((0, 2), np.int64)]
+    return cell["label"][0] != cell["label"][1] and 5 * n >= 4 * m and 5 * m >= 4 * n and 180 * both >= 80 * (n + m)
+
+
+def join_cell(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that link, at most one less than there are members: with the labels they join all that links in the cell."""
+    forest, out = Forest(labels), []
+    if len(sets) < 2:
+        return out
+    size = np.array([len(s) for s in sets], np.int64)
+    bits = 1 << min(15, max(6, int(4 * np.median(size)).bit_length()))
+    tree = SignatureTree(size, np.stack([bitmap(x, bits) for x in sets]))
+
+    def met(i: int, j: int) -> bool:
+        if forest.find(i) == forest.find(j):
+            return True
+        if not linked(sets[i], sets[j]):
+            return False
+        forest.join(i, j)
+        out.append((i, j))
+        return True
+
+    todo = np.argsort(size, kind="stable")
+    for _ in range(32):  # stars: members that link with the first that is left join it
+        if len(todo) < 2:
+            break
+        lead, todo = int(todo[0]), todo[1:]
+        near = tree.near(lead, todo)
+        joined = np.zeros(len(todo), bool)
+        for at in np.flatnonzero(near).tolist():
+            joined[at] = met(int(todo[at]), lead)
+        todo = todo[~joined]
+    roots = forest.roots()
+    tree.build(np.lexsort((size, roots)), roots)
     for a, b in tree.pairs():
-        keep = (label[a] != label[b]) & ~(lower[a] & lower[b])
-        out.append(np.stack([k[a[keep]], k[b[keep]]], 1))
-    return np.concatenate(out)
+        for i, j in zip(a.tolist(), b.tolist()):
+            met(i, j)
+    return out
 
 
 @lean
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = batch.column("ra").to_pylist(), batch.column("rb").to_pylist()
-        keep = [linked(*shingle_sets([a, b])) for a, b in zip(x, y)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, k1, label, raw) sorted by cell: links (a, b) that were found there."""
+    out: list[tuple[int, int]] = []
+    for cell in runs_of(batches, *_CELL):
+        k = cell["k1"].to_pylist()
+        sets = [s for _, texts in _raw_runs(cell.combine_chunks().to_batches()[0]) for s in shingle_sets(texts)]
+        out += [(max(k[i], k[j]), min(k[i], k[j])) for i, j in join_cell(sets, cell["label"].to_numpy())]
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
 
 def _cells(members: DataFrame, cell_rows: int, cell_bytes: int) -> DataFrame:
@@ -373,7 +418,7 @@ def _sifted(raw: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.filter("(_mask & shiftleft(1L, cast(_bit % 64 as int))) <> 0").select(*raw.columns)
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cell_bytes: int = 16 << 20) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cell_bytes: int = 4 << 20) -> DataFrame:
     """_rid, n, component (the smallest _rid of its group) of every row of docs (_rid, text)."""
     small_batches(spark)
     raw = docs.select("_rid", F.col("text").cast("binary").alias("raw"))
@@ -388,46 +433,40 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cel
     # one key for the first round and two more for the second: each is the least shingle under another order
     first = F.when(F.col("first"), F.col("h"))
     keys = [F.min(first).alias("key0"), *(F.min_by(first, F.when(F.col("first"), F.xxhash64("h", F.lit(r)))).alias(f"key{r}") for r in (1, 2))]
-    found = shared.groupBy("k1").agg(F.count("*").alias("met"), *keys)
+    found = shared.repartition("k1").groupBy("k1").agg(F.count("*").alias("met"), *keys)
     need = F.greatest(F.lit(1), F.expr("((4 * n + 4) div 5) div 20"))
     open_ = stored(found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key0").isNotNull()).select("k1", "rep", "key0", "key1", "key2"), "jaccard-open")
-    texts = _sifted(raw, open_).join(open_.select("k1", F.col("rep").alias("_rid")), "_rid").select("k1", "raw")
+    texts = _sifted(raw, open_).join(open_.select("k1", F.col("rep").alias("_rid")).hint("merge"), "_rid").select("k1", "raw")
     maps = stored(texts.mapInArrow(_maps, "k1 long, n long, band long, own binary, up binary, raw binary"), "jaccard-maps")
     sized = maps.select("k1", "n", "band", F.octet_length("up").cast("long").alias("bytes"))
 
-    def compared(members: DataFrame, pick, name: str) -> DataFrame:
+    def compared(members: DataFrame, name: str) -> DataFrame:
         """Links (a, b) between classes that meet in cells of members (key, k1, label, band, bytes)."""
-        cells = _cells(members, cell_rows, cell_bytes)
         lower = F.col("cell_band") > F.col("band")
-        cells = cells.withColumn("lower", lower).drop("band").join(maps.select("k1", "n", "own", "up"), "k1")
-        cells = cells.select("key", "cell_band", "cell_i", "cell_j", "k1", "label", "n", "lower", F.when(F.col("lower"), F.col("up")).otherwise(F.col("own")).alias("map"))
-        cell = ["key", "cell_band", "cell_i", "cell_j"]
-        pairs = stored(cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_of_cells(pick), "ka long, kb long").distinct(), f"{name}-pairs")
-        release(spark)
-        both = pairs.join(maps.select(F.col("k1").alias("ka"), F.col("raw").alias("ra")), "ka").join(maps.select(F.col("k1").alias("kb"), F.col("raw").alias("rb")), "kb")
-        return stored(both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ra", "rb").mapInArrow(_verified, "a long, b long"), name)
+        cells = _cells(members, cell_rows, cell_bytes).withColumn("lower", lower).join(maps.select("k1", "n", "own", "up").hint("merge"), "k1")
+        cells = cells.select(*_CELL, "k1", "label", "n", F.when(F.col("lower"), F.col("up")).otherwise(F.col("own")).alias("map"))
+        may = stored(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_may_link, "key long, cell_band long, cell_i long, cell_j long, k1 long, label long"), f"{name}-may")
+        texts = may.join(maps.select("k1", "raw").hint("merge"), "k1").repartition(*_CELL).sortWithinPartitions(*_CELL, "k1")
+        return stored(texts.mapInArrow(_links, "a long, b long").distinct(), name)
 
     label = F.col("k1").alias("label")
-    near = compared(open_.select("k1", F.col("key0").alias("key")).join(sized, "k1").select("key", "k1", label, "band", "bytes"), _spanning, "jaccard-first")
+    near = compared(open_.select("k1", F.col("key0").alias("key")).join(sized, "k1").select("key", "k1", label, "band", "bytes"), "jaccard-first")
     # a class that was joined to another one takes its name; that needn't be the last name of its group yet
     named = near.groupBy("a").agg(F.min("b").alias("b"))
     second = open_.select("k1", F.explode(F.array("key1", "key2")).alias("key")).distinct().join(sized, "k1").join(named, F.col("k1") == F.col("a"), "left")
-    near = near.unionAll(compared(second.select("key", "k1", F.coalesce("b", "k1").alias("label"), "band", "bytes"), _spanning, "jaccard-second"))
+    near = near.unionAll(compared(second.select("key", "k1", F.coalesce("b", "k1").alias("label"), "band", "bytes"), "jaccard-second"))
     group = stored(components(near), "jaccard-groups")
     labels = stored(sized.join(group, sized["k1"] == group["node"], "left").select("k1", "n", "band", "bytes", F.coalesce("component", "k1").alias("label")), "jaccard-labels")
 
     # what is shared with another group only; classes with too little of that are done
-    marks = shared.select("h", "k1").join(labels.select("k1", "label", "n"), "k1")
-    spread = lambda rows: rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sig")).filter("low <> high").select("h", "m", "sig")
-    marks = stored(marks.join(spread(marks).select("h"), "h"), "jaccard-marks")
-    still = marks.groupBy("k1", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= need).select("k1")
-    marks = marks.join(still, "k1")
+    marks = shared.select("h", "k1").join(labels.select("k1", "label").hint("merge"), "k1").repartition("h").sortWithinPartitions("h")
+    marks = marks.mapInArrow(_spread, "k1 long, m long, sig long").repartition("k1")
     # shingles with the same members are one; of all that it shares, a class may miss need - 1 with a partner
-    owned = marks.join(spread(marks), "h").groupBy("k1", "n", "label", "m", "sig").agg(F.count("*").alias("w"))
-    order = Window.partitionBy("k1").orderBy("m", "sig")
-    owned = owned.withColumn("before", F.sum("w").over(order) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy("k1")))
-    chosen = owned.filter(F.col("before") <= F.col("all") - need).select("k1", "label", F.xxhash64("m", "sig").alias("key"))
-    more = compared(chosen.join(labels.select("k1", "band", "bytes"), "k1"), _candidates, "jaccard-more")
+    owned = marks.groupBy("k1", "m", "sig").agg(F.count("*").alias("w"))
+    owned = owned.withColumn("before", F.sum("w").over(Window.partitionBy("k1").orderBy("m", "sig")) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy("k1")))
+    chosen = owned.join(labels.hint("merge"), "k1").filter((F.col("all") >= need) & (F.col("before") <= F.col("all") - need))
+    chosen = stored(chosen.select(F.xxhash64("m", "sig").alias("key"), "k1", "label", "band", "bytes"), "jaccard-chosen")
+    more = compared(chosen, "jaccard-more")
 
     joined = stored(components(near.unionAll(more)), "jaccard-joined")
     dropped(shared, maps)

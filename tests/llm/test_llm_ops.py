@@ -534,38 +534,54 @@ def test_signature_trees(spark, docs, odd, none, cell):
     assert op10_sigtree.near_groups(spark, row_keys(none).select("_rid", "text")).count() == 0
 
 
-def cell_of(sets, labels):
-    """A cell of sets of one size class, as the operator hands it to its trees."""
+def test_cells_against_brute_force():
+    """The trees lose no member that links with another group, and in a cell all that links is joined."""
     import pyarrow as pa
 
-    maps = [op10_sigtree.bitmap(x, 256).tobytes() for x in sets]
-    return pa.table({"k1": np.arange(len(sets)), "label": labels, "n": [len(x) for x in sets], "lower": np.zeros(len(sets), bool), "map": pa.array(maps, pa.binary())})
-
-
-def test_cells_against_brute_force():
-    """The trees lose no pair that links, and a forest joins what links unless something else may stand between."""
     rng = np.random.default_rng(11)
     base = [np.unique(rng.integers(0, 2**62, 60).astype(np.uint64)) for _ in range(6)]
     sets = [np.unique(np.r_[b[: rng.integers(40, 60)], rng.integers(0, 2**62, rng.integers(0, 12)).astype(np.uint64)]) for b in base for _ in range(25)]
+    sets += [np.unique(rng.integers(0, 2**62, 55).astype(np.uint64)) for _ in range(100)]
     links = {(i, j) for j in range(len(sets)) for i in range(j) if op10_sigtree.linked(sets[i], sets[j])}
     assert links
     everyone = np.arange(len(sets))
-    got = {tuple(sorted(p)) for p in op10_sigtree._candidates(cell_of(sets, everyone)).tolist()}
-    assert links <= got and len(got) < len(sets) * (len(sets) - 1) / 4
-    labels = everyone // 2
-    assert {(i, j) for i, j in links if labels[i] != labels[j]} <= {tuple(sorted(p)) for p in op10_sigtree._candidates(cell_of(sets, labels)).tolist()}
-    forest = op10_sigtree._spanning(cell_of(sets, everyone)).tolist()
-    assert len(forest) < len(sets)
-    up = everyone.tolist()
-    find = lambda i: i if up[i] == i else find(up[i])
-    for a, b in forest:
-        assert find(a) != find(b)
-        up[find(a)] = find(b)
-    assert all(find(i) == find(j) for i, j in links)
+    maps = np.stack([op10_sigtree.bitmap(x, 256) for x in sets])
+    size = np.array([len(x) for x in sets], np.int64)
+    for labels in (everyone, everyone // 2, everyone // 25):
+        found = op10_sigtree.partnered(everyone, labels, op10_sigtree.SignatureTree(size, maps))
+        assert all(found[i] and found[j] for i, j in links if labels[i] != labels[j])
+        assert found[-100:].sum() < 20
+        pairs = op10_sigtree.join_cell(sets, labels)
+        assert set(pairs) | {(j, i) for i, j in pairs} >= set(pairs) and all((min(p), max(p)) in links for p in pairs)
+        up = labels.tolist()
+        first = {}
+        up = [first.setdefault(x, i) for i, x in enumerate(up)]
+        find = lambda i: i if up[i] == i else find(up[i])
+        for a, b in pairs:
+            assert find(a) != find(b)
+            up[find(a)] = find(b)
+        assert all(find(i) == find(j) for i, j in links)
     for i in range(40):
         for j in range(i):
-            pair = cell_of([sets[i], sets[j]], np.array([0, 1]))
-            assert op10_sigtree._pair(pair) == bool(len(op10_sigtree._candidates(pair)))
+            pair = pa.table({"label": [0, 1], "n": size[[i, j]], "map": pa.array([maps[i].tobytes(), maps[j].tobytes()], pa.binary())})
+            assert op10_sigtree._pair(pair) or (j, i) not in links
+
+
+def test_runs_of():
+    import pyarrow as pa
+
+    from inkbasin.llm.common import runs_of
+
+    rng = random.Random(4)
+    rows = sorted((rng.randint(0, 6), rng.randint(0, 3), i) for i in range(200))
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b, "i": i} for a, b, i in rows[x : x + 17]], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int64())])) for x in range(0, 200, 17)]
+    expected = [[r[2] for r in group] for _, group in itertools.groupby(rows, lambda r: r[:2])]
+    assert [t["i"].to_pylist() for t in runs_of(iter(batches), "a", "b")] == expected
+    whole = list(op10_sigtree._whole_runs(iter(batches), "a"))
+    assert [i for t in whole for i in t["i"].to_pylist()] == [r[2] for r in rows]
+    ends = [t["a"].to_pylist() for t in whole]
+    assert all(x[-1] != y[0] for x, y in zip(ends, ends[1:]))
+    assert list(runs_of(iter([]), "a")) == []
 
 
 def test_components(spark):
