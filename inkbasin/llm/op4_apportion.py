@@ -15,7 +15,7 @@ What a document gives follows from its place in the shard in closed form; blocks
 holds one row per source; the shards of a source meet in one task as (shard, words, blocks).
 
 Null or empty texts have size 0 and give nothing; a null source is a source of its own. Repeated rows and null ids are
-rows of their own. An empty table gives an empty result; other columns don't matter. Reruns agree, as every hash is
+rows of their own. An empty table gives an empty result; other columns don't matter, whatever their names. Reruns agree, as every hash is
 seeded and every order total (rows that agree in id and text are alike).
 """
 
@@ -30,9 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import WORD, stored, table
+from inkbasin.llm.common import WORD, free_names, stored, table
 
 WEIGHTS = (5, 2, 1)
+#: The plan of at most so many sources is broadcast; more are joined.
+MOST_SENT = 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2) -> list[Fraction]:
@@ -96,8 +98,10 @@ def planned(docs: DataFrame, block: int, shard_words: int, seed: int, most: int)
     goal = targets([n for _, n in totals], most=most)
     seats = sainte_lague(np.array([float(g) for g in goal]), round(sum(goal) / block))
     plan = [(s, n, float(g), int(k), max(1, -(-n // shard_words))) for (s, n), g, k in zip(totals, goal, seats)]
+    small = len(plan) <= MOST_SENT
     plan = spark.createDataFrame(plan, "s string, source_size long, target double, seats long, shards long")
-    rows = sized.join(plan, "s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards")))
+    # a source may hold a third of all rows
+    rows = sized.join(F.broadcast(plan) if small else plan, "s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards")))
     shards = rows.groupBy("s", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
     quotas = shards.groupBy("s").applyInPandas(_quotas(block, most), "s string, shard long, blocks long, quota long")
     order = Window.partitionBy("s", "shard").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +125,7 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 1 << 20, seed: int
     return rows.select("doc_id", "size", "source_size", "target", F.expr(_words_taken(block)).cast("long").alias("taken"), "source")
 
 
-def _cut(block: int):
+def _cut(block: int, text: str, numbers: list[str]):
     """The text that a document gives: whole copies first, then the words of its extra blocks as they stand."""
     import re
 
@@ -141,7 +145,7 @@ def _cut(block: int):
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows["text"] = [give(*x) for x in zip(rows.pop("_text"), rows.pop("_start"), rows.pop("_copies"), rows.pop("_extra"), rows.pop("_blocks"), rows.pop("_turn"))]
+            rows["text"] = [give(*x) for x in zip(rows.pop(text), *(rows.pop(n) for n in numbers))]
             yield rows
 
     return cut
@@ -155,15 +159,17 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = 16, shard
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     # rows that agree in id and text lie side by side in one shard; their parts differ, so they are told apart by number
     same = Window.partitionBy("doc_id", "draw").orderBy("start")
-    rows = planned(docs, block, shard_words, seed, most).withColumn("nth", F.row_number().over(same)).withColumn("taken", F.expr(_words_taken(block)))
-    rows = rows.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("nth").alias("_nth"), F.col("start").alias("_start"), F.expr("quota div blocks").alias("_copies"), F.expr("quota % blocks").alias("_extra"), F.col("blocks").alias("_blocks"), F.col("turn").alias("_turn"))
-    texts = docs.withColumn("_draw", key)
-    texts = texts.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_draw").orderBy("doc_id")))
-    joined = texts.join(rows, texts["doc_id"].eqNullSafe(rows["_id"]) & (texts["_draw"] == rows["_draw"]) & (texts["_nth"] == rows["_nth"]))
-    kept = [F.col("text").alias("_text") if c == "text" else texts[c] for c in docs.columns]
-    numbers = ["_start", "_copies", "_extra", "_blocks", "_turn"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["text string"])
-    out = joined.select(*[c for c, n in zip(kept, docs.columns) if n != "text"], *[c for c, n in zip(kept, docs.columns) if n == "text"], *numbers).mapInPandas(_cut(block), schema)
+    rows = planned(docs.select("doc_id", "text", "source"), block, shard_words, seed, most).withColumn("nth", F.row_number().over(same)).withColumn("taken", F.expr(_words_taken(block)))
+    id_, draw, nth, text, *numbers = names = free_names(docs.columns, "_id", "_draw", "_nth", "_text", "_start", "_copies", "_extra", "_blocks", "_turn")
+    of = (F.col("start"), F.expr("quota div blocks"), F.expr("quota % blocks"), F.col("blocks"), F.col("turn"))
+    rows = rows.filter("taken > 0").select(F.col("doc_id").alias(id_), F.col("draw").alias(draw), F.col("nth").alias(nth), *(c.alias(n) for c, n in zip(of, numbers)))
+    mine, turn = free_names([*docs.columns, *names], "_own_draw", "_own_nth")
+    texts = docs.withColumn(mine, key)
+    texts = texts.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", mine).orderBy("doc_id")))
+    joined = texts.join(rows, texts["doc_id"].eqNullSafe(rows[id_]) & (texts[mine] == rows[draw]) & (texts[turn] == rows[nth]))
+    others = [c for c in docs.columns if c != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "text string"])
+    out = joined.select(*(texts[f"`{c}`"] for c in others), F.col("text").alias(text), *numbers).mapInPandas(_cut(block, text, numbers), schema)
     return out.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
