@@ -46,6 +46,9 @@ def small_batches(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return what a reused Python worker has freed to the system; else Arrow's pool and the C heap keep it."""
+    from inkbasin.llm import shingles
+
+    shingles._powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

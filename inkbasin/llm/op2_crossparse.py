@@ -14,7 +14,7 @@ batch of texts walks them in parallel, in stretches of STRETCH symbols (a phrase
 Symbols are the bytes of the lower-cased text, with everything that is ASCII and not a letter as one space. A null
 text, or one without any letter, gets `und` with score 0; so do all texts when no labelled row can be learned from.
 Ties go to the language with more labelled rows, then to the smaller code. Repeated rows and null ids don't matter;
-an empty table gives an empty result; other columns don't matter.
+an empty table gives an empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import id_text, table
+from inkbasin.llm.common import free_names, give_back, id_text, small_batches, table
 
 STRETCH = 256
 _PAD, _SPACE, _BREAK, _FIRST = 0, 1, 2, 3  # symbol classes; a break stands between sampled rows and matches nothing
@@ -94,14 +94,14 @@ def _tables(samples: list[tuple[str, list[bytes]]]):
             for c, to in step[0].items():
                 start[c], ends[c] = to * width, 1
             # a symbol that doesn't go on ends the phrase and opens one; a symbol that the sample lacks ends another
-            dense = np.tile(start << 2 | ends, (len(step), 1))
+            dense = np.tile((start << 2 | ends).astype(np.int32), (len(step), 1))
             dense[0] = start << 2 | (ends - 1)
             for s, moves in enumerate(step):
                 for c, to in moves.items():
                     dense[s, c] = to * width << 2
             dense[:, [_PAD, _BREAK]] = 1
             dense[0, [_PAD, _BREAK]] = 0
-            tables.append(dense.astype(np.int32).ravel())
+            tables.append(dense.ravel())
         _built.clear()
         _built[key] = classes, tables
     return _built[key]
@@ -132,6 +132,13 @@ def phrases(texts: list[bytes], samples: list[tuple[str, list[bytes]]]) -> np.nd
 def _predict(samples: list[tuple[str, list[bytes]]]):
     @F.arrow_udf("lang string, score double, rate double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from predicted(batches)
+        finally:  # a reused worker holds no automata
+            _built.clear()
+            give_back()
+
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             lang: list = []
             score: list = []
@@ -140,7 +147,7 @@ def _predict(samples: list[tuple[str, list[bytes]]]):
             a = 0
             while a < len(texts):  # some MB at once
                 b, size = a, 0
-                while b < len(texts) and (b == a or size < 4 << 20):
+                while b < len(texts) and (b == a or size < 2 << 20):
                     size += len(texts[b] or "")
                     b += 1
                 part = [symbols(t) if t and _LETTER.search(t) else b"" for t in texts[a:b]]
@@ -239,6 +246,7 @@ def identify(docs: DataFrame, learn=None, sample_rows: int = 200, sample_bytes:
     rate: phrases per symbol of the winning language, null for `und`.
     """
     learn = F.lit(True) if learn is None else learn
+    small_batches(docs.sparkSession)
     return _predict(samples_of(docs, learn, sample_rows, sample_bytes))
 
 
@@ -251,9 +259,9 @@ def keep_language(spark: SparkSession, docs: DataFrame, most_rate: float = 0.67)
 
     Rejected: `und`, and texts with phrases shorter than 1.5 symbols on average, which are in no learned script.
     """
-    found = docs.select("*", identify(docs)("text").alias("_found"))
-    kept = found.filter((F.col("_found.lang") != "und") & (F.col("_found.rate") <= most_rate))
-    return kept.select(*(F.coalesce("lang", F.col("_found.lang")).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    (found,) = free_names(docs.columns, "_found")
+    kept = docs.select("*", identify(docs)("text").alias(found)).filter((F.col(f"{found}.lang") != "und") & (F.col(f"{found}.rate") <= most_rate))
+    return kept.select(*(F.coalesce("lang", F.col(f"{found}.lang")).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import stored, table
+from inkbasin.llm.common import lean_groups, stored, table
 from inkbasin.llm.vectors import matrix, usable
 
 
@@ -134,6 +134,7 @@ def _probe(index, cells: dict[int, tuple[int, int]], probes: int, sizes: dict[in
 
 
 def _search(index, rerank: int):
+    @lean_groups
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         rows = rows.sort_by([("list", "ascending"), ("_rid", "ascending")])
         rid, lists = rows["_rid"].to_numpy(), rows["list"].to_numpy()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import partitions_for, stored, table
+from inkbasin.llm.common import lean_groups, partitions_for, stored, table
 from inkbasin.llm.vectors import matrix, usable
 
 LEVELS = (1, 4, 16)
@@ -107,6 +107,7 @@ def top(x: np.ndarray, rid: np.ndarray, queries: np.ndarray, query_rid: np.ndarr
 
 
 def _search(k: int):
+    @lean_groups
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         q = r = s = np.zeros(0, np.int64)
         if rows.num_rows and queries.num_rows:

@@ -16,6 +16,7 @@ the row). An empty table gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import partitions_for, stored, table
+from inkbasin.llm.common import lean, partitions_for, small_batches, stored, table
 
 SIZE = 2048
 END_ID = 1
-_CACHED_WORDS = 500_000  # the cache of a worker process is emptied there; words met later are encoded again
+_CACHED_WORDS = 300_000  # the cache of a worker process is emptied there; words met later are encoded again
+_KEPT_WORDS = 100_000  # and after a task it keeps the words that it met first, which are the frequent ones
 
 
 #: Words that normalising only lower-cases, as letters of one pre-token, with ASCII marks after them as another.
@@ -117,6 +119,10 @@ class WordEncoder:
 _encoders: dict = {}
 
 
+def _shrink(encoder: WordEncoder) -> None:
+    encoder.words = dict(itertools.islice(encoder.words.items(), _KEPT_WORDS))
+
+
 def _encoder(path: str, end_id: int) -> WordEncoder:
     """One for all tasks of a worker process."""
     if (path, end_id) not in _encoders:
@@ -125,8 +131,15 @@ def _encoder(path: str, end_id: int) -> WordEncoder:
 
 
 def _pieces(path: str, size: int, end_id: int):
+    @lean
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end_id)
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            _shrink(encoder)
+
+    def encoded(encoder: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a in range(0, len(texts), 256):
@@ -192,6 +205,7 @@ def _slots(histogram: dict[int, int], size: int, first: int):
 def _place(slots: dict):
     tables = {k: np.array(v, np.int64) for k, v in slots.items()}
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
@@ -208,6 +222,7 @@ def _place(slots: dict):
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, bucket_rows: int = 1 << 17) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs (doc_id, text)."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    small_batches(spark)
     cut = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer_path, size, end_id), schema), "pack-pieces")
     n_pieces = cut.count()
     bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(partitions_for(n_pieces, bucket_rows)))

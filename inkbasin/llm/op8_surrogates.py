@@ -19,7 +19,7 @@ corpus holds too many values of one, ValueError is raised. Exceptions go to the
 `most_sent`, else by a join on the row.
 
 A null text stays null, an empty one stays empty. Rows with equal or null ids, repeated rows, empty tables and very
-long texts need no special case.
+long texts need no special case. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import stored, table
+from inkbasin.llm.common import free_names, give_back, small_batches, stored, table
 
 KEY = b"inkbasin surrogates"
 #: Titles with the gender they tell, given names by gender, syllables of family names by script.
@@ -216,8 +216,11 @@ def replaced(text: str, key: bytes, attempts: dict) -> tuple[str, int]:
 
 def _values(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-    for batch in batches:
-        yield pa.array([[{"kind": k, "value": v} for k, v in sorted({e[:2] for e in entities(t)})] for t in batch.to_pylist()], kind)
+    try:
+        for batch in batches:
+            yield pa.array([[{"kind": k, "value": v} for k, v in sorted({e[:2] for e in entities(t)})] for t in batch.to_pylist()], kind)
+    finally:
+        give_back()
 
 
 def _new(key: bytes):
@@ -230,6 +233,12 @@ def _new(key: bytes):
 
 def _replace(key: bytes, sent: dict):
     def replace(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            yield from anew(batches)
+        finally:
+            give_back()
+
+    def anew(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, own in batches:
             out = []
             for t, more in zip(texts.to_pylist(), own.to_pylist()):
@@ -274,26 +283,29 @@ def attempts(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> DataFrame:
     return now.filter("attempt > 0").select("kind", "value", "attempt")
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, most_sent: int = 10_000) -> DataFrame:
-    """docs (any columns, text) with _pii, a struct of the new text and the number of entities."""
+def with_surrogates(docs: DataFrame, key: bytes = KEY, most_sent: int = 10_000, name: str = "_pii") -> DataFrame:
+    """docs (any columns, text) with `name`, a struct of the new text and the number of entities."""
+    small_batches(docs.sparkSession)
     redrawn = stored(attempts(docs, key), "redrawn")
     sent = redrawn.limit(most_sent + 1).collect()
     none = F.lit(None).cast("array<struct<kind string, value string, attempt int>>")
     if len(sent) <= most_sent:
-        return docs.withColumn("_pii", _replace(key, {(r.kind, r.value): r.attempt for r in sent})("text", none))
+        return docs.withColumn(name, _replace(key, {(r.kind, r.value): r.attempt for r in sent})("text", none))
     # a text's exceptions are found by its hash, so that rows need no key
-    hashed = docs.withColumn("_text", F.sha2("text", 256))
+    hash_, own_ = free_names([*docs.columns, name], "_text", "_own")
+    hashed = docs.withColumn(hash_, F.sha2("text", 256))
     found = F.arrow_udf(_values, "array<struct<kind string, value string>>")
-    own = hashed.select("_text", F.explode(found("text")).alias("e")).select("_text", "e.kind", "e.value").distinct().join(redrawn, ["kind", "value"])
-    own = own.groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))
-    return hashed.join(own, "_text", "left").withColumn("_pii", _replace(key, {})("text", F.col("_own"))).drop("_text", "_own")
+    own = hashed.select(F.col(hash_), F.explode(found("text")).alias("e")).select(hash_, "e.kind", "e.value").distinct().join(redrawn, ["kind", "value"])
+    own = own.groupBy(hash_).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(own_))
+    return hashed.join(own, hash_, "left").withColumn(name, _replace(key, {})("text", F.col(own_))).drop(hash_, own_)
 
 
 def private_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with personal data replaced; n_chars, if there, is counted anew."""
-    new = with_surrogates(docs)
-    text = F.col("_pii.text")
-    own = {"text": text.alias("text"), "n_chars": F.when(F.col("_pii.n") > 0, F.length(text)).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
+    (pii,) = free_names(docs.columns, "_pii")
+    new = with_surrogates(docs, name=pii)
+    text = F.col(f"{pii}.text")
+    own = {"text": text.alias("text"), "n_chars": F.when(F.col(f"{pii}.n") > 0, F.length(text)).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
     out = new.select(*(own.get(c, F.col(f"`{c}`")) for c in docs.columns))
     return out.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in docs.schema))
 

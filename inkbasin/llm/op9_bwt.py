@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import partitions_for, release, row_keys, stored, table
+from inkbasin.llm.common import lean, lean_group, partitions_for, release, row_keys, small_batches, stored, table
 from inkbasin.llm.shingles import _BYTE, mixed, powers
 
 ANCHOR = 32
@@ -109,6 +109,7 @@ _ROW = ["mark", "h", "ctx", "rid", "lo", "n"]
 
 
 def _anchor_rows(least: int):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in _slices(batch, least):
@@ -123,6 +124,7 @@ def _anchor_rows(least: int):
     return rows
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (mark, h, ctx, rid, lo). Marks, and the first of each context of an anchor that has several."""
     names = ["h", "rid", "lo", "n"]
@@ -152,6 +154,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(least: int, buckets: int):
     """The bytes of contexts, dealt to buckets by anchor; window by window, by content, for anchors with very many."""
 
+    @lean
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = []
@@ -241,6 +244,7 @@ def repeated_windows(strings: list[bytes], least: int) -> np.ndarray:
 
 
 def _expand(least: int):
+    @lean_group
     def expand(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by([("rid", "ascending"), ("lo", "ascending")])
         rid, lo = bucket["rid"].to_numpy(), bucket["lo"].to_numpy()
@@ -266,6 +270,7 @@ def removed(marks: list, length: int, least: int) -> list[tuple[int, int]]:
 def repeated_bytes(spark: SparkSession, docs: DataFrame, least: int = 100, most_contexts: int = 4096, bucket_bytes: int = 1 << 19) -> DataFrame:
     """rid, lo, n: runs of windows of docs (_rid, text) that start earlier elsewhere; runs of a row may overlap."""
     assert least >= ANCHOR + 1
+    small_batches(spark)
     raw = docs.select("_rid", F.col("text").cast("binary").alias("raw"))
     rows = raw.mapInArrow(_anchor_rows(least), "mark boolean, h long, ctx long, rid long, lo long, n long")
     judged = rows.repartition("h").sortWithinPartitions("mark", "h", "ctx", "rid", "lo").mapInArrow(_compare, "h long, rid long, lo long, n long")
@@ -281,6 +286,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, least: int = 100, most_
 
 
 def _cut(least: int):
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column("_rid").to_pylist(), []

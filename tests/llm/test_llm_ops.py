@@ -596,6 +596,82 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
 
 
+# --- names and caches ---
+
+CLASH = ["_rid", "_PII", "_draw", "_Found", "_own", "_TEXT", "_start", "_nth", "_id"]
+
+
+def test_clashing_names(spark):
+    """Stages give back a user's columns as they were, whatever their names, upper and lower case alike."""
+    import corpus_pipeline as pipeline
+
+    made = [(i, t, lang or "en", source, n, *range(100 * i, 100 * i + len(CLASH))) for i, t, lang, source, n, *_ in rows(3, 20)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASH))
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, table, "")
+        if name == "packing":
+            assert {r.doc_id for r in got.collect()} == {r[0] for r in made}
+            continue
+        assert got.columns == table.columns
+        found = got.collect()
+        assert found
+        for r in found:
+            assert list(r)[5:] == list(range(100 * r.doc_id, 100 * r.doc_id + len(CLASH))), name
+
+
+def test_surrogates_by_join(spark):
+    """Many exceptions go to the texts by a join on their hash; the result is that of the list."""
+    table = spark.createDataFrame([(i, f"token={i % 10} and Mr Hill, token={(i + 3) % 10}", 7) for i in range(30)] + [(40, None, 7), (41, "", 7)], "doc_id long, text string, _text int")
+    sent, joined = (op8_surrogates.with_surrogates(table, most_sent=n).select("doc_id", "_pii", "_text") for n in (10_000, 1))
+    assert Counter(map(str, sent.collect())) == Counter(map(str, joined.collect()))
+    assert sent.count() == 32
+
+
+def test_ctw_scores_by_brute_force(spark):
+    """A document's score is the product of the mixtures over all depths, with the counts of training."""
+    texts = ["abracadabra abra", "Banana bandana", "abra banana", "", "cab", "zebra abra"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    depth, held = 2, {2, 5}
+    padded = [b"\xff" * depth + t.lower().encode() + b"\xff" for t in texts]
+    counts = Counter()
+    for i, t in enumerate(padded):
+        for at in range(depth, len(t)) if i not in held else ():
+            for bit, d in itertools.product(range(8), range(depth + 1)):
+                counts[t[at - d : at], bit, t[at] >> (8 - bit), t[at] >> (7 - bit) & 1] += 1
+
+    def log_weighted(context, bit, prefix):
+        a, b = (counts[context, bit, prefix, x] for x in (0, 1))
+        kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+        if len(context) == depth or not a + b:
+            return kt
+        below = sum(log_weighted(bytes([c]) + context, bit, prefix) for c in range(256))
+        return math.log(0.5 * math.exp(kt) + 0.5 * math.exp(below))
+
+    def chance(context, bit, prefix, value, d=0):
+        """Of one more bit: the ratio of the weighted probabilities with it and without it, down the path of the context."""
+        node = context[len(context) - d :]
+        a, b = (counts[node, bit, prefix, x] for x in (0, 1))
+        kt = ((a, b)[value] + 0.5) / (a + b + 1)
+        if d == depth:
+            return kt
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+        weight = 0.5 * math.exp(own - log_weighted(node, bit, prefix))
+        return weight * kt + (1 - weight) * chance(context, bit, prefix, value, d + 1)
+
+    expected = [sum(math.log10(chance(t[at - depth : at], bit, t[at] >> (8 - bit), t[at] >> (7 - bit) & 1)) for at in range(depth, len(t)) for bit in range(8)) for t in padded]
+    got = {r.doc_id: r.score for r in op1_ctw.ctw_score(spark, table, depth=depth, block_bytes=20, held_out=F.col("doc_id").isin(*held)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-9)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 1000):
+        keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert (op1_ctw.unpack_keys(op1_ctw.pack_keys(keys), len(keys)) == keys).all()
+        values = rng.normal(size=n)
+        assert (op1_ctw.unpack(op1_ctw.pack(values), n, np.float64) == values).all()
+
+
 # --- the pipeline ---
 
 
