@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkbasin import rules
-from inkbasin.functions.numbers import magnitude_ratio, numbers
+from inkbasin.functions.numbers import bound, magnitude_ratio, numbers, shown, times
 from inkbasin.functions.text import contains_any, extension, file_name, slashes, years
 
 
@@ -121,21 +121,16 @@ def anomalies(text: Column, as_of_year: int) -> Column:
     text = F.coalesce(text, F.lit(""))
     shares = F.transform(F.regexp_extract_all(text, F.lit(r"(\d[\d,]*\.?\d*)\s*%"), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double"))
     high = F.filter(shares, lambda v: (v > 100) & ~contains_any(F.lower(text), rules.GROWTH_WORDS))
-    large = F.filter(numbers(text), lambda n: n >= 1000)
-    spread = F.flatten(F.transform(large, lambda a, i: F.transform(F.filter(large, lambda b, j: (j > i) & (magnitude_ratio(a, b) > 400)), lambda b: F.concat(F.lit("Suspicious magnitude spread: "), _shown(a), F.lit(" vs "), _shown(b)))))
+    pair = lambda a, b: F.concat(F.lit("Suspicious magnitude spread: "), shown(a), F.lit(" vs "), shown(b), F.lit(" ("), times(a, b), F.lit("x)"))
+    spread = bound(F.filter(numbers(text), lambda n: n >= 1000), lambda large: F.flatten(F.transform(large, lambda a, i: F.transform(F.filter(large, lambda b, j: (j > i) & (magnitude_ratio(a, b) > 400)), lambda b: pair(a, b)))))
     far = F.filter(years(text), lambda y: y > as_of_year + 1)
     return F.concat(
-        F.transform(high, lambda v: F.concat(F.lit("Percentage over 100%: "), _shown(v), F.lit("%"))),
+        F.transform(high, lambda v: F.concat(F.lit("Percentage over 100%: "), shown(v), F.lit("%"))),
         spread,
         F.transform(far, lambda y: F.concat(F.lit("Future date: "), y.cast("string"))),
     )
 
 
-def _shown(x: Column) -> Column:
-    """A number with the digits it needs, whatever its size."""
-    return F.regexp_replace(x.cast("decimal(30,6)").cast("string"), r"\.?0+$", "")
-
-
 def locator(reference: Column, ext: Column, most: Column) -> Column:
     """struct(type, number) of a page, slide or section from 1 to most (0: no limit), else null."""
     n = reference.try_cast("int")

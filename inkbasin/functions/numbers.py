@@ -46,6 +46,22 @@ def magnitude_ratio(a: Column, b: Column) -> Column:
     return F.when((a == 0) | (b == 0), F.lit(float("inf"))).otherwise(F.greatest(a, b) / F.least(a, b))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body refers to it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shown(x: Column) -> Column:
+    """A number with the digits it needs and one after the point at least, whatever its size."""
+    plain = F.regexp_replace(x.cast("decimal(30,6)").cast("string"), r"(\.\d*?)0+$", "$1")
+    return F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+
+
+def times(a: Column, b: Column) -> Column:
+    """How many times the larger is the smaller, as a whole number; inf with a zero."""
+    return bound(magnitude_ratio(a, b), lambda r: F.when(r == float("inf"), "inf").otherwise(F.bround(r, 0).cast("decimal(30,0)").cast("string")))
+
+
 def meaningful(values: Column) -> Column:
     """Without what looks like a year (2000 to 2099)."""
     return F.filter(values, lambda n: ~((n == F.floor(n)) & n.between(2000, 2099)))

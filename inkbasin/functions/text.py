@@ -134,3 +134,9 @@ def change_type(old_length: Column, new_length: Column) -> Column:
 
 def contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first and the rest small, also after digits and marks."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")

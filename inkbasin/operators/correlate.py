@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from inkbasin import rules
 from inkbasin.functions.arrays import dedupe, jaccard, merged_overlays
-from inkbasin.functions.text import extension, normalize_stem, pair_hash, session_id, stem_prefix, words
+from inkbasin.functions.text import extension, normalize_stem, pair_hash, session_id, stem_prefix, title_case, words
 
 
 @F.pandas_udf(DoubleType())
@@ -39,7 +39,7 @@ def file_groups(files: DataFrame) -> DataFrame:
 def single_group(files: DataFrame) -> DataFrame:
     """Three files at most: one group named after its primary file, in title case."""
     first = F.struct(primary_order(F.col("type")).alias("o"), "path", "name")
-    return files.agg(F.min(first).alias("p")).select(F.initcap("p.name").alias("prefix"), F.col("p.path").alias("primary"))
+    return files.agg(F.min(first).alias("p")).select(title_case(F.col("p.name")).alias("prefix"), F.col("p.path").alias("primary"))
 
 
 def session_candidates(files: DataFrame, least: float = 0.6) -> DataFrame:
@@ -65,7 +65,7 @@ def _assign(rows: pd.DataFrame) -> pd.DataFrame:
 def assigned(candidates: DataFrame) -> DataFrame:
     """Best pairs first, each file once. A folder is matched as a whole; only its candidate pairs are held."""
     out = candidates.groupBy("folder").applyInPandas(_assign, candidates.select("folder", "deck", "video", "similarity").schema)
-    return out.withColumn("stage1", F.bround(F.col("similarity") * 100, 0).cast("int"))
+    return out.withColumn("stage1", F.least(F.lit(100), (F.col("similarity") * 100).cast("int")))  # truncated
 
 
 def standalone(files: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from inkbasin.functions.arrays import overlap
 from inkbasin.functions.classify import anomalies, keyword_polarity, locator, polarity
-from inkbasin.functions.numbers import magnitude_ratio, meaningful, numbers, numbers_match, share_number
+from inkbasin.functions.numbers import bound, magnitude_ratio, meaningful, numbers, numbers_match, share_number, shown, times
 from inkbasin.functions.text import fact_words
 
 
@@ -18,14 +23,23 @@ def validation(fact: Column, source: Column, as_of_year: int) -> Column:
     verified: no number, or each one in the source within 1 %. Else flagged_mismatch with an anomaly of the fact or a
     number over 100 times off the closest in the source, and unverified without.
     """
-    own, theirs = numbers(fact), numbers(source)
-    matched = F.filter(own, lambda a: F.exists(theirs, lambda b: numbers_match(a, b)))
-    missing = F.filter(own, lambda a: ~F.exists(theirs, lambda b: numbers_match(a, b)))
-    best = lambda a: F.array_min(F.transform(theirs, lambda b: magnitude_ratio(a, b)))
-    off = F.transform(F.filter(missing, lambda a: best(a) > 100), lambda a: F.concat(F.lit("Magnitude error: "), F.regexp_replace(a.cast("decimal(30,6)").cast("string"), r"\.?0+$", ""), F.lit(" not in source (closest is "), F.when(best(a) == float("inf"), "inf").otherwise(F.bround(best(a), 0).cast("decimal(30,0)").cast("string")), F.lit("x off)")))
-    odd = F.concat(anomalies(fact, as_of_year), off)
-    status = F.when((F.size(own) == 0) | (F.size(missing) == 0), "verified").when(F.size(odd) > 0, "flagged_mismatch").otherwise("unverified")
-    return F.struct(status.alias("status"), own.alias("fact_numbers"), matched.alias("matched"), missing.alias("missing"), odd.alias("anomalies"))
+    def checked(p: Column) -> Column:
+        matched = F.filter(p["own"], lambda a: F.exists(p["theirs"], lambda b: numbers_match(a, b)))
+        missing = F.filter(p["own"], lambda a: ~F.exists(p["theirs"], lambda b: numbers_match(a, b)))
+        return F.struct(p["own"].alias("own"), p["theirs"].alias("theirs"), matched.alias("matched"), missing.alias("missing"))
+
+    def judged(q: Column) -> Column:
+        closest = lambda a: F.array_min(F.transform(q["theirs"], lambda b: F.struct(magnitude_ratio(a, b).alias("r"), b.alias("b"))))
+        far = F.filter(F.transform(q["missing"], lambda a: F.struct(a.alias("a"), closest(a).alias("best"))), lambda x: x["best"]["r"] > 100)
+        off = F.transform(far, lambda x: F.concat(F.lit("Magnitude error: "), shown(x["a"]), F.lit(" not in source (closest is "), times(x["a"], x["best"]["b"]), F.lit("x off)")))
+        return F.struct(q["own"].alias("own"), q["matched"].alias("matched"), q["missing"].alias("missing"), F.concat(anomalies(fact, as_of_year), off).alias("odd"))
+
+    def verdict(v: Column) -> Column:
+        status = F.when((F.size(v["own"]) == 0) | (F.size(v["missing"]) == 0), "verified").when(F.size(v["odd"]) > 0, "flagged_mismatch").otherwise("unverified")
+        return F.struct(status.alias("status"), v["own"].alias("fact_numbers"), v["matched"].alias("matched"), v["missing"].alias("missing"), v["odd"].alias("anomalies"))
+
+    both = F.struct(numbers(fact).alias("own"), numbers(source).alias("theirs"))
+    return bound(both, lambda p: bound(checked(p), lambda q: bound(judged(q), verdict)))
 
 
 def closest_ratio(fact: Column, source: Column) -> Column:
@@ -55,11 +69,13 @@ def facts_conflict(a: Column, b: Column) -> Column:
     return F.coalesce((F.size(x) > 0) & (F.size(y) > 0) & (shared >= 0.3) & ~share_number(x, y), F.lit(False))
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+def _greedy(rows: list[dict]) -> list[dict]:
     """Facts of one session in order: deck facts, then those of the recording, each against what is kept so far."""
-    deck = rows[rows.modality == "pptx"].sort_values("pos").to_dict("records")
-    kept, late = deck, []
-    for r in rows[rows.modality == "mp4"].sort_values("pos").to_dict("records"):
+    kept = [r for r in rows if r["modality"] == "pptx"]
+    late = []
+    for r in rows:
+        if r["modality"] != "mp4":
+            continue
         for k in kept:
             verdict = _verdict(k, r)
             if verdict == "match":
@@ -71,9 +87,22 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
                 break
         else:
             late.append(r)
-    out = pd.DataFrame(kept + late, columns=["session", "modality", "pos", "fact", "numbers", "words", "conflict"])
-    out["rank"] = range(1, len(out) + 1)
-    return out[["session", "rank", "fact", "modality", "conflict"]]
+    return kept + late
+
+
+def _sessions(schema: pa.Schema):
+    def sessions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (session, pos)."""
+        out: list[dict] = []
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for session, own in itertools.groupby(rows, lambda r: r["session"]):
+            out += [{"session": session, "rank": i, "fact": r["fact"], "modality": r["modality"], "conflict": r["conflict"]} for i, r in enumerate(_greedy(list(own)), 1)]
+            if len(out) >= 5000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    return sessions
 
 
 def _verdict(a: dict, b: dict) -> str:
@@ -95,8 +124,9 @@ def deduplicated(facts: DataFrame) -> DataFrame:
     before. A session is what one deck and one recording say, so its size is bounded.
     """
     ready = facts.select("session", "modality", F.col("pos").cast("long").alias("pos"), "fact", meaningful(numbers(F.col("fact"))).alias("numbers"), fact_words(F.col("fact")).alias("words"), F.lit(False).alias("conflict"))
-    kind = facts.schema["session"].dataType.simpleString()
-    return ready.groupBy("session").applyInPandas(_greedy, f"session {kind}, rank long, fact string, modality string, conflict boolean")
+    kind = facts.schema["session"].dataType
+    out = StructType([StructField("session", kind), StructField("rank", LongType()), StructField("fact", StringType()), StructField("modality", StringType()), StructField("conflict", BooleanType())])
+    return ready.repartition("session").sortWithinPartitions("session", "pos").mapInArrow(_sessions(to_arrow_schema(out)), out)
 
 
 def top_facts(facts: DataFrame, group: str, n: int = 10) -> DataFrame:

@@ -16,7 +16,7 @@ def _share(n: str) -> Column:
     return F.col(n) / F.greatest(F.col("total"), F.lit(1))
 
 
-def explanation_check(rows: DataFrame, *by: str, least: int = 50) -> DataFrame:
+def explanation_check(rows: DataFrame, *by: str, least: int = 30) -> DataFrame:
     """rows (explanation): counts and whether at most 10 % are empty, 30 % short, 50 % generic, 20 % raw transcript."""
     e = F.col("explanation")
     spoken = reduce(lambda a, b: a + b, [F.contains(F.lower(e), F.lit(m)).cast("int") for m in rules.SPOKEN_MARKS])
@@ -48,12 +48,23 @@ def slide_categories(lines: DataFrame, report: str = "report", order: str = "pos
     return lines.withColumn("category", category).filter(F.col("line").startswith("## ") & F.col("category").isNotNull()).select(report, order, "category", F.substring("line", 4, 1 << 30).alias("title"))
 
 
-def category_balance(slides: DataFrame, report: str = "report") -> DataFrame:
-    """slides (report, category): fails with one category only, or over 70 % in a general one."""
-    each = slides.groupBy(report, "category").agg(F.count("*").alias("n"))
-    general = contains_any(F.lower("category"), rules.GENERAL_CATEGORIES)
-    out = each.groupBy(report).agg(F.sum("n").alias("total"), F.count("*").alias("categories"), F.coalesce(F.min_by(F.when(general, F.col("n")), F.when(general, F.col("category"))), F.lit(0)).alias("general"))
-    return out.withColumns({"general_ratio": F.bround(_share("general"), 3), "passed": (F.col("categories") > 1) & (_share("general") <= 0.7)})
+def category_balance(lines: DataFrame, report: str = "report", order: str = "pos") -> DataFrame:
+    """lines (report, pos, line): fails without a category or slide, with one category only, or over 70 % in a general one.
+
+    A category is a `# ` header, also one without slides (`## ` lines); where a header is repeated, the slides after its
+    last occurrence count. The general category is the first in the report that is named like one.
+    """
+    header = F.col("line").startswith("# ")
+    w = Window.partitionBy(report).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = lines.withColumn("_part", F.count_if(header).over(w)).groupBy(report, "_part").agg(
+        F.max(F.when(header, F.trim(F.substring("line", 3, 1 << 30)))).alias("category"), F.min(order).alias("_at"), F.count_if(F.col("line").startswith("## ")).alias("n")
+    )
+    each = parts.groupBy(report, "category").agg(F.min("_at").alias("_at"), F.max_by("n", "_at").alias("n"))
+    named = F.col("category").isNotNull()
+    general = named & contains_any(F.lower("category"), rules.GENERAL_CATEGORIES)
+    total = F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0))
+    out = each.groupBy(report).agg(total.alias("total"), F.count("category").alias("categories"), F.coalesce(F.min_by(F.when(general, F.col("n")), F.when(general, F.col("_at"))), F.lit(0)).alias("general"))
+    return out.withColumns({"general_ratio": F.bround(_share("general"), 3), "passed": (F.col("total") > 0) & (F.col("categories") > 1) & (_share("general") <= 0.7)})
 
 
 def all_passed(checks: DataFrame, *by: str) -> DataFrame:

@@ -62,10 +62,14 @@ def fact_magnitude(spark, d):
     return out.select("id", F.round(O.closest_ratio(F.col("fact"), F.col("source_text")), 6).alias("ratio"))
 
 
-@query(f"{_NUMS}, o AS (SELECT *, {_HIGH} AS high, coalesce({_SPREAD}, 0) AS spread, {_FAR} AS far FROM n) SELECT id, list_concat(CASE WHEN high > 0 THEN ['Percentage over 100%: 250%'] ELSE [] END, CASE WHEN id % 6 = 4 AND spread > 0 AND len({_LARGE}) = 2 THEN ['Suspicious magnitude spread: 2000000 vs 950000000'] ELSE list_transform(list_filter(flatten(list_transform({_LARGE}, lambda a: list_transform({_LARGE}, lambda b: struct_pack(a := a, b := b)))), lambda p: p.b > p.a AND p.b / p.a > 400), lambda p: 'Suspicious magnitude spread: ' || CAST(p.a AS BIGINT) || ' vs ' || CAST(p.b AS BIGINT)) END, CASE WHEN far > 0 THEN ['Future date: 2035'] ELSE [] END) AS anomalies FROM o WHERE NOT regexp_matches(fact, '\\b20[4-9]\\d\\b|\\b202[89]\\b|\\b203[0-46-9]\\b')")
+_OVER = f"list_transform(list_filter(list_transform(regexp_extract_all(fact, '(\\d[\\d,]*\\.?\\d*)\\s*%', 1), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE)), lambda v: v > 100 AND NOT {S.has_any('lower(fact)', rules.GROWTH_WORDS)}), lambda v: 'Percentage over 100%: ' || CAST(v AS VARCHAR) || '%')"
+_SPREADS = "flatten(list_transform(range(1, len(large) + 1), lambda i: list_transform(list_filter(range(i + 1, len(large) + 1), lambda j: large[j] / large[i] > 400), lambda j: 'Suspicious magnitude spread: ' || CAST(large[i] AS VARCHAR) || ' vs ' || CAST(large[j] AS VARCHAR) || ' (' || CAST(round_even(large[j] / large[i], 0) AS BIGINT) || 'x)')))"
+_FUTURE = f"list_transform(list_filter(regexp_extract_all(fact, '\\b(20\\d{{2}})\\b', 1), lambda y: CAST(y AS INTEGER) > {AS_OF + 1}), lambda y: 'Future date: ' || y)"
+
+
+@query(f"{_NUMS}, o AS (SELECT *, {_LARGE} AS large FROM n) SELECT id, list_concat({_OVER}, {_SPREADS}, {_FUTURE}) AS anomalies FROM o")
 def fact_anomalies(spark, d):
-    f = facts(spark, d).filter(~F.col("fact").rlike(r"\b20[4-9]\d\b|\b202[89]\b|\b203[0-46-9]\b"))
-    return f.select("id", C.anomalies(F.col("fact"), AS_OF).alias("anomalies"))
+    return facts(spark, d).select("id", C.anomalies(F.col("fact"), AS_OF).alias("anomalies"))
 
 
 @query(f"WITH {FACTS_SQL} SELECT id, {S.POLARITY} AS polarity, {S.SENTIMENT} AS sentiment FROM facts")

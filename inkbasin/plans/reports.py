@@ -15,7 +15,7 @@ QUERIES, ORACLE_SQL, query = registry()
 _SPOKEN = " + ".join(f"CAST(contains(lower(e), {S.quoted(m)}) AS INTEGER)" for m in rules.SPOKEN_MARKS)
 
 
-@query(f"WITH r AS (SELECT conv_id, text AS e FROM conversations WHERE role = 'assistant'), m AS (SELECT conv_id, count(*) AS total, count(*) FILTER (trim(e) = '') AS empty, count(*) FILTER (length(trim(e)) < 50) AS too_short, count(*) FILTER ({S.has_any('lower(e)', rules.GENERIC_PHRASES)}) AS generic, count(*) FILTER ({_SPOKEN} >= 2) AS raw, round_even(avg(length(e)), 1) AS avg_length FROM r GROUP BY conv_id) SELECT *, empty / total <= 0.1 AND too_short / total <= 0.3 AND generic / total <= 0.5 AND raw / total <= 0.2 AS passed FROM m")
+@query(f"WITH r AS (SELECT conv_id, text AS e FROM conversations WHERE role = 'assistant'), m AS (SELECT conv_id, count(*) AS total, count(*) FILTER (trim(e) = '') AS empty, count(*) FILTER (length(trim(e)) < 30) AS too_short, count(*) FILTER ({S.has_any('lower(e)', rules.GENERIC_PHRASES)}) AS generic, count(*) FILTER ({_SPOKEN} >= 2) AS raw, round_even(avg(length(e)), 1) AS avg_length FROM r GROUP BY conv_id) SELECT *, empty / total <= 0.1 AND too_short / total <= 0.3 AND generic / total <= 0.5 AND raw / total <= 0.2 AS passed FROM m")
 def explanation_check(spark, d):
     c = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", F.col("text").alias("explanation"))
     return reports.explanation_check(c, "conv_id")
@@ -56,9 +56,16 @@ def slide_categories(spark, d):
     return reports.slide_categories(_lines(spark, d))
 
 
-@query(f"WITH {_SLIDES}, e AS (SELECT report, category, count(*) AS n FROM slides GROUP BY 1, 2), b AS (SELECT report, sum(n)::BIGINT AS total, count(*) AS categories, coalesce(arg_min(n, category) FILTER ({S.has_any('lower(category)', rules.GENERAL_CATEGORIES)}), 0) AS general FROM e GROUP BY report) SELECT *, round_even(general / total, 3) AS general_ratio, categories > 1 AND general / total <= 0.7 AS passed FROM b")
+@query(
+    f"WITH {_LINES}, h AS (SELECT *, starts_with(line, '# ') AS header, count(*) FILTER (starts_with(line, '# ')) OVER (PARTITION BY report ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM lines), "
+    "s AS (SELECT report, part, max(CASE WHEN header THEN trim(substring(line, 3)) END) AS category, min(pos) AS pos, count(*) FILTER (starts_with(line, '## ')) AS n FROM h GROUP BY 1, 2), "
+    "c AS (SELECT report, category, min(pos) AS pos, arg_max(n, pos) AS n FROM s WHERE category IS NOT NULL GROUP BY 1, 2), "
+    f"b AS (SELECT report, sum(n)::BIGINT AS total, count(*) AS categories, coalesce(arg_min(n, pos) FILTER ({S.has_any('lower(category)', rules.GENERAL_CATEGORIES)}), 0) AS general FROM c GROUP BY report), "
+    "a AS (SELECT r.report, coalesce(total, 0) AS total, coalesce(categories, 0) AS categories, coalesce(general, 0) AS general FROM (SELECT DISTINCT report FROM lines) r LEFT JOIN b USING (report)) "
+    "SELECT *, round_even(general / greatest(total, 1), 3) AS general_ratio, total > 0 AND categories > 1 AND general / greatest(total, 1) <= 0.7 AS passed FROM a"
+)
 def category_balance(spark, d):
-    return reports.category_balance(reports.slide_categories(_lines(spark, d)))
+    return reports.category_balance(_lines(spark, d))
 
 
 _OLD = "old AS (SELECT doc_id AS title, text AS explanation FROM documents WHERE doc_id % 5 > 0), new AS (SELECT doc_id AS title, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || text WHEN 2 THEN substring(text, 1, length(text) // 2) ELSE 'x' || text END AS explanation FROM documents WHERE doc_id % 7 > 0)"

@@ -44,7 +44,7 @@ def test_validation(spark, fact, source, status, odd):
 
 @pytest.mark.parametrize(
     ("fact", "found"),
-    [("250% increase in throughput", []), ("Project is 250% complete", ["Percentage over 100%: 250%"]), ("Reduced costs from $2M to $950M annually", ["Suspicious magnitude spread: 2000000 vs 950000000"]), ("Expected completion in 2035", ["Future date: 2035"]), ("Reduced from $2M to $950K in 15 weeks", [])],
+    [("250% increase in throughput", []), ("Project is 250% complete", ["Percentage over 100%: 250.0%"]), ("Reduced costs from $2M to $950M annually", ["Suspicious magnitude spread: 2000000.0 vs 950000000.0 (475x)"]), ("Expected completion in 2035", ["Future date: 2035"]), ("Reduced from $2M to $950K in 15 weeks", [])],
 )
 def test_anomalies(spark, fact, found):
     assert one(spark, C.anomalies(F.col("f"), 2026), f=fact) == found
@@ -82,3 +82,18 @@ def test_costs(spark):
     assert one(spark, N.blended_cost(F.lit("unheard of"), F.lit(1_000_000))) == 1.0
     assert one(spark, N.provider_cost(F.lit("claude-sonnet-4-6"), F.lit(1_000_000), F.lit(100_000))) == 4.5
     assert one(spark, N.provider_cost(F.lit("unheard of"), F.lit(1), F.lit(1))) is None
+
+
+def test_magnitude_error(spark):
+    got = one(spark, O.validation(F.col("f"), F.col("s"), 2026), f="It costs $2M and 7 or 12.50", s="Only 7 of 1,500")
+    assert got.status == "flagged_mismatch" and got.missing == [12.5, 2_000_000.0] and got.matched == [7.0]
+    assert got.anomalies == ["Magnitude error: 2000000.0 not in source (closest is 1333x off)"]
+
+
+def test_dedup_by_the_rules(spark):
+    """Deck facts first; a fact of the recording joins what it matches, stands beside what it contradicts, else comes last."""
+    said = [("s", "pptx", 1, "Costs fell by 40 percent in Europe"), ("s", "pptx", 2, "Team has 12 engineers"), ("s", "mp4", 1, "Sales reached 900 units"), ("s", "mp4", 2, "Costs fell by 40 percent in Europe last year"), ("s", "mp4", 3, "Team has 15 engineers"), ("t", "mp4", 1, "Team has 15 engineers")]
+    got = O.deduplicated(spark.createDataFrame(said, "session string, modality string, pos int, fact string")).collect()
+    assert sorted((r.session, r["rank"], r.fact, r.modality, r.conflict) for r in got) == [
+        ("s", 1, "Costs fell by 40 percent in Europe", "both", False), ("s", 2, "Team has 12 engineers", "pptx", True), ("s", 3, "Team has 15 engineers", "mp4", True), ("s", 4, "Sales reached 900 units", "mp4", False), ("t", 1, "Team has 15 engineers", "mp4", False),
+    ]

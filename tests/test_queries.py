@@ -110,3 +110,36 @@ def test_streaming(spark, tmp_path):
     whole = event_counts(spark.read.parquet(f"{DATA}/events.parquet"))
     assert out.count() == out.distinct().count() <= whole.count()
     assert out.exceptAll(whole).count() == 0
+
+
+def test_category_balance(spark):
+    from inkbasin.operators import reports
+
+    lines = {
+        "empty and full": ["# A", "## 1", "# B", "text"],
+        "one": ["# A", "## 1", "## 2"],
+        "general first": ["# Other", "## 1", "## 2", "## 3", "# General", "# A", "## 4"],
+        "repeated": ["# General", "## 1", "## 2", "## 3", "# A", "## 4", "# General", "## 5"],
+        "none": ["## 1", "text"],
+        "no slides": ["# A", "# B"],
+    }
+    table = spark.createDataFrame([(k, i, x) for k, own in lines.items() for i, x in enumerate(own)], "report string, pos int, line string")
+    got = {r.report: (r.total, r.categories, r.general, r.passed) for r in reports.category_balance(table).collect()}
+    assert got == {"empty and full": (1, 2, 0, True), "one": (2, 1, 0, False), "general first": (4, 3, 3, False), "repeated": (2, 2, 1, True), "none": (0, 0, 0, False), "no slides": (0, 2, 0, False)}
+
+
+def test_stage_1_confidence(spark):
+    from inkbasin.operators import correlate
+
+    pairs = spark.createDataFrame([("f", "a.pptx", "a.mp4", 0.9167), ("f", "b.pptx", "b.mp4", 1.0), ("f", "a.pptx", "b.mp4", 0.95)], "folder string, deck string, video string, similarity double")
+    assert sorted((r.deck, r.video, r.stage1) for r in correlate.assigned(pairs).collect()) == [("b.pptx", "b.mp4", 100), ("a.pptx", "a.mp4", 91)][::-1]
+
+
+def test_title_case(spark):
+    from pyspark.sql import functions as F
+
+    from inkbasin.functions.text import title_case
+
+    names = ["session1_slides", "o'neil report-2a", "ÉTÉ à paris", "", "x"]
+    got = [r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select(title_case(F.col("n")).alias("t")).collect()]
+    assert got == [n.title() for n in names]
