@@ -15,7 +15,7 @@ up to collisions of 64-bit hashes of shingles.
    together: a pair of nodes goes no further if the sizes are too far apart, if the largest possible overlap, bits in
    common plus the smaller excess, is too small for the sizes, or if all below are joined already. The texts of the
    pairs that remain are compared exactly. That takes two steps: bitmaps alone tell which members may link with one of
-   another group, and only their texts come to the cell, where groups grow as links are found, so that a large group of
+   another group, and only their texts come to the cell (to one of the cells that have the same of them), where groups grow as links are found, so that a large group of
    near copies costs about one comparison a member and no list of pairs ever leaves a cell. A cell of more than
    `cell_rows` members or `cell_bytes` of bitmaps is split into a grid, so that every pair of members still meets in one.
    First, each class is in the cells of its smallest shared shingle, then of the smallest by two other orders if other
@@ -314,9 +314,12 @@ def partnered(k: np.ndarray, label: np.ndarray, tree: SignatureTree) -> np.ndarr
 
 @lean
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, k1, label, n, map) sorted by cell: those with a possible partner of another group in the cell."""
+    """Rows (cell, k1, label, n, map) sorted by cell: those with a possible partner of another group in the cell.
+
+    They come with their number and a sum of their hashes, by which cells that are left with the same members are one.
+    """
     held: list[pa.Table] = []
-    names, size = [*_CELL, "k1", "label"], 0
+    size = 0
     for cell in runs_of(batches, *_CELL):
         if cell.num_rows < 2:
             continue
@@ -326,9 +329,10 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, label, n = (cell[c].to_numpy() for c in ("k1", "label", "n"))
             tree = SignatureTree(n.astype(np.int64), np.stack([np.frombuffer(m, "<u8") for m in cell["map"].to_pylist()]))
             keep = cell.filter(pa.array(partnered(k, label, tree)))
-        part = (cell if keep is None else keep).select(names)
+        part = (cell if keep is None else keep).select(["k1", "label"])
         if part.num_rows:
-            held.append(part)
+            sig = mixed(part["k1"].to_numpy().astype(np.uint64)).sum(keepdims=True).astype(np.int64)
+            held.append(part.append_column("members", pa.array(np.full(part.num_rows, part.num_rows, np.int64))).append_column("sig", pa.array(np.repeat(sig, part.num_rows))))
             size += part.num_rows
         if size > 10_000:
             yield from pa.concat_tables(held).combine_chunks().to_batches()
@@ -382,9 +386,9 @@ def join_cell(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int
 
 @lean
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, k1, label, raw) sorted by cell: links (a, b) that were found there."""
+    """Rows (members, sig, k1, label, raw) sorted by (members, sig), the cells that are left: links (a, b) found there."""
     out: list[tuple[int, int]] = []
-    for cell in runs_of(batches, *_CELL):
+    for cell in runs_of(batches, "members", "sig"):
         k = cell["k1"].to_pylist()
         sets = [s for _, texts in _raw_runs(cell.combine_chunks().to_batches()[0]) for s in shingle_sets(texts)]
         out += [(max(k[i], k[j]), min(k[i], k[j])) for i, j in join_cell(sets, cell["label"].to_numpy())]
@@ -445,8 +449,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cel
         lower = F.col("cell_band") > F.col("band")
         cells = _cells(members, cell_rows, cell_bytes).withColumn("lower", lower).join(maps.select("k1", "n", "own", "up").hint("merge"), "k1")
         cells = cells.select(*_CELL, "k1", "label", "n", F.when(F.col("lower"), F.col("up")).otherwise(F.col("own")).alias("map"))
-        may = stored(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_may_link, "key long, cell_band long, cell_i long, cell_j long, k1 long, label long"), f"{name}-may")
-        texts = may.join(maps.select("k1", "raw").hint("merge"), "k1").repartition(*_CELL).sortWithinPartitions(*_CELL, "k1")
+        may = stored(cells.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_may_link, "k1 long, label long, members long, sig long").distinct(), f"{name}-may")
+        texts = may.join(maps.select("k1", "raw").hint("merge"), "k1").repartition("members", "sig").sortWithinPartitions("members", "sig", "k1")
         return stored(texts.mapInArrow(_links, "a long, b long").distinct(), name)
 
     label = F.col("k1").alias("label")
