@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkbasin import rules
+
 #: Defaults of an extraction's fields.
 TEXT_DEFAULTS = {"title": "", "summary": "", "language": "en", "quality": "medium", "content_type": "document", "confidentiality": "internal"}
 LIST_DEFAULTS = ["topics", "people", "products", "domains", "key_points"]
@@ -80,3 +82,47 @@ def cover(slides: DataFrame) -> DataFrame:
     """The cover of a package: its first slide's picture, else its first frame. slides (package, kind, number, path)."""
     order = F.struct(F.when(F.col("kind") == "slide", 0).otherwise(1).alias("o"), "number", "path")
     return slides.groupBy("package").agg(F.min(order).alias("m")).select("package", F.col("m.path").alias("cover"))
+
+
+def source_subdir(file_type: Column) -> Column:
+    """The folder of a package that holds the sources of a type."""
+    out = F.lit("notes")
+    for kind, folder in rules.SOURCE_SUBDIRS.items():
+        out = F.when(file_type == kind, folder).otherwise(out)
+    return out
+
+
+def freshness(path: Column, content: Column, modified: Column, now: Column) -> Column:
+    """Where a record comes from, the hash of its source, and both times in ISO form; null for what is missing."""
+    return F.struct(F.replace(path, F.lit("\\"), F.lit("/")).alias("source_path"), F.sha2(content, 256).alias("source_hash"), _iso(modified).alias("source_mtime"), _iso(now).alias("extracted_at"))
+
+
+def _iso(time: Column) -> Column:
+    """Microseconds only where there are any."""
+    fraction = F.date_format(time, "SSSSSS")
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)))
+
+
+def tagged(facts: Column, modality: str) -> Column:
+    """Facts as texts, as records with their modality; null facts go."""
+    return F.transform(F.filter(facts, lambda f: f.isNotNull()), lambda f: F.struct(f.alias("fact"), F.lit(modality).alias("source_modality")))
+
+
+def retagged(facts: Column, modality: str) -> Column:
+    """Facts as records, with their modality set; null facts go."""
+    return F.transform(F.filter(facts, lambda f: f.isNotNull()), lambda f: f.withField("source_modality", F.lit(modality)))
+
+
+def with_second_pass(rows: DataFrame, found: str) -> DataFrame:
+    """Records (facts, key_facts) with the facts of a second pass at their end, not compared with the others; `found` goes."""
+    more = F.filter(found, lambda f: f.isNotNull())
+    none = F.array().cast("array<string>")
+    some = F.coalesce(F.size(more) > 0, F.lit(False))
+    facts = F.when(some, F.concat(F.coalesce("facts", F.slice(more, 1, 0)), more)).otherwise(F.col("facts"))
+    keys = F.when(some, F.concat(F.coalesce("key_facts", none), F.transform(more, lambda f: f["fact"]))).otherwise(F.col("key_facts"))
+    return rows.withColumns({"facts": facts, "key_facts": keys}).drop(found)
+
+
+def latest_path(path: Column, modified: Column) -> Column:
+    """Aggregate: the path changed last, the greatest of equal ones; files without a time come last."""
+    return F.max(F.struct(modified.alias("modified"), path.alias("path")))["path"]

@@ -34,6 +34,17 @@ def kept_by_change(values: Column, least: float) -> Column:
     return F.aggregate(values, none, lambda kept, v: F.when((F.size(kept) == 0) | (F.abs(v - F.get(kept, F.size(kept) - 1)) > least), F.array_append(kept, v)).otherwise(kept))
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """1 less the mean difference of two pictures in grey levels; 0 if they differ in size or are empty."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.lit(1.0) - total / (F.lit(255.0) * F.size(a))).otherwise(0.0)
+
+
+def kept_by_similarity(frames: Column, most: float = 0.85) -> Column:
+    """Of frames (pixels, in order), those less similar than `most` to the last one kept; the first is kept."""
+    return F.aggregate(frames, F.slice(frames, 1, 0), lambda kept, f: F.when((F.size(kept) == 0) | (similarity(F.get(kept, F.size(kept) - 1)["pixels"], f["pixels"]) < most), F.array_append(kept, f)).otherwise(kept))
+
+
 def per_minute(frames: DataFrame, by: str, seconds: str, most: int) -> DataFrame:
     """At most so many frames of each minute, the earliest."""
     w = Window.partitionBy(by, F.floor(F.col(seconds) / 60)).orderBy(seconds)

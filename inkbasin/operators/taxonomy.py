@@ -37,6 +37,11 @@ def validated(tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return out.select(*tags.columns, F.col("_fits").alias("valid"), reason.alias("reason"))
 
 
+def warnings(results: DataFrame, by: str = "id") -> DataFrame:
+    """Per id, how many of its validated tags (reason) call for a look."""
+    return results.groupBy(by).agg(F.count(F.when(F.col("reason").isin("unknown_prefix", "unvalidated"), 1)).alias("warnings"))
+
+
 def unseen(terms: DataFrame, review: DataFrame) -> DataFrame:
     """Unknown terms (kind, term) that the review list lacks, once each."""
     return terms.select("kind", "term").distinct().join(review, ["kind", "term"], "left_anti")

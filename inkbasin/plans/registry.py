@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkbasin.plans import classify, facts, files, lists, media, records, reports, sessions
+from inkbasin.plans import classify, facts, files, lists, media, packages, records, reports, sessions
 
-_MODULES = (files, classify, facts, lists, sessions, reports, media, records)
+_MODULES = (files, classify, facts, lists, sessions, reports, media, records, packages)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
