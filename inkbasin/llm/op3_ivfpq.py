@@ -6,9 +6,12 @@
 2. Every vector is indexed: its nearest list, and one code for each of `parts` slices of its residual. Lists share
    cells of at most `cell_rows` vectors and a longer list is split into cells by a hash, so no list has to fit in a task.
 3. A query goes to the cells of the `probe_share` of all lists that are nearest to it, and of further ones in their
-   order until they hold more than `rerank` vectors. A table of squared distances
-   from its residual to all codewords gives each code's distance; a cell's best `rerank` go on. (The vectors of the
-   test tables hardly cluster: half of the lists hold 0.93 of the true neighbours, so the share is 0.6.)
+   order until they hold more than `rerank` vectors. With a query q, a list's centroid c and codewords b_j, a code's
+   distance |q - c - b|^2 is |q - c|^2 + sum of (|b_j|^2 + 2 c_j b_j) - 2 sum of q_j b_j: the second term belongs to
+   the row, and the third is read from one table of the query that serves all lists. A cell's best `rerank` go on. The
+   queries of a cell are dealt to groups of about `query_rows` by a hash, each a task of its own with the cell's codes.
+   (The vectors of the test tables hardly cluster: half of the lists hold 0.93 of the true neighbours, so the share
+   is 0.6.)
 4. The best `rerank` of a query meet their original vectors and are ranked by exact distance.
 
 Vectors that are null, zero, hold null or non-finite components or have another length than most take no part. Rows
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import lean_groups, stored, table
+from inkbasin.llm.common import lean_groups, partitions_for, stored, table
 from inkbasin.llm.vectors import matrix, usable
 
 
@@ -73,10 +76,23 @@ class Index:
         residual = self._sliced(x - self.centroids[lists])
         return lists, np.stack([nearest(residual[:, j], b)[:, 0] for j, b in enumerate(self.books)], 1).astype(np.uint8)
 
-    def table(self, query: np.ndarray, which: int) -> np.ndarray:
-        """Squared distances from the query's residual in this list to every codeword of every slice."""
-        residual = self._sliced((query - self.centroids[which])[None])[0]
-        return ((self.books - residual[:, None]) ** 2).sum(2)
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """parts x 256 x queries: -2 times the inner product of a query's slice and a codeword."""
+        return -2 * (self.books @ self._sliced(queries).transpose(1, 2, 0))
+
+    def own_terms(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """By row: sum of |b|^2 + 2 c b over its codewords, c being the slices of its list's centroid."""
+        squares, slices = (self.books**2).sum(2), self._sliced(self.centroids)
+        out = np.zeros(len(lists))
+        for which in np.unique(lists):
+            at = np.flatnonzero(lists == which)
+            term = squares + 2 * (self.books @ slices[which][:, :, None])[:, :, 0]
+            out[at] = term[np.arange(term.shape[0]), codes[at]].sum(1)
+        return out
+
+    def to_centroids(self, queries: np.ndarray) -> np.ndarray:
+        """Queries x lists: squared distances."""
+        return ((queries[:, None] - self.centroids) ** 2).sum(2)
 
 
 def cells_of(sizes: dict[int, int], cell_rows: int) -> dict[int, tuple[int, int]]:
@@ -133,33 +149,38 @@ def _probe(index, cells: dict[int, tuple[int, int]], probes: int, sizes: dict[in
     return probe
 
 
-def _search(index, rerank: int):
+def _search(index, rerank: int, step: int = 32):
     @lean_groups
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("list", "ascending"), ("_rid", "ascending")])
-        rid, lists = rows["_rid"].to_numpy(), rows["list"].to_numpy()
         out_q, out_r, out_d = [], [], []
-        if len(rid) and queries.num_rows:
+        if rows.num_rows and queries.num_rows:
+            rid, lists = rows["_rid"].to_numpy(), rows["list"].to_numpy()
             codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(rid), -1)
-            parts = np.arange(codes.shape[1])
-            for q, v, own in zip(queries["query"].to_pylist(), matrix(queries["v"]), queries["lists"].to_pylist()):
-                d = np.full(len(rid), np.inf)
-                for which in own:
-                    a, b = np.searchsorted(lists, [which, which + 1])
-                    d[a:b] = index.value.table(v, which)[parts, codes[a:b]].sum(1)
-                d[rid == q] = np.inf
-                best = np.flatnonzero(d < np.inf)
-                if len(best) > rerank:
-                    best = best[d[best] <= np.partition(d[best], rerank - 1)[rerank - 1]]
-                best = best[np.lexsort((rid[best], d[best]))][:rerank]  # ties to the smaller id
-                out_q.append(np.full(len(best), q, np.int64)), out_r.append(rid[best]), out_d.append(d[best])
+            fixed = index.value.own_terms(lists, codes)
+            names, vectors = queries["query"].to_numpy(), matrix(queries["v"])
+            for a in range(0, len(names), step):
+                v = vectors[a : a + step]
+                probed = np.zeros((len(index.value.centroids), len(v)), bool)
+                for i, own in enumerate(queries["lists"].slice(a, step).to_pylist()):
+                    probed[own, i] = True
+                far = np.where(probed, index.value.to_centroids(v).T, np.inf)
+                d = far[lists] + fixed[:, None]
+                for table, code in zip(index.value.tables(v), codes.T):
+                    d += table[code]
+                for q, near in zip(names[a : a + step].tolist(), np.ascontiguousarray(d.T)):
+                    near[rid == q] = np.inf
+                    best = np.flatnonzero(near < np.inf)
+                    if len(best) > rerank:
+                        best = best[near[best] <= np.partition(near[best], rerank - 1)[rerank - 1]]
+                    best = best[np.lexsort((rid[best], near[best]))][:rerank]  # ties to the smaller id
+                    out_q.append(np.full(len(best), q, np.int64)), out_r.append(rid[best]), out_d.append(near[best])
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"query": join(out_q, np.int64), "_rid": join(out_r, np.int64), "near": join(out_d, np.float64)})
 
     return search
 
 
-def search(spark: SparkSession, rows: DataFrame, is_query, k: int = 10, most_lists: int = 1024, probe_share: float = 0.6, parts: int = 32, rerank: int = 100, train_rows: int = 20_000, cell_rows: int = 8192) -> DataFrame:
+def search(spark: SparkSession, rows: DataFrame, is_query, k: int = 10, most_lists: int = 1024, probe_share: float = 0.6, parts: int = 32, rerank: int = 100, train_rows: int = 20_000, cell_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest rows found for each row where is_query."""
     vectors = stored(usable(rows, zero=False), "ivf-vectors")
     n = vectors.count()
@@ -178,7 +199,10 @@ def search(spark: SparkSession, rows: DataFrame, is_query, k: int = 10, most_lis
     queries = vectors.filter(is_query)
     probes = max(1, -int(-probe_share * lists // 1))
     asked = queries.select("_rid", "v").mapInArrow(_probe(index, cells, probes, sizes, rerank + 1), "query long, v array<double>, cell long, lists array<int>")
-    found = placed.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_search(index, rerank), "query long, _rid long, near double")
+    groups = partitions_for(queries.count(), query_rows)
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)))
+    placed = placed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    found = placed.groupBy("cell", "group").cogroup(asked.groupBy("cell", "group")).applyInArrow(_search(index, rerank), "query long, _rid long, near double")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("near", "_rid"))).filter(F.col("n") <= rerank)
     exact = best.select("query", "_rid").join(vectors, "_rid").join(queries.select(F.col("_rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query")
     squares = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)

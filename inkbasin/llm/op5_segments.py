@@ -1,11 +1,12 @@
 """Exact top-k by inner product, pruned with multi-resolution segment statistics.
 
-Vectors become integers, floor(scale * x). A vector is cut into 1, 4 and 16 segments; each keeps its mean and its
+Vectors become integers, floor(scale * x). A vector is cut into 1, 4, 16 and 32 segments; each keeps its mean and its
 deviation (the norm of what the mean leaves). For segments of length L with means m, n and deviations s, t,
     |x - q|^2 >= sum of L (m - n)^2 + (s - t)^2,
 a lower bound of the distance that gets closer with more segments, and hence an upper bound of the inner product
 (|x|^2 + |q|^2 - |x - q|^2) / 2. A pair that can't reach the query's k-th best score so far is dropped at the coarsest
-resolution that shows it; the scores of the survivors are computed exactly.
+resolution that shows it; the scores of the survivors are computed exactly. A resolution that drops next to nothing in
+a step of rows is passed over in the following steps and tried again later, which changes the work and not the result.
 
 All queries meet all rows in a grid of blocks: rows are dealt to blocks of `block_rows` and queries to groups of
 `query_rows`, both by a hash, so each task holds one of each. Rows travel once for every query group and queries once
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from inkbasin.llm.common import lean_groups, partitions_for, stored, table
 from inkbasin.llm.vectors import matrix, usable
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 _STEP = 1024
+#: A level that drops less than this share of a step's pairs rests for so many steps.
+_WORTH, _REST = 0.02, 8
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -76,18 +79,26 @@ def top(x: np.ndarray, rid: np.ndarray, queries: np.ndarray, query_rid: np.ndarr
     mine = [statistics(queries, s) for s in LEVELS]
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     least = np.full(len(queries), -np.inf)
+    rests = [0] * len(LEVELS)
     scored = 0
     for a in range(0, len(x), _STEP):
         part, ids = x[a : a + _STEP], rid[a : a + _STEP]
         open_ = query_rid[:, None] != ids
-        for own, segments in zip(mine, LEVELS):
-            qs, rows = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-            if not len(qs) or not a:  # nothing is known yet in the first step
+        left = int(open_.sum())
+        for i, (own, segments) in enumerate(zip(mine, LEVELS)):
+            if not left or not a:  # nothing is known yet in the first step
                 break
+            if rests[i]:
+                rests[i] -= 1
+                continue
+            qs, rows = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
             bound = upper_bounds(statistics(part[rows], segments), own[qs])
             bound += 1e-6 + 1e-9 * np.abs(bound)
             open_[np.ix_(qs, rows)] &= bound >= least[qs, None]
-        scored += int(open_.sum())
+            before, left = left, int(open_.sum())
+            if before - left < _WORTH * before:
+                rests[i] = _REST
+        scored += left
         if small and open_.mean() > 0.02:
             s = np.where(open_, queries @ part.T, -np.inf)
             if not a and len(part) > k:
@@ -119,7 +130,7 @@ def _search(k: int):
     return search
 
 
-def search(spark: SparkSession, rows: DataFrame, is_query, k: int = 20, scale: int = 64, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def search(spark: SparkSession, rows: DataFrame, is_query, k: int = 20, scale: int = 64, block_rows: int = 16_384, query_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row where is_query."""
     whole = usable(rows, zero=True).withColumn("v", F.transform("v", lambda x: _floor(x * scale)))
     vectors = stored(whole, "top-vectors")
