@@ -1,4 +1,4 @@
-"""Command line: python -m inkbasin.cli COMMAND ... (scan, info, process, manifest, eval, compare, query)."""
+"""Command line: python -m inkbasin.cli COMMAND ... (scan, info, process, manifest, evaluate, compare_packages, compare, query)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from inkbasin import providers
 from inkbasin.functions import jsonrepair as J
 from inkbasin.functions.classify import file_type, text_quality
 from inkbasin.functions.text import file_name, output_filename
-from inkbasin.operators import reports, resume, routing
+from inkbasin.operators import packages, reports, resume, routing
 from inkbasin.session import session
 from inkbasin.sources import files, sinks
 
@@ -51,11 +51,28 @@ def manifest(spark, a):
     todo.select("id", "path", "doc_type", "name", "error").show(1000, False)
 
 
+def _files(spark, root: str):
+    return packages.evaluated(files.package_notes(spark, root), files.package_pictures(spark, root))
+
+
+def _folders(spark, root: str):
+    return files.package_notes(spark, root).select("package").distinct()
+
+
 def evaluate(spark, a):
-    from inkbasin.operators.scores import content_counts
+    """Scores of the packages in a folder and of their notes."""
+    each = _files(spark, a.path)
+    packages.package_scores(_folders(spark, a.path), each).orderBy("package").show(1000, False)
+    shown = ("package", "note", "title", "score", "key_facts", "specific", "entities", "topics", "chars", "overlay_type", "populated", "fresh", "slides", "frames", "slide_coverage", "issues")
+    each.select(*shown).orderBy("package", "note").show(1000, False)
+
 
-    notes = files.notes(spark, a.path)
-    notes.select(file_name(F.col("path")).alias("note"), content_counts(F.col("text")).alias("c")).select("note", "c.*").show(1000, False)
+def compare_packages(spark, a):
+    """Two runs of the packages in a folder: scores and the changes of every note."""
+    old, new = _files(spark, a.old), _files(spark, a.new)
+    scores = [packages.package_scores(_folders(spark, p), f) for p, f in ((a.old, old), (a.new, new))]
+    packages.package_changes(*scores).orderBy("package").show(1000, False)
+    packages.compared(old, new).orderBy("package", "note").show(1000, False)
 
 
 def compare(spark, a):
@@ -86,6 +103,7 @@ def main(argv: list[str] | None = None) -> None:
     command(process, path, (["--out"], {"default": "extract"}), (["--dry-run"], flag), (["--tier"], {"type": int}), (["--force"], flag), (["--done"], {}), (["--prompt-file"], {}), (["--context"], {}), (["--model"], {"default": "rules"}), (["--provider"], {"default": "rules"}), (["--max-rpm"], {"type": int, "default": 0}))
     command(manifest, path, (["--status"], {"default": "status"}), (["--root"], {"default": "."}), (["--force"], flag))
     command(evaluate, path)
+    command(compare_packages, (["old"], {}), (["new"], {}))
     command(compare, (["old"], {}), (["new"], {}))
     command(query, (["name"], {}), (["data"], {}), (["--rows"], {"type": int, "default": 20}))
     a = top.parse_args(argv)

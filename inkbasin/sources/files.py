@@ -113,6 +113,24 @@ def yaml_values(notes_: DataFrame) -> DataFrame:
     return notes_.withColumn("fields", F.parse_json(as_json("frontmatter")))
 
 
+def package_notes(spark: SparkSession, root: str) -> DataFrame:
+    """Notes under a folder of packages, with the package (the first folder below root) and the fields of the frontmatter."""
+    named = notes(spark, root).withColumns({"package": _package(root), "note": file_name(F.col("path"))})
+    return yaml_values(named).select("package", "note", "text", "fields")
+
+
+def package_pictures(spark: SparkSession, root: str) -> DataFrame:
+    """PNG files in the source folders of packages: package, kind (slide, frame, image). File contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root).select("path")
+    kind = F.regexp_extract("path", r"/source/(slide|frame|image)s/[^/]+$", 1)
+    return found.select(_package(root).alias("package"), kind.alias("kind")).filter("kind <> ''")
+
+
+def _package(root: str):
+    name = root.rstrip("/").replace("\\", "/").rsplit("/", 1)[-1]
+    return F.substring_index(F.substring_index("path", f"/{name}/", -1), "/", 1)
+
+
 def report_slides(reports: DataFrame) -> DataFrame:
     """reports (report, text): title and explanation of every `## ` slide, in order."""
     parts = F.slice(F.split("text", r"(?m)^## "), F.lit(2), F.greatest(F.size(F.split("text", r"(?m)^## ")) - 1, F.lit(0)))

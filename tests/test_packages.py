@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkbasin.functions import media
@@ -72,3 +73,33 @@ def test_kept_by_similarity(spark):
             if last is None or len(last) != len(p) or 1 - sum(abs(a - b) for a, b in zip(last, p)) / (255 * len(p)) < 0.85:
                 kept.append(j)
         assert got[i] == kept
+
+
+def test_evaluation_of_folders(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from inkbasin.operators import packages
+    from inkbasin.sources import files
+
+    for run, facts in (("old", "[short]"), ("new", "[a fact that has over thirty characters, second]")):
+        package = tmp_path / run / "p1"
+        (package / "source" / "slides").mkdir(parents=True)
+        (package / "source" / "slides" / "s1.png").write_bytes(b"x")
+        (package / "source" / "other.png").write_bytes(b"x")
+        front = f"title: Deck\nsource: in/{run}/deck.pptx\nextraction_version: 2\nkey_facts: {facts}\nrfp_overlay:\n  a: 1\n  b: []\ntopics: [x, y]\nentities_mentioned: null\n"
+        (package / "deck.md").write_text(f"---\n{front}---\n## One\n" + "t" * 600)
+        (package / "session_x.md").write_text("---\ntitle: s\n---\n")
+        (package / "bad.md").write_text("---\n: [\n---\n")
+    old, new = (packages.evaluated(files.package_notes(spark, str(tmp_path / r)), files.package_pictures(spark, str(tmp_path / r))) for r in ("old", "new"))
+    rows = {r.note: r for r in new.collect()}
+    assert set(rows) == {"deck.md", "bad.md"}
+    r = rows["deck.md"]
+    # facts 2, overlay 5 + 3, topics 2, length 4, pictures 10, version 7
+    assert (r.score, r.key_facts, r.specific, r.populated, r.overlay_fields, r.slides, r.slide_coverage, r.fresh) == (33, 2, 1, 1, 2, 1, 1.0, False)
+    assert rows["bad.md"].title == "bad" and rows["bad.md"].score == 10 and rows["bad.md"].issues == ["no facts", "low content"]
+    scores = [packages.package_scores(f.select("package").distinct(), f) for f in (old, new)]
+    assert [tuple(x) for x in packages.package_changes(*scores).collect()] == [("p1", 20, 22, 2)]
+    got = {x.note: (x.old_note, x.matched_by, x.score_change) for x in packages.compared(old, new).collect()}
+    assert got == {"deck.md": ("deck.md", "source", 2), "bad.md": ("bad.md", "source", 0)}
+    none = packages.package_scores(spark.createDataFrame([("empty",)], "package string"), new.limit(0)).collect()
+    assert [tuple(x) for x in none] == [("empty", 0, 0, "no notes")]
+    assert packages.compared(old.limit(0), new).filter("matched_by is not null").count() == 0
