@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from inkbasin import rules
 from inkbasin.functions.arrays import dedupe, jaccard, merged_overlays
 from inkbasin.functions.text import extension, normalize_stem, pair_hash, session_id, stem_prefix, title_case, words
+from inkbasin.operators.facts import deduplicated
 
 
 @F.pandas_udf(DoubleType())
@@ -103,6 +104,36 @@ def merged_sessions(pairs: DataFrame) -> DataFrame:
     )
 
 
+_SIDE = ("hash", "title", "slides", "topics", "people", "products", "overlay", "facts", "extracted_at")
+
+
+def confirmed_pairs(files: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Decks and recordings of one folder that belong together by name, with what was extracted from both and the verdict.
+
+    files (folder, path), extractions (path and the columns of _SIDE). A pair of which one extraction is missing is left out.
+    """
+    side = lambda n: extractions.select(F.col("path").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in _SIDE))
+    return confirmed(assigned(session_candidates(files)).join(side("deck"), "deck").join(side("video"), "video"))
+
+
+def sessions(pairs: DataFrame) -> DataFrame:
+    """confirmed_pairs as session records: merged lists, overlays and facts, both sources, confidence of the correlation.
+
+    Facts (array of texts on either side) are merged as in facts.deduplicated, in its order; a session is one deck and
+    one recording, so its facts are held together. Pairs that are only cross-linked are left out.
+    """
+    merge = pairs.filter("decision = 'merge'")
+    c = F.col
+    source = lambda n, modality: F.struct(F.lit(modality).alias("modality"), F.replace(c(n), F.lit("\\"), F.lit("/")).alias("path"), c(f"{n}_hash").alias("hash"), F.coalesce(f"{n}_extracted_at", F.lit("")).alias("extracted_at"))
+    about = merge.select("deck", F.array(source("video", "mp4"), source("deck", "pptx")).alias("sources"), c("confidence").cast("int").alias("confidence"))
+    said = lambda n, modality: F.transform(F.filter(F.coalesce(f"{n}_facts", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(modality).alias("modality"), x.alias("fact")))
+    each = merge.select(c("deck").alias("session"), F.posexplode(F.concat(said("deck", "pptx"), said("video", "mp4"))).alias("pos", "f")).select("session", "pos", "f.*")
+    facts = deduplicated(each).groupBy(c("session").alias("deck")).agg(F.array_sort(F.collect_list(F.struct("rank", "fact", "modality", "conflict"))).alias("key_facts"))
+    none = F.array().cast(facts.schema["key_facts"].dataType)
+    records = merged_sessions(merge).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Session")))
+    return records.join(about, "deck").join(facts, "deck", "left").withColumn("key_facts", F.coalesce("key_facts", none))
+
+
 def session_ids(notes: DataFrame, sessions: DataFrame) -> DataFrame:
     """notes (path, session_id) with the session of their file, where they have none yet."""
     members = sessions.select("session_id", F.explode(F.array("deck", "video")).alias("path")).withColumnRenamed("session_id", "_s")

@@ -48,6 +48,24 @@ def standalone_files(spark, d):
     return correlate.standalone(f, correlate.assigned(correlate.session_candidates(f)))
 
 
+def _extractions(spark, d):
+    """Every document as what was extracted from a file of _media: words as topics and facts, some nulls."""
+    i, t = F.col("doc_id"), F.split(F.coalesce("text", F.lit("")), " ")
+    facts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array_join(F.concat(F.slice(t, F.lit(1) + k * 6, F.lit(6)), F.array(((F.expr("doc_id div 4") % 5 + k) * 10).cast("string"))), " "))
+    side = table(spark, d, "documents").select(
+        "doc_id", F.sha2(i.cast("string"), 256).alias("hash"), F.when(i % 9 > 0, F.concat(F.lit("Session "), F.expr("doc_id div 8"))).alias("title"), (i % 6 * 2).alias("slides"),
+        F.when(i % 7 > 0, F.array(F.lit("T"), F.concat(F.lit("t"), F.expr("doc_id div 6").cast("string")))).alias("topics"), F.array("source").alias("people"), F.when(i % 2 == 0, F.array("lang")).alias("products"),
+        F.create_map(F.lit("k"), F.array(F.col("lang"))).alias("overlay"), F.when(i % 11 > 0, facts).alias("facts"), F.lit(None).cast("string").alias("extracted_at"),
+    )
+    return _media(spark, d).join(side.filter(i % 10 < 9), "doc_id").drop("doc_id", "folder")
+
+
+@query()
+def session_records(spark, d):
+    pairs = correlate.confirmed_pairs(_media(spark, d).select("folder", "path"), _extractions(spark, d))
+    return correlate.sessions(pairs)
+
+
 _P = "p AS (SELECT o_orderkey AS id, (o_orderkey % 40 + 55) / 100.0 AS similarity, CAST(o_orderkey % 40 + 55 AS INTEGER) AS stage1, o_orderkey % 25 AS ds, (o_orderkey * 7) % 25 AS vs, o_orderpriority AS dt, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus || ' talk' END AS vt, ['A', o_orderstatus, 'C'] AS dp, CASE WHEN o_orderkey % 2 = 0 THEN ['a', lower(o_orderstatus), 'c', 'd'] ELSE [] END AS vp FROM orders)"
 
 

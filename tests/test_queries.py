@@ -143,3 +143,41 @@ def test_title_case(spark):
     names = ["session1_slides", "o'neil report-2a", "ÉTÉ à paris", "", "x"]
     got = [r.t for r in spark.createDataFrame([(n,) for n in names], "n string").select(title_case(F.col("n")).alias("t")).collect()]
     assert got == [n.title() for n in names]
+
+
+def test_session_records_restated(spark):
+    from hashlib import sha256
+
+    from inkbasin.operators import correlate
+    from inkbasin.plans import sessions
+
+    got = registry.QUERIES["session_records"](spark, DATA).collect()
+    known = {r.path: r for r in sessions._extractions(spark, DATA).collect()}
+    matched = registry.QUERIES["session_stage1"](spark, DATA).collect()
+    expected = {}
+    for p in matched:
+        if p.deck not in known or p.video not in known:
+            continue
+        a, b = known[p.deck], known[p.video]
+        signals = p.similarity > 0.65
+        words = [set((r.title or "").lower().split()) for r in (a, b)]
+        signals += bool(words[0] | words[1]) and len(words[0] & words[1]) / len(words[0] | words[1]) > 0.5
+        if a.slides and b.slides:
+            signals += abs(a.slides - b.slides) <= 3 or abs(a.slides - b.slides) / max(a.slides, b.slides) <= 0.25
+        topics = [{t.lower() for t in r.topics or []} for r in (a, b)]
+        signals += bool(topics[0] and topics[1]) and len(topics[0] & topics[1]) / len(topics[0] | topics[1]) > 0.6
+        if signals >= 2:
+            expected[p.deck, p.video] = min(100, int((p.stage1 + signals * 25) / 2))
+    assert expected and {(r.deck, r.video): r.confidence for r in got} == expected and len(expected) < len(matched)
+    for r in got:
+        a, b = known[r.deck], known[r.video]
+        assert r.title == (a.title or b.title or "Untitled Session")
+        assert r.session_hash == sha256("|".join(sorted([a.hash, b.hash])).encode()).hexdigest()
+        assert [tuple(x) for x in r.sources] == [("mp4", r.video, b.hash, ""), ("pptx", r.deck, a.hash, "")]
+        assert [x["rank"] for x in r.key_facts] == list(range(1, len(r.key_facts) + 1))
+        said = {"pptx": set(a.facts or []), "mp4": set(b.facts or [])}
+        assert {x.fact for x in r.key_facts} <= said["pptx"] | said["mp4"]
+        assert bool(r.key_facts) == bool(a.facts or b.facts)
+        assert r.topics == list({t.lower(): t for t in reversed((a.topics or []) + (b.topics or []))}.values())[::-1]
+    crossed = correlate.sessions(correlate.confirmed_pairs(spark.createDataFrame([], "folder string, path string"), sessions._extractions(spark, DATA)))
+    assert crossed.count() == 0
