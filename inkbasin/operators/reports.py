@@ -79,6 +79,34 @@ def slide_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "title", "full_outer").select("title", kind.alias("change"), F.length("o").alias("old_length"), F.length("n").alias("new_length"))
 
 
+def comparison(old: DataFrame, new: DataFrame, old_counts: DataFrame, new_counts: DataFrame, titles: int = 10, examples: int = 5) -> DataFrame:
+    """Slides (report, pos, title, explanation) and counts (report, frames, questions) of two runs: a row for each report.
+
+    Numbers of slides, frames and questions with their changes, the first added and removed titles in order, the number
+    of common titles and of changed explanations, and the first of those, cut to 200 characters. Of slides with one
+    title the last counts. A report that a run lacks has no slides there, and null frames and questions.
+    """
+    one = lambda t, n: t.groupBy("report", "title").agg(F.max_by(F.coalesce("explanation", F.lit("")), "pos").alias(f"_{n}"), F.count("*").alias(f"_{n}n"))
+    pairs = one(old, "o").join(one(new, "n"), ["report", "title"], "full_outer")
+    c = F.col
+    kind = F.when(c("_o").isNull(), "added").when(c("_n").isNull(), "removed").when(c("_o") == c("_n"), "same").otherwise(change_type(F.length("_o"), F.length("_n")))
+    grouped = F.when(c("kind").isin("added", "removed", "same"), c("kind")).otherwise("changed")
+    ranked = pairs.withColumn("kind", kind).withColumn("_rank", F.row_number().over(Window.partitionBy("report", grouped).orderBy("title")))
+    cut = lambda x: F.concat(F.substring(x, 1, 200), F.lit("..."))
+    example = F.struct("title", c("kind").alias("change"), cut("_o").alias("old_explanation"), cut("_n").alias("new_explanation"), F.length("_o").alias("old_length"), F.length("_n").alias("new_length"))
+    first = lambda when, value, n: F.array_sort(F.collect_list(F.when(when & (c("_rank") <= n), value)))
+    changed = ~c("kind").isin("added", "removed", "same")
+    is_ = lambda k: c("kind") == k
+    out = ranked.groupBy("report").agg(
+        F.coalesce(F.sum("_on"), F.lit(0)).alias("old_slides"), F.coalesce(F.sum("_nn"), F.lit(0)).alias("new_slides"), F.count_if(is_("added")).alias("total_added"), F.count_if(is_("removed")).alias("total_removed"),
+        F.count_if(~is_("added") & ~is_("removed")).alias("common"), *(F.count_if(is_(k)).alias(k) for k in ("improved", "degraded", "rewritten")),
+        first(is_("added"), c("title"), titles).alias("added_titles"), first(is_("removed"), c("title"), titles).alias("removed_titles"), first(changed, example, examples).alias("examples"),
+    ).withColumn("slides_change", c("new_slides") - c("old_slides"))
+    for n, counts in (("old", old_counts), ("new", new_counts)):
+        out = out.join(counts.select("report", *(c(x).alias(f"{n}_{x}") for x in ("frames", "questions"))), "report", "left")
+    return out.withColumns({f"{x}_percent": percent_change(c(f"old_{x}"), c(f"new_{x}")) for x in ("frames", "questions")})
+
+
 def verdict(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
     """Metrics of two runs (avg_length, junk, general_percent) by report: improvements, regressions and the verdict."""
     m = ["avg_length", "junk", "general_percent"]

@@ -83,6 +83,31 @@ def slide_diff(spark, d):
     return reports.slide_changes(*_runs(spark, d))
 
 
+_SLIDE = "coalesce(source, 'none') AS report, doc_id AS pos, concat('S', doc_id % 90) AS title"
+_CHANGED = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, text) WHEN 2 THEN substring(text, 1, 40) ELSE concat('x', text) END"
+_COUNTS = "SELECT coalesce(source, 'none') AS report, count(*) AS frames, sum(CASE WHEN doc_id % {n} = 0 THEN 1 ELSE 0 END) AS questions FROM documents WHERE doc_id % 11 <> {n} GROUP BY 1"
+_CUT = "substring({x}, 1, 200) || '...'"
+
+
+@query(
+    f"WITH os AS (SELECT {_SLIDE}, coalesce(text, '') AS e FROM documents WHERE doc_id % 3 > 0 OR doc_id % 8 = 0), ns AS (SELECT {_SLIDE}, coalesce({_CHANGED}, '') AS e FROM documents WHERE doc_id % 7 > 0),"
+    " o AS (SELECT report, title, arg_max(e, pos) AS e, count(*) AS n FROM os GROUP BY 1, 2), n AS (SELECT report, title, arg_max(e, pos) AS e, count(*) AS n FROM ns GROUP BY 1, 2),"
+    " p AS (SELECT coalesce(o.report, n.report) AS report, coalesce(o.title, n.title) AS title, o.n AS onum, n.n AS nnum, o.e AS oe, n.e AS ne, CASE WHEN o.n IS NULL THEN 'added' WHEN n.n IS NULL THEN 'removed' WHEN o.e = n.e THEN 'same' WHEN length(n.e) > length(o.e) * 1.2 THEN 'improved' WHEN length(n.e) < length(o.e) * 0.8 THEN 'degraded' ELSE 'rewritten' END AS kind FROM o FULL JOIN n ON o.report = n.report AND o.title = n.title),"
+    f" g AS (SELECT report, coalesce(sum(onum), 0)::BIGINT AS old_slides, coalesce(sum(nnum), 0)::BIGINT AS new_slides, count(*) FILTER (kind = 'added') AS total_added, count(*) FILTER (kind = 'removed') AS total_removed, count(*) FILTER (kind NOT IN ('added', 'removed')) AS common, count(*) FILTER (kind = 'improved') AS improved, count(*) FILTER (kind = 'degraded') AS degraded, count(*) FILTER (kind = 'rewritten') AS rewritten,"
+    " coalesce(list(title ORDER BY title) FILTER (kind = 'added'), [])[1:10] AS added_titles, coalesce(list(title ORDER BY title) FILTER (kind = 'removed'), [])[1:10] AS removed_titles,"
+    f" list_transform(coalesce(list({{'t': title, 'k': kind, 'o': {_CUT.format(x='oe')}, 'n': {_CUT.format(x='ne')}}} ORDER BY title) FILTER (kind IN ('improved', 'degraded', 'rewritten')), [])[1:5], lambda x: x.t || '|' || x.k || '|' || x.o || '|' || x.n) AS examples FROM p GROUP BY report),"
+    f" oc AS ({_COUNTS.format(n=4)}), nc AS ({_COUNTS.format(n=6)})"
+    " SELECT g.*, new_slides - old_slides AS slides_change, oc.frames AS old_frames, nc.frames AS new_frames, round_even((nc.frames - oc.frames) / greatest(oc.frames, 1) * 100, 1) AS frames_percent, round_even((nc.questions - oc.questions) / greatest(oc.questions, 1) * 100, 1) AS questions_percent FROM g LEFT JOIN oc ON oc.report = g.report LEFT JOIN nc ON nc.report = g.report"
+)
+def report_comparison(spark, d):
+    docs = table(spark, d, "documents")
+    slides = lambda where, e: docs.filter(where).selectExpr("coalesce(source, 'none') AS report", "doc_id AS pos", "concat('S', doc_id % 90) AS title", f"{e} AS explanation")
+    counts = lambda n: docs.filter(F.col("doc_id") % 11 != n).groupBy(F.expr("coalesce(source, 'none')").alias("report")).agg(F.count("*").alias("frames"), F.count_if(F.col("doc_id") % n == 0).alias("questions"))
+    out = reports.comparison(slides("doc_id % 3 > 0 OR doc_id % 8 = 0", "text"), slides("doc_id % 7 > 0", _CHANGED), counts(4), counts(6))
+    shown = F.transform("examples", lambda x: F.concat_ws("|", x["title"], x["change"], x["old_explanation"], x["new_explanation"]))
+    return out.withColumn("examples", shown).drop("old_questions", "new_questions")
+
+
 _METRICS = "m AS (SELECT source AS report, avg(length(text)) FILTER (doc_id % 2 = 0) AS ol, avg(length(text)) FILTER (doc_id % 2 = 1) AS nl, count(*) FILTER (doc_id % 6 = 0) AS oj, count(*) FILTER (doc_id % 5 = 1) AS nj, 100.0 * count(*) FILTER (doc_id % 4 = 0) / count(*) AS og, 100.0 * count(*) FILTER (doc_id % 3 = 0) / count(*) AS ng FROM (SELECT source, (doc_id // 20) AS doc_id, text FROM documents) GROUP BY source)"
 
 

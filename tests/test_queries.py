@@ -135,6 +135,22 @@ def test_stage_1_confidence(spark):
     assert sorted((r.deck, r.video, r.stage1) for r in correlate.assigned(pairs).collect()) == [("b.pptx", "b.mp4", 100), ("a.pptx", "a.mp4", 91)][::-1]
 
 
+def test_comparison_of_reports(spark):
+    from inkbasin.operators import reports
+
+    slides = "report string, pos int, title string, explanation string"
+    old = spark.createDataFrame([("r", 1, "A", "x" * 300), ("r", 2, "A", "short"), ("r", 3, "B", None), ("r", 4, "C", "same"), ("gone", 1, "A", "t")], slides)
+    new = spark.createDataFrame([("r", 1, "A", "short but longer"), ("r", 2, "C", "same"), ("r", 3, "D", ""), ("come", 1, "A", "t")] + [("r", i, f"E{i:02}", "") for i in range(4, 24)], slides)
+    counts = lambda *rows: spark.createDataFrame(list(rows), "report string, frames long, questions long")
+    got = {r.report: r for r in reports.comparison(old, new, counts(("r", 0, 4), ("gone", 1, 1)), counts(("r", 3, 3))).collect()}
+    r = got["r"]
+    assert (r.old_slides, r.new_slides, r.slides_change, r.total_added, r.total_removed, r.common, r.improved, r.degraded, r.rewritten) == (4, 23, 19, 21, 1, 2, 1, 0, 0)
+    assert r.added_titles == ["D"] + [f"E{i:02}" for i in range(4, 13)] and r.removed_titles == ["B"]
+    assert [(x.title, x.change, x.old_explanation, x.new_length) for x in r.examples] == [("A", "improved", "short...", 16)]
+    assert (r.frames_percent, r.questions_percent) == (300.0, -25.0)
+    assert (got["gone"].new_slides, got["gone"].new_frames, got["come"].old_slides, got["come"].added_titles) == (0, None, 0, ["A"])
+
+
 def test_title_case(spark):
     from pyspark.sql import functions as F
 
