@@ -66,10 +66,11 @@ def get_provider(name: str) -> Provider:
     return _REGISTRY[name]()
 
 
-def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules", max_rpm: int = 0) -> DataFrame:
+def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules", max_rpm: int = 0, attempts: int = 1, base: float = 2.0) -> DataFrame:
     """requests (key, prompt, model, max_tokens) -> replies; a failed call is a row with an error, never a failed job.
 
-    max_rpm: calls a minute of one task.
+    max_rpm: calls a minute of one task. attempts: a call that fails is tried again up to so many times in all, after
+    base, base squared, ... seconds; the last error stays.
     """
     make = (lambda p=provider: _REGISTRY[p]()) if isinstance(provider, str) else provider
     if isinstance(provider, str):
@@ -81,10 +82,14 @@ def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules",
             out = []
             for r in rows.itertuples():
                 text = error = None
-                try:
-                    text = client.extract(r.prompt, r.model, int(r.max_tokens))
-                except Exception as e:  # one row's failure stays with the row
-                    error = f"{type(e).__name__}: {e}"
+                for attempt in range(1, max(1, attempts) + 1):
+                    try:
+                        text, error = client.extract(r.prompt, r.model, int(r.max_tokens)), None
+                        break
+                    except Exception as e:  # one row's failure stays with the row
+                        error = f"{type(e).__name__}: {e}"
+                    if attempt < attempts:
+                        time.sleep(base**attempt)
                 out.append((r.key, text, r.model, client.name, len(r.prompt) // 4, len(text or "") // 4, error))
                 if max_rpm:
                     time.sleep(60 / max_rpm)

@@ -85,12 +85,18 @@ def scan_result(scanned: DataFrame) -> DataFrame:
 
 
 def archive(df: DataFrame, path: str, history: str) -> str:
-    """Write a new version beside the old one, and move the old one to the history only if that worked."""
+    """Write a new version beside the old one, and move the old one to the history only if that worked.
+
+    Where the new version has no rows, the old one stays in place and it is an error.
+    """
     spark = df.sparkSession
     jvm, fresh = spark.sparkContext._jvm, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.json(fresh)
     p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
     fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not spark.read.schema(df.schema).json(fresh).take(1):
+        fs.delete(p(fresh), True)
+        raise RuntimeError(f"nothing was extracted; {path} stays as it was")
     kept = f"{history.rstrip('/')}/{uuid.uuid4().hex}"
     if fs.exists(p(path)):
         fs.mkdirs(p(history))

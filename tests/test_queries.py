@@ -99,6 +99,40 @@ def test_escalation(spark):
     assert done.filter(F.col("provider") == "rules").count() == 2
 
 
+def test_retries(spark):
+    from inkbasin import providers
+
+    class Flaky:
+        name = "flaky"
+
+        def __init__(self):
+            self.calls = {}
+
+        def extract(self, prompt, model, max_tokens):
+            n = self.calls[prompt] = self.calls.get(prompt, 0) + 1
+            if n <= int(prompt):
+                raise ValueError(f"call {n}")
+            return f"after {n}"
+
+    asked = spark.createDataFrame([("a", "0", "m", 1), ("b", "2", "m", 1), ("c", "3", "m", 1)], "key string, prompt string, model string, max_tokens int")
+    got = {r.key: (r.text, r.error) for r in providers.call(asked, lambda: Flaky(), attempts=3, base=0.01).collect()}
+    assert got == {"a": ("after 1", None), "b": ("after 3", None), "c": (None, "ValueError: call 3")}
+    assert {r.key: r.error for r in providers.call(asked, lambda: Flaky()).collect()}["b"] == "ValueError: call 1"
+
+
+def test_archive_keeps_what_it_cannot_replace(spark, tmp_path):
+    from inkbasin.sources import sinks
+
+    path, history = str(tmp_path / "extract"), str(tmp_path / "history")
+    row = lambda v: spark.createDataFrame([(v,)], "v int")
+    sinks.archive(row(1), path, history)
+    with pytest.raises(RuntimeError, match="nothing was extracted"):
+        sinks.archive(row(2).limit(0), path, history)
+    assert [r.v for r in spark.read.json(path).collect()] == [1] and not list(tmp_path.glob("extract.*"))
+    kept = sinks.archive(row(3), path, history)
+    assert [r.v for r in spark.read.json(path).collect()] == [3] and [r.v for r in spark.read.json(kept).collect()] == [1]
+
+
 def test_streaming(spark, tmp_path):
     from inkbasin.streaming.ingest import event_counts, ingest
 
