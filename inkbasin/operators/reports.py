@@ -24,18 +24,25 @@ def explanation_check(rows: DataFrame, *by: str, least: int = 30) -> DataFrame:
     return out.withColumn("passed", (_share("empty") <= 0.1) & (_share("too_short") <= 0.3) & (_share("generic") <= 0.5) & (_share("raw") <= 0.2))
 
 
-def junk_check(rows: DataFrame, *by: str) -> DataFrame:
-    """rows (title): junk titles, and whether they are 10 % at most."""
-    out = rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(contains_any(F.lower("title"), rules.JUNK_TITLES)).alias("junk"))
+def junk_check(rows: DataFrame, *by: str, order: str = "pos", examples: int = 5) -> DataFrame:
+    """rows (title, pos): junk titles, the first of them in order, and whether they are 10 % at most.
+
+    Only the first junk titles of a report are shuffled for the examples.
+    """
+    junk = contains_any(F.lower("title"), rules.JUNK_TITLES)
+    out = rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(junk).alias("junk"))
+    first = rows.filter(junk).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "title"))).filter(F.col("_rank") <= examples)
+    titles = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "title"))), lambda x: x["title"]).alias("junk_titles"))
+    out = out.join(titles, list(by), "left").withColumn("junk_titles", F.coalesce("junk_titles", F.array().cast("array<string>")))
     return out.withColumns({"junk_ratio": F.bround(_share("junk"), 3), "passed": _share("junk") <= 0.1})
 
 
 def qa_check(rows: DataFrame, *by: str) -> DataFrame:
-    """rows (question, answer, category)."""
+    """rows (question, answer, category, source): counts of what is missing or generic, and whether that is little."""
     there = F.col("question").isNotNull() & F.col("answer").isNotNull()
     out = rows.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if(~there).alias("missing_fields"), F.count_if(there & contains_any(F.lower("question"), rules.GENERIC_QUESTIONS)).alias("generic_questions"),
-        F.count_if(there & contains_any(F.lower("answer"), rules.GENERIC_ANSWERS)).alias("generic_answers"), F.count_if(there & (F.coalesce("category", F.lit("")) == "")).alias("missing_category"),
+        F.count_if(there & contains_any(F.lower("answer"), rules.GENERIC_ANSWERS)).alias("generic_answers"), F.count_if(there & (F.coalesce("category", F.lit("")) == "")).alias("missing_category"), F.count_if(there & F.col("source").isNull()).alias("missing_source"),
         F.bround(F.sum(F.coalesce(F.length("question"), F.lit(0))) / F.count("*"), 1).alias("avg_question"), F.bround(F.sum(F.coalesce(F.length("answer"), F.lit(0))) / F.count("*"), 1).alias("avg_answer"),
     )
     return out.withColumn("passed", (F.col("missing_fields") == 0) & (_share("generic_questions") <= 0.5) & (_share("generic_answers") <= 0.5) & (_share("missing_category") <= 0.3))

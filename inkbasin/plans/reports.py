@@ -24,18 +24,18 @@ def explanation_check(spark, d):
 _TITLE = "CASE WHEN page_id % 9 = 0 THEN 'Thank You' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END"
 
 
-@query(f"WITH t AS (SELECT page_id % 10 AS report, {_TITLE} AS title FROM pages), m AS (SELECT report, count(*) AS total, count(*) FILTER ({S.has_any('lower(title)', rules.JUNK_TITLES)}) AS junk FROM t GROUP BY report) SELECT *, round_even(junk / total, 3) AS junk_ratio, junk / total <= 0.1 AS passed FROM m")
+@query(f"WITH t AS (SELECT page_id % 10 AS report, page_id AS pos, {_TITLE} AS title FROM pages), m AS (SELECT report, count(*) AS total, count(*) FILTER ({S.has_any('lower(title)', rules.JUNK_TITLES)}) AS junk, coalesce(list(title ORDER BY pos) FILTER ({S.has_any('lower(title)', rules.JUNK_TITLES)}), [])[1:5] AS junk_titles FROM t GROUP BY report) SELECT *, round_even(junk / total, 3) AS junk_ratio, junk / total <= 0.1 AS passed FROM m")
 def junk_check(spark, d):
     title = F.when(F.col("page_id") % 9 == 0, "Thank You").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    return reports.junk_check(table(spark, d, "pages").select((F.col("page_id") % 10).alias("report"), title.alias("title")), "report")
+    return reports.junk_check(table(spark, d, "pages").select((F.col("page_id") % 10).alias("report"), F.col("page_id").alias("pos"), title.alias("title")), "report")
 
 
-@query(f"WITH t AS (SELECT conv_id % 20 AS report, turn, max(text) FILTER (role = 'user') AS question, NULL AS x, conv_id FROM conversations GROUP BY conv_id, turn), q AS (SELECT u.conv_id % 20 AS report, u.text AS question, a.text AS answer, CASE WHEN u.conv_id % 3 > 0 THEN 'c' ELSE '' END AS category FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'), m AS (SELECT report, count(*) AS total, count(*) FILTER (answer IS NULL) AS missing_fields, count(*) FILTER (answer IS NOT NULL AND {S.has_any('lower(question)', rules.GENERIC_QUESTIONS)}) AS generic_questions, count(*) FILTER (answer IS NOT NULL AND {S.has_any('lower(answer)', rules.GENERIC_ANSWERS)}) AS generic_answers, count(*) FILTER (answer IS NOT NULL AND category = '') AS missing_category, round_even(sum(length(question)) / count(*), 1) AS avg_question, round_even(sum(coalesce(length(answer), 0)) / count(*), 1) AS avg_answer FROM q GROUP BY report) SELECT *, missing_fields = 0 AND generic_questions / total <= 0.5 AND generic_answers / total <= 0.5 AND missing_category / total <= 0.3 AS passed FROM m")
+@query(f"WITH t AS (SELECT conv_id % 20 AS report, turn, max(text) FILTER (role = 'user') AS question, NULL AS x, conv_id FROM conversations GROUP BY conv_id, turn), q AS (SELECT u.conv_id % 20 AS report, u.text AS question, a.text AS answer, CASE WHEN u.conv_id % 3 > 0 THEN 'c' ELSE '' END AS category, CASE WHEN u.turn % 4 > 0 THEN 'frame' END AS source FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'), m AS (SELECT report, count(*) AS total, count(*) FILTER (answer IS NULL) AS missing_fields, count(*) FILTER (answer IS NOT NULL AND {S.has_any('lower(question)', rules.GENERIC_QUESTIONS)}) AS generic_questions, count(*) FILTER (answer IS NOT NULL AND {S.has_any('lower(answer)', rules.GENERIC_ANSWERS)}) AS generic_answers, count(*) FILTER (answer IS NOT NULL AND category = '') AS missing_category, count(*) FILTER (answer IS NOT NULL AND source IS NULL) AS missing_source, round_even(sum(length(question)) / count(*), 1) AS avg_question, round_even(sum(coalesce(length(answer), 0)) / count(*), 1) AS avg_answer FROM q GROUP BY report) SELECT *, missing_fields = 0 AND generic_questions / total <= 0.5 AND generic_answers / total <= 0.5 AND missing_category / total <= 0.3 AS passed FROM m")
 def qa_check(spark, d):
     c = table(spark, d, "conversations")
     u = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    q = u.join(a, ["conv_id", "turn"], "left").select((F.col("conv_id") % 20).alias("report"), "question", "answer", F.when(F.col("conv_id") % 3 > 0, "c").otherwise("").alias("category"))
+    q = u.join(a, ["conv_id", "turn"], "left").select((F.col("conv_id") % 20).alias("report"), "question", "answer", F.when(F.col("conv_id") % 3 > 0, "c").otherwise("").alias("category"), F.when(F.col("turn") % 4 > 0, "frame").alias("source"))
     return reports.qa_check(q, "report")
 
 
