@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from inkbasin.llm import op5_segments, op6_urlglob
+from inkbasin.llm import op5_segments, op6_urlglob, op12_codes
 from inkbasin.llm.op10_sigtree import op10_signature_trees
+from inkbasin.llm.op13_variants import op13_spelling_variants
 from inkbasin.llm.op1_ctw import op1_ctw_scoring
 from inkbasin.llm.op2_crossparse import op2_cross_parsing
 from inkbasin.llm.op3_ivfpq import op3_ivf_pq
@@ -23,9 +24,12 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_interval_expansion": op9_interval_expansion,
     "op10_signature_trees": op10_signature_trees,
+    "op12_ball_tree_codes": op12_codes.op12_ball_tree_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_segment_bounds": op5_segments.ORACLE_SQL,
     "op6_url_globs": op6_urlglob.ORACLE_SQL,
+    "op12_ball_tree_codes": op12_codes.ORACLE_SQL,
 }
