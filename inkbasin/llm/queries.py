@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkbasin.llm import op5_segments, op6_urlglob, op12_codes
 from inkbasin.llm.op10_sigtree import op10_signature_trees
+from inkbasin.llm.op11_html import op11_block_tree_text
 from inkbasin.llm.op13_variants import op13_spelling_variants
 from inkbasin.llm.op1_ctw import op1_ctw_scoring
 from inkbasin.llm.op2_crossparse import op2_cross_parsing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_interval_expansion": op9_interval_expansion,
     "op10_signature_trees": op10_signature_trees,
+    "op11_block_tree_text": op11_block_tree_text,
     "op12_ball_tree_codes": op12_codes.op12_ball_tree_codes,
     "op13_spelling_variants": op13_spelling_variants,
 }
