@@ -91,14 +91,14 @@ def _interval(shared: np.ndarray, ranks: np.ndarray, length: int) -> tuple[np.nd
     return starts[at], np.r_[starts, len(shared)][at + 1]
 
 
-def pairs(letters: np.ndarray, lengths: np.ndarray, c: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, row) of words of c letters, and of c and c + 1, whose edit lies at a position from first to before last.
+def pairs(letters: np.ndarray, lengths: np.ndarray, kind: int, c: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) of words of c letters (unless kind is INSERTED), and of c and c + 1 (unless it is REPLACED), whose edit lies at a position from first to before last.
 
     letters: distinct words, one a row of c + 1 columns, 0 behind the end. A pair of equal lengths comes in both
     directions, one of different lengths once, the shorter word first.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for longer in (False, True):
+    for longer in {WHOLE: (False, True), REPLACED: (False,), INSERTED: (True,)}[kind]:
         mine = np.arange(len(lengths)) if longer else np.flatnonzero(lengths == c)
         if len(mine) < 2 or longer and (lengths == c).all():
             continue
@@ -139,15 +139,15 @@ def _near(batches):
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             now = tuple(keys[a].tolist())
             if held and (now[:-1] != last[:-1] or now != last and sum(x.num_rows for x in held) >= CELLS):
-                yield from _searched(held, *last[1:-1])
+                yield from _searched(held, *last[:-1])
                 held = []
             last = now
             held.append(batch.slice(a, b - a))
     if held:
-        yield from _searched(held, *last[1:-1])
+        yield from _searched(held, *last[:-1])
 
 
-def _searched(held: list[pa.RecordBatch], c: int, first: int, last: int):
+def _searched(held: list[pa.RecordBatch], kind: int, c: int, first: int, last: int):
     rows = pa.Table.from_batches(held).combine_chunks()
     text, n = rows["word"].combine_chunks(), rows["n"].to_numpy()
     lengths = np.asarray(pc.utf8_length(text), np.int64)
@@ -156,7 +156,7 @@ def _searched(held: list[pa.RecordBatch], c: int, first: int, last: int):
     flat = np.frombuffer("".join(text.to_pylist()).encode("latin-1"), np.uint8)
     letters = np.zeros((len(lengths), c + 1), np.uint8)
     letters[np.arange(c + 1) < lengths[:, None]] = flat
-    s, t = pairs(letters, lengths, c, first, last)
+    s, t = pairs(letters, lengths, kind, c, first, last)
     other = lengths[t] != lengths[s]
     a, b = np.r_[s, t[other]], np.r_[t, s[other]]
     for i in range(0, len(a), 1 << 16):

@@ -186,7 +186,7 @@ def test_variants(spark):
 def test_large_cells(spark):
     """Cells beyond the bound are dealt position by position, with the same pairs, each once in either direction."""
     rng = random.Random(8)
-    some = sorted({"ab" + "".join(rng.choice("abcé") for _ in range(rng.choice([3, 4, 5]))) for _ in range(1500)} | {"".join(rng.choice("ab") for _ in range(6)) for _ in range(60)})
+    some = sorted({"ab" + "".join(rng.choice("abcdé") for _ in range(rng.choice([3, 4, 4]))) for _ in range(4000)} | {"".join(rng.choice("ab") for _ in range(6)) for _ in range(60)})
     vocabulary = spark.createDataFrame([(w, len(w) * 10) for w in some], "word string, n long")
     whole = sorted(tuple(r) for r in op13_variants.near(vocabulary, most=1 << 30).collect())
     dealt = sorted(tuple(r) for r in op13_variants.near(vocabulary, most=1, each=500).collect())
