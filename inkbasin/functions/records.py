@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkbasin import rules
+from inkbasin.functions import jsonrepair as J
+from inkbasin.functions.arrays import strings
 
 #: Defaults of an extraction's fields.
 TEXT_DEFAULTS = {"title": "", "summary": "", "language": "en", "quality": "medium", "content_type": "document", "confidentiality": "internal"}
 LIST_DEFAULTS = ["topics", "people", "products", "domains", "key_points"]
+REPLY_DEFAULTS = {"summary": "", "language": "en", "quality": "medium", "transcript_excerpt": "", "source_type": "documentation", "layer": "learning", "confidentiality": "internal", "authority": "tribal"}
 OUTCOMES = {"document": "document", "presentation": "slides", "spreadsheet": "spreadsheet", "video": "video", "audio": "audio", "note": "note", "transcript": "transcript", "pdf": "document"}
 
 
@@ -26,6 +29,36 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out)
 
 
+def reply_fields(reply: Column, name: Column) -> dict[str, Column]:
+    """The fields of an extraction from a model's reply (VARIANT), each with its default: where it is missing, null or empty.
+
+    Lists of texts take objects by their name or title and role; slides without a number get their place.
+    """
+    text = lambda key, other=None: F.coalesce(J.field(reply, key), *([] if other is None else [F.lit(other)]))
+    items = lambda key: F.coalesce(F.try_variant_get(reply, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+    out = {"title": F.coalesce(J.field(reply, "title"), name), "content_type": F.coalesce(J.field(reply, "content_type"), J.field(reply, "type"), F.lit("unknown"))}
+    out |= {key: text(key, other) for key, other in REPLY_DEFAULTS.items()}
+    out |= {key: strings(F.filter(items(key), lambda x: ~F.is_variant_null(x))) for key in LIST_DEFAULTS}
+    out |= {key: text(key) for key in ("client", "project", "valid_to", "doc_type", "relationships")}
+    points = F.try_variant_get(F.parse_json(F.to_json(out["key_points"])), "$", "array<variant>")
+    facts = items("key_facts")
+    return out | {
+        "duration_min": F.try_variant_get(reply, "$.duration_min", "int"),
+        "key_facts": F.when(F.size(facts) > 0, facts).otherwise(points),
+        "entities_mentioned": items("entities_mentioned"),
+        "slides": F.transform(items("slides"), _slide),
+        "slide_summaries": F.transform(items("slide_summaries"), lambda s: F.struct(F.try_variant_get(s, "$.slide_number", "int").alias("slide_number"), J.field(s, "title").alias("title"), J.field(s, "content").alias("content"))),
+    }
+
+
+def _slide(s: Column, i: Column) -> Column:
+    text = lambda key: F.coalesce(J.field(s, key), F.lit(""))
+    whole = lambda key: F.nullif(F.try_variant_get(s, f"$.{key}", "int"), F.lit(0))
+    facts = strings(F.coalesce(F.try_variant_get(s, "$.key_facts", "array<variant>"), F.array().cast("array<variant>")))
+    fields = [F.coalesce(whole("slide_number"), i + 1).alias("slide_number"), F.coalesce(whole("frame_index"), F.lit(0)).alias("frame_index"), *(text(k).alias(k) for k in ("slide_title", "timestamp_approx", "speaker_insight", "so_what"))]
+    return F.struct(*fields, J.field(s, "critical_notes").alias("critical_notes"), facts.alias("key_facts"))
+
+
 def overridden(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Records (id) with the client and project of their manifest entry, where it has them."""
     own = entries.select("id", F.col("client").alias("_c"), F.col("project").alias("_p"))

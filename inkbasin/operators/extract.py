@@ -12,18 +12,13 @@ from pyspark.sql import functions as F
 
 from inkbasin import providers
 from inkbasin.functions import jsonrepair as J
-from inkbasin.functions.records import with_defaults
-from inkbasin.functions.text import links_line
+from inkbasin.functions.records import reply_fields, with_defaults
+from inkbasin.operators import notes
 from inkbasin.operators.facts import enriched
-from inkbasin.sources import sinks
-
-_LISTS = ("topics", "people", "products", "key_points")
-
 
 def local(texts: DataFrame) -> DataFrame:
     """texts (path, name, type, text) as records without a call: the name as title, the first 2,000 characters as summary."""
-    empty = F.array().cast("array<string>")
-    return texts.select("path", "name", F.col("name").alias("title"), F.substring("text", 1, 2000).alias("summary"), F.col("type").alias("content_type"), F.lit("en").alias("language"), F.lit("local").alias("quality"), *(empty.alias(c) for c in _LISTS), F.lit(None).cast("string").alias("error"))
+    return texts.select("path", "name", F.col("name").alias("title"), F.substring("text", 1, 2000).alias("summary"), F.col("type").alias("content_type"), F.lit("en").alias("language"), F.lit("local").alias("quality"), F.lit(None).cast("string").alias("error"))
 
 
 def asked(texts: DataFrame, template: str, model: str, provider: Callable | str = "rules", context: str = "") -> DataFrame:
@@ -32,15 +27,15 @@ def asked(texts: DataFrame, template: str, model: str, provider: Callable | str
     requests = providers.prompts(keyed, template, context=context).select("key", "prompt", F.lit(model).alias("model"), F.lit(8192).alias("max_tokens"))
     replies = providers.call(requests, provider).select(F.col("key").alias("path"), "error", J.parsed(F.col("text")).alias("v"))
     v = F.coalesce(F.try_variant_get("v", "$.base", "variant"), F.col("v"))
-    fields = [J.field(v, c).alias(c) for c in ("title", "summary", "language", "quality", "content_type")]
-    lists = [F.try_variant_get(v, f"$.{c}", "array<string>").alias(c) for c in _LISTS]
     error = F.coalesce("error", F.when(~F.coalesce(J.structure_valid(F.col("v")), F.lit(False)), "reply without a title and a summary"))
-    return texts.select("path", "name").join(replies.select("path", *fields, *lists, error.alias("error")), "path")
+    joined = texts.select("path", "name", F.col("doc_type").alias("_type")).join(replies.withColumn("error", error), "path")
+    fields = reply_fields(v, F.col("name")) | {"doc_type": F.coalesce(J.field(v, "doc_type"), "_type"), "overlay": J.overlay(F.col("v"), F.coalesce("_type", F.lit("general"))), "raw": F.col("v"), "model": F.lit(model)}
+    return joined.select("path", "name", "error", *(c.alias(k) for k, c in fields.items()))
 
 
 def extracted(texts: DataFrame, template: str, model: str, provider: Callable | str = "rules") -> DataFrame:
     """texts (path, name, type, text, doc_type, tier): tier 1 locally, the rest by the provider, with defaults filled."""
-    both = local(texts.filter("tier = 1")).unionByName(asked(texts.filter("tier > 1"), template, model, provider))
+    both = asked(texts.filter("tier > 1"), template, model, provider).unionByName(local(texts.filter("tier = 1")), allowMissingColumns=True)
     return with_defaults(both)
 
 
@@ -52,24 +47,18 @@ def facts_of(records: DataFrame, texts: DataFrame, as_of_year: int, source_date:
     return enriched(ready, as_of_year).drop("source_text", "reference", "ext", "max_pages")
 
 
-def package(records: DataFrame, facts: DataFrame, path: str) -> None:
-    """Notes, index and meta files of the packages of records (package, pos, doc_type, ext and an extraction's fields)."""
-    status = F.col("verification_status").isin("flagged_mismatch", "unverified") & (F.size("anomalies") > 0)
-    odd = facts.filter(status).groupBy("path").agg(F.array_sort(F.collect_list("fact")).alias("flagged"))
-    full = records.join(odd, "path", "left").withColumns({"flagged": F.coalesce("flagged", F.array().cast("array<string>")), "source": F.col("path"), "links": links_line(F.col("topics"), F.col("products"), F.col("people"))})
-    if "slides" not in full.columns:
-        full = full.withColumn("slides", F.array().cast("array<struct<number int, title string, insight string>>"))
-    full.select("package", F.col("name").alias("note"), sinks.note(full).alias("value")).write.mode("overwrite").partitionBy("package", "note").text(f"{path}/notes")
-    sinks.index(full).withColumnRenamed("text", "value").write.mode("overwrite").partitionBy("package").text(f"{path}/index")
-    sinks.package_meta(full).withColumnRenamed("text", "value").write.mode("overwrite").partitionBy("package").text(f"{path}/meta")
-
-
-def synthesis(reply: Column) -> Column:
-    """The synthesis note of a package from a provider's reply, a placeholder without one."""
-    bullets = lambda c: F.array_join(F.transform(F.try_variant_get(reply, f"$.{c}", "array<string>"), lambda x: F.concat(F.lit("- "), x)), "\n")
-    block = lambda title, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), text))
-    parts = F.concat_ws("\n\n", F.lit("# Synthesis"), F.concat(F.lit("## Executive Summary\n\n"), F.coalesce(J.field(reply, "executive_summary"), F.lit(""))), block("Key Takeaways", bullets("key_takeaways")), block("Relationships", J.field(reply, "relationships")), block("Action Items", bullets("action_items")), block("Open Questions", bullets("open_questions")))
-    return F.when(J.is_object(reply), parts).otherwise("# Synthesis\n\n_Synthesis not available._\n")
+def package(records: DataFrame, facts: DataFrame | None, root: str, now: Column | None = None, history: str = "", **options) -> None:
+    """Packages of records (package and an extraction's fields; operators/notes.py) as folders below root.
+
+    facts: (path, fact, verification_status, anomalies), gathered to their record. Each package's `extract` folder is
+    replaced as a whole when all files are written; with `history` the one before is kept in the package's .history.
+    """
+    if facts is not None:
+        item = F.struct("pos", "fact", "verification_status", "anomalies")
+        own = facts.groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("_facts"))
+        kept = F.transform("_facts", lambda f: F.struct(f["fact"].alias("fact"), f["verification_status"].alias("verification_status"), f["anomalies"].alias("anomalies")))
+        records = records.drop("facts").join(own, "path", "left").withColumn("facts", kept).drop("_facts")
+    notes.write_files(notes.package_files(records, now, **options), root, unit=2, history=history)
 
 
 def comparison_note(verdicts: DataFrame, by: str) -> DataFrame:

@@ -2,35 +2,81 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkbasin.functions import jsonrepair
+from inkbasin import rules
+from inkbasin.functions import csvtext, jsonrepair
 from inkbasin.functions.classify import scan_tier, text_quality
 from inkbasin.functions.text import extension, file_name, frontmatter, pdf_month
+from inkbasin.sources import tree
 
 HASH_LIMIT = 500 << 20
+#: Records of a CSV file that are shown: the header and three more.
+HEAD_RECORDS = 4
 MANIFEST = ("schema_version int, project string, output_dir string, config map<string,string>, files array<struct<id string, path string, doc_type string, name string, client string, project string, user_context string>>")
 
 
-def listing(spark: SparkSession, path: str, recursive: bool = True, content: bool = False) -> DataFrame:
-    """path, size, modified (and content) of all files below a folder that aren't empty, which Spark leaves out of every source."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    out = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    return out.withColumn("relative", F.regexp_replace("path", r"^.*?" + _quoted(path) + r"/?", ""))
+def absolute(spark: SparkSession, path: str) -> str:
+    """A relative path by the driver's working folder, where files are local by default; others as they are."""
+    if "://" in path or path.startswith(("/", "file:")):
+        return path
+    default = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration())
+    return os.path.abspath(path) if default.getScheme() == "file" else path
+
+
+def root_path(spark: SparkSession, root: str) -> str:
+    """The absolute path of a folder, without scheme; no folder there is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise ValueError(f"not a folder: {root}")
+    return fs.makeQualified(path).toUri().getPath().rstrip("/")
+
+
+def plain_path(uri: Column, encoded: bool = False) -> Column:
+    """The path of a URI; encoded: as `_metadata.file_path` has it, with %20 for a space."""
+    path = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+
+
+def below(root: str, path: Column) -> Column:
+    """What a path (plain_path) has after the root (root_path)."""
+    return F.substr(path, F.lit(len(root) + 2))
+
+
+def listing(spark: SparkSession, path: str, recursive: bool = True, content: bool = False, exclude: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """path, relative, size, modified (and content) of the files of a folder, empty ones included (sources/tree.py).
 
+    Hidden and excluded names are left out, with all below them. ordered: by path. A missing folder is an error.
+    """
+    path = absolute(spark, path)
+    root_path(spark, path)
+    tree.register(spark)
+    options = {"path": path, "recursive": str(recursive).lower(), "content": str(content).lower(), "exclude": ",".join(exclude), "content_limit": HASH_LIMIT}
+    found = spark.read.format("inkbasin_tree").options(**options).load()
+    return found.orderBy("path") if ordered else found
 
-def _quoted(path: str) -> str:
-    import re
 
-    return re.escape(path.rstrip("/").rpartition(":")[2].lstrip("/"))
+def without_target(files: DataFrame, targets: DataFrame, target: Column) -> DataFrame:
+    """The files whose target path is not among those of targets (path)."""
+    return files.withColumn("_target", target).join(targets.select(F.col("path").alias("_target")), "_target", "left_anti").drop("_target")
 
 
-def scanned(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def recordings(spark: SparkSession, path: str, extensions: tuple[str, ...] = tuple(rules.SESSION_VIDEO)) -> DataFrame:
+    """The recordings directly in a folder, by path; the extension is tested while listing."""
+    return listing(spark, path, recursive=False).filter(F.col("extension").isin(*extensions)).orderBy("path")
+
+
+def scanned(spark: SparkSession, path: str, recursive: bool = True, exclude: tuple[str, ...] = ()) -> DataFrame:
     """One row a file: hash (up to 500 MiB), text measures of text files, tier. Unreadable bytes become a row's error."""
-    files = listing(spark, path, recursive, content=True)
+    files = listing(spark, path, recursive, content=True, exclude=exclude)
     small = F.col("size") <= HASH_LIMIT
     text = F.when(extension(F.col("path")).isin(".txt", ".md", ".markdown", ".rst", ".log", ".srt", ".vtt") & small, F.try_validate_utf8(F.col("content").cast("string")))
     out = files.withColumn("text", text).withColumns({
@@ -42,20 +88,61 @@ def scanned(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
     return out.withColumn("tier", scan_tier(F.col("path"), F.col("text_chars"))).drop("content", "text")
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """path, relative, text of the files below a folder that Spark shows (no empty ones), or of one file."""
+    path = absolute(spark, path)
+    found = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), F.col("value").alias("text"))
+    try:
+        root = root_path(spark, path)
+    except ValueError:
+        return found.withColumn("relative", file_name(F.col("path")))
+    return found.withColumn("relative", below(root, F.col("path")))
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, chars and quality of text files; CSV rows as cells joined by ` | `, without blank rows."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.btrim(x, F.lit(" ,")) != "")
-    rows = F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, ","), lambda c: F.trim(c)), " | "))
-    text = F.when(extension(F.col("path")) == ".csv", F.array_join(rows, "\n")).otherwise(F.col("text"))
+    """path, text, chars and quality of text files; CSV records as cells joined by ` | `, without blank ones."""
+    files = _whole(spark, path).select("path", "text")
+    text = F.when(extension(F.col("path")) == ".csv", csvtext.joined(F.col("text"))).otherwise(F.col("text"))
     return files.withColumn("text", text).withColumn("chars", F.length("text")).withColumn("quality", text_quality(F.col("chars"), F.lit(0)))
 
 
+def _borders(batches):
+    """Of each piece of a file: lines, how many of them end a record if the piece begins outside (a) or inside (b) a
+    quoted cell, whether it changes sides, and the first records where the file begins."""
+    piece, out = None, None
+    for batch in batches:
+        names, starts, lines = batch.column("file").to_pylist(), batch.column("start").to_pylist(), batch.column("line")
+        quotes = pc.count_substring(lines, b'"').to_numpy(zero_copy_only=False)
+        at = 0
+        for k in range(len(names)):
+            if (names[k], starts[k]) != piece:
+                if out:
+                    yield pa.RecordBatch.from_pylist([out])
+                piece, at = (names[k], starts[k]), 0
+                out = {"file": names[k], "start": starts[k], "a": 0, "b": 0, "turned": False, "head": "" if starts[k] == 0 else None}
+            out["turned"] ^= bool(quotes[k] % 2)
+            if out["head"] is not None and out["a"] < HEAD_RECORDS:
+                out["head"] += lines[k].as_py().decode("utf-8", "replace") + "\n"
+            out["b" if out["turned"] else "a"] += 1
+    if out:
+        yield pa.RecordBatch.from_pylist([out])
+
+
 def csv_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with the header, and the header's names, of one CSV file, read as lines without inferring types."""
-    lines = spark.read.text(path)
-    header = F.first("value").alias("header")
-    return lines.filter(F.trim("value") != "").agg(F.count("*").alias("row_count"), header).select("row_count", F.split("header", ",").alias("headers"))
+    """file, row_count (header and blank records included), headers and sample_rows (records 2 to 4) of CSV files.
+
+    A large file is read in pieces: a line ends a record where the quotes up to it are even in number, and whether a
+    piece begins inside a cell follows from the pieces before it, a row each. Nothing but these rows is shuffled.
+    """
+    lines = spark.read.text(path).select(plain_path(F.col("_metadata.file_path"), encoded=True).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = lines.mapInArrow(_borders, "file string, start long, a long, b long, turned boolean, head string")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.col("turned").cast("int")).over(before), F.lit(0)) % 2 == 1
+    counted = pieces.select("file", "head", F.when(inside, F.col("b")).otherwise(F.col("a")).alias("n"), (inside != F.col("turned")).alias("open"), (F.lead("start").over(Window.partitionBy("file").orderBy("start")).isNull()).alias("last"))
+    # a quote that is never closed makes the rest of the file one more record
+    rows = counted.groupBy("file").agg((F.sum("n") + F.sum((F.col("last") & F.col("open")).cast("int"))).alias("row_count"), F.max("head").alias("head"))
+    first = F.slice(csvtext.records(F.col("head")), 1, HEAD_RECORDS)
+    return rows.select("file", "row_count", F.get(first, F.lit(0)).alias("headers"), F.slice(first, 2, HEAD_RECORDS - 1).alias("sample_rows"))
 
 
 def sections(lines: DataFrame, by: str, order: str, heading: str) -> DataFrame:
@@ -87,7 +174,7 @@ def status(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes of packages without index, synthesis, transcripts and session notes: path, frontmatter block, text."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = _whole(spark, path)
     name = file_name(F.col("path"))
     kept = files.filter(name.endswith(".md") & ~name.rlike(r"^(index|synthesis)\.md$|_transcript\.md$|^session_"))
     return kept.withColumn("frontmatter", frontmatter(F.col("text")))
@@ -115,20 +202,16 @@ def yaml_values(notes_: DataFrame) -> DataFrame:
 
 def package_notes(spark: SparkSession, root: str) -> DataFrame:
     """Notes under a folder of packages, with the package (the first folder below root) and the fields of the frontmatter."""
-    named = notes(spark, root).withColumns({"package": _package(root), "note": file_name(F.col("path"))})
+    named = notes(spark, root).filter(F.contains("relative", F.lit("/"))).withColumns({"package": F.substring_index("relative", "/", 1), "note": file_name(F.col("path"))})
     return yaml_values(named).select("package", "note", "text", "fields")
 
 
 def package_pictures(spark: SparkSession, root: str) -> DataFrame:
     """PNG files in the source folders of packages: package, kind (slide, frame, image). File contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root).select("path")
-    kind = F.regexp_extract("path", r"/source/(slide|frame|image)s/[^/]+$", 1)
-    return found.select(_package(root).alias("package"), kind.alias("kind")).filter("kind <> ''")
-
-
-def _package(root: str):
-    name = root.rstrip("/").replace("\\", "/").rsplit("/", 1)[-1]
-    return F.substring_index(F.substring_index("path", f"/{name}/", -1), "/", 1)
+    root = absolute(spark, root)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root).select(below(root_path(spark, root), plain_path(F.col("path"))).alias("path"))
+    kind = F.regexp_extract("path", r"^[^/]+/source/(slide|frame|image)s/[^/]+$", 1)
+    return found.select(F.substring_index("path", "/", 1).alias("package"), kind.alias("kind"), file_name(F.col("path")).alias("name")).filter("kind <> ''")
 
 
 def report_slides(reports: DataFrame) -> DataFrame:

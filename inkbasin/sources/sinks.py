@@ -1,64 +1,18 @@
-"""Notes, sidecars, indexes, logs and batch requests as files."""
+"""Sidecars, logs and batch requests as files; notes and packages are in operators/notes.py."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkbasin.functions.arrays import dedupe
-from inkbasin.functions.text import label, section_word
-
-
-def _yaml_list(name: str, items: Column) -> Column:
-    lines = F.array_join(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.concat(F.lit('  - "'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))), "\n")
-    return F.when(F.size(F.coalesce(items, F.array().cast("array<string>"))) == 0, F.lit(f"{name}: []")).otherwise(F.concat(F.lit(f"{name}:\n"), lines))
-
-
-def note(n: DataFrame) -> Column:
-    """Text of an extraction note from title, source, doc_type, ext, summary, topics, people, products, key_points, slides, links, flagged."""
-    c = F.col
-    line = lambda k, v: F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit("")))
-    front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit('title: "'), F.replace(c("title"), F.lit('"'), F.lit('\\"')), F.lit('"')), line("source", c("source")), line("doc_type", c("doc_type")), _yaml_list("topics", c("topics")), _yaml_list("people", c("people")), _yaml_list("products", c("products")), F.lit("---"))
-    points = F.array_join(F.transform(c("key_points"), lambda x: F.concat(F.lit("- "), x)), "\n")
-    slides = F.array_join(F.transform(c("slides"), lambda s: F.concat(F.lit("## "), section_word(c("ext")), F.lit(" "), s["number"].cast("string"), F.lit(": "), s["title"], F.lit("\n\n"), F.coalesce(s["insight"], F.lit("")))), "\n\n")
-    warnings = F.array_join(F.transform(c("flagged"), lambda x: F.concat(F.lit("> WARNING: "), x)), "\n")
-    blocks = F.filter(F.array(front, F.concat(F.lit("# "), c("title")), F.coalesce(c("summary"), F.lit("")), points, slides, warnings, F.coalesce(c("links"), F.lit(""))), lambda x: x.isNotNull() & (x != ""))
-    return F.array_join(blocks, "\n\n")
-
-
-def index(notes: DataFrame) -> DataFrame:
-    """package and text of its index: lists without repeats, 20 at most, takeaways 10 at most."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "title", "doc_type", "topics", "people", "key_points")))
-    grouped = notes.groupBy("package").agg(ordered.alias("all"))
-    union = lambda f: dedupe(F.flatten(F.transform("all", lambda x: F.coalesce(x[f], F.array().cast("array<string>")))), trim=False)
-    bullets = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
-    text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("package").cast("string")), bullets(F.transform("all", lambda x: F.concat(F.lit("[["), x["title"], F.lit("]]")))), F.lit("## Topics"), bullets(F.slice(union("topics"), 1, 20)), F.lit("## People"), bullets(F.slice(union("people"), 1, 20)), F.lit("## Takeaways"), bullets(F.slice(F.flatten(F.transform("all", lambda x: F.slice(x["key_points"], 1, 5))), 1, 10)))
-    return grouped.select("package", text.alias("text"))
-
 
 def package_meta(notes: DataFrame) -> DataFrame:
     meta = notes.groupBy("package").agg(F.count("*").alias("files"), F.array_sort(F.collect_set("doc_type")).alias("types"))
     return meta.select("package", F.concat_ws("\n", F.concat(F.lit("package: "), F.col("package").cast("string")), F.concat(F.lit("files: "), F.col("files").cast("string")), F.concat(F.lit("types: ["), F.array_join("types", ", "), F.lit("]"))).alias("text"))
 
 
-def session_note(sessions: DataFrame) -> DataFrame:
-    """session_id and text of the note of a merged session."""
-    parts = F.array_join(F.transform(F.map_entries("overlay"), lambda e: F.concat(F.lit("## "), label(e["key"]), F.lit("\n"), F.array_join(F.transform(e["value"], lambda x: F.concat(F.lit("- "), x)), "\n"))), "\n\n")
-    return sessions.select("session_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), parts).alias("text"))
-
-
-def transcripts(rows: DataFrame) -> DataFrame:
-    """Transcripts that are complete and not empty."""
-    return rows.filter((F.col("status") == "complete") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-
-
-def write_notes(rendered: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
-    """One file a note, its name as a folder, from the executors."""
-    rendered.select(F.col(name).alias("note"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("note").text(path)
-
-
 def write_sidecars(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -10,6 +10,7 @@ from inkbasin.functions import classify as C
 from inkbasin.functions import jsonrepair as J
 from inkbasin.functions import text as T
 from inkbasin.operators import correlate, frames, resume, routing, scores
+from inkbasin.operators import notes
 from inkbasin.sources import files, sinks
 
 
@@ -119,9 +120,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert (rows["a.txt"].text_chars, rows["a.txt"].line_count, rows["a.txt"].tier) == (20, 3, 1)
     assert rows["bad.md"].error and len(rows) == 3
     texts = {r.path.rsplit("/")[-1]: r for r in files.texts(spark, str(tmp_path / "in/sub")).collect()}
-    assert texts["b.csv"].text == "h1 | h2\n1 | 2\n3 | 4"
+    assert texts["b.csv"].text == "h1 | h2\n1 |  2\n3 | 4"
     meta = files.csv_metadata(spark, str(tmp_path / "in/sub/b.csv")).first()
-    assert (meta.row_count, meta.headers) == (3, ["h1", "h2"])
+    assert (meta.row_count, meta.headers, meta.sample_rows) == (4, ["h1", "h2"], [["1", " 2"], [], ["3", "4"]])
     m = tmp_path / "m.json"
     m.write_text(json.dumps({"schema_version": 1, "project": "p", "output_dir": "o", "files": [{"id": "x", "path": "a.pdf"}]}))
     entry = files.manifest(spark, str(m)).first()
@@ -135,11 +136,19 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_note_round_trip(spark, tmp_path):
-    slide = "array<struct<number int, title string, insight string>>"
-    n = spark.createDataFrame([('A "b"', "a.pdf", "general", ".pdf", "Sum.", ["t"], [], ["p"], ["one"], [(1, "S", "i")], "**Links:** [[t]]", ["odd"])], f"title string, source string, doc_type string, ext string, summary string, topics array<string>, people array<string>, products array<string>, key_points array<string>, slides {slide}, links string, flagged array<string>")
-    text = n.select(sinks.note(n)).first()[0]
+    slide = (1, 0, "S", "0:10", "i", "so", "careful", ["f"])
+    row = ("p", "a.pdf", 'A "b"', "general", "Sum.", ["t"], ["one"], [slide], [("odd", "unverified", ["why", "how"]), ("fine", "verified", [])])
+    schema = f"package string, path string, title string, doc_type string, summary string, topics array<string>, key_points array<string>, slides {notes.FIELDS['slides']}, facts {notes.FIELDS['facts']}"
+    made = notes.complete(spark.createDataFrame([row], schema), F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    (path, text), = ((r.path, r.value) for r in notes.note_files(made).collect())
+    assert path == "p/extract/2024-05-06_a_0000.md"
     (tmp_path / "a.md").write_text(text)
     (tmp_path / "index.md").write_text("no")
-    back = files.yaml_values(files.notes(spark, str(tmp_path))).select(J.field(F.col("fields"), "title").alias("t"), J.field(F.col("fields"), "source").alias("s")).collect()
-    assert [(r.t, r.s) for r in back] == [('A "b"', "a.pdf")]
-    assert "## Section 1: S" in text and "> WARNING: odd" in text
+    back = files.yaml_values(files.notes(spark, str(tmp_path))).select(J.field(F.col("fields"), "title").alias("t"), J.field(F.col("fields"), "source").alias("s"), J.field(F.col("fields"), "tags[1]").alias("tag")).collect()
+    assert [(r.t, r.s, r.tag) for r in back] == [('A "b"', "a.pdf", "type/general")]
+    body = text.split("---\n", 2)[2]
+    assert body == (
+        '\n# A "b"\n\n**Links:** [[t]]\n\n> Source: [Open original](file:///a.pdf)\n\nSum.\n\n'
+        "## Section 1: S\n*0:10*\n\n![Section 1](../source/frames/slide_001.png)\n\ni\n\n**So what:** so\n\n> WARNING: careful\n\n**Key facts:**\n- f\n\n---\n\n\n"
+        "## Key Takeaways\n\n- one\n\n\n## Flagged Facts\n\n> **UNVERIFIED:** odd> why; how\n"
+    )

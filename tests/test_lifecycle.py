@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from inkbasin.functions import jsonrepair as J
 from inkbasin.functions import text as T
 from inkbasin.functions.classify import file_type
-from inkbasin.operators import extract, reports, resume, routing
+from inkbasin.operators import extract, packages, reports, resume, routing
 from inkbasin.sources import files, sinks
 
 
@@ -24,18 +24,28 @@ def test_files_to_package(spark, tmp_path):
     assert got["short"].title == "Little."
     facts = extract.facts_of(done, texts, 2026)
     assert [(r.fact, r.verification_status) for r in facts.collect()] == [("Sales grew to 42 units.", "verified")]
-    ready = done.filter("error is null").withColumns({"package": F.lit("p"), "pos": F.lit(0), "doc_type": F.lit("general"), "ext": F.lit(".txt")})
-    extract.package(ready, facts, str(tmp_path / "out"))
-    notes = spark.read.text(str(tmp_path / "out/notes"), wholetext=True)
-    assert {r.note for r in notes.collect()} == {"small", "large", "short"}
+    ready = done.filter("error is null").withColumn("package", F.lit("My Package"))
+    root = tmp_path / "out put"
+    extract.package(ready, facts, str(root))
+    written = {str(p.relative_to(root / "My Package")) for p in root.rglob("*") if p.is_file()}
+    day = written_day(written)
+    names = [f"extract/{day}_{n}_0000" for n in ("small", "large", "short")]
+    assert written == {*(n + ".md" for n in names), *(n + ".json" for n in names), "index.md", "extract/_meta.yaml", "extract/synthesis.md"}
+    back = {r.note: r for r in packages.evaluated(files.package_notes(spark, str(root)), files.package_pictures(spark, str(root))).collect()}
+    assert set(back) == {n.removeprefix("extract/") + ".md" for n in names} and {r.package for r in back.values()} == {"My Package"}
+    assert back[f"{day}_large_0000.md"].key_facts == 1 and back[f"{day}_large_0000.md"].title == got["large"].title
+    side = {r.title: r for r in spark.read.json(str(root / "My Package/extract")).filter("schema_version = 2").collect()}
+    assert side["Little."].depth is None and side["Little."].source_type == "documentation" and side["Little."].id == f"{day}_short_0000"
     hashed = texts.select("path", F.sha2("text", 256).alias("source_hash"))
     assert resume.changed(hashed, hashed).count() == 0
 
 
+def written_day(paths):
+    """The day in the names of notes: a run may cross midnight."""
+    return next(p for p in paths if p.endswith("_small_0000.md")).removeprefix("extract/")[:10]
+
+
 def test_notes(spark):
-    one = spark.sql("""SELECT parse_json('{"executive_summary": "s", "key_takeaways": ["a", "b"]}') AS v, try_parse_json('no') AS w""").select(extract.synthesis(F.col("v")).alias("v"), extract.synthesis(F.col("w")).alias("w")).first()
-    assert one.v == "# Synthesis\n\n## Executive Summary\n\ns\n\n## Key Takeaways\n\n- a\n- b"
-    assert "not available" in one.w
     run = lambda *x: spark.createDataFrame([("r", *x)], "report string, avg_length double, junk int, general_percent double")
     for old, new, verdict in (((100.0, 1, 10.0), (120.0, 1, 10.0), "improved"), ((100.0, 1, 10.0), (80.0, 1, 10.0), "degraded"), ((100.0, 1, 10.0), (120.0, 2, 10.0), "mixed"), ((100.0, 1, 10.0), (105.0, 1, 15.0), "unchanged")):
         got = reports.verdict(run(*old), run(*new), "report")
