@@ -75,13 +75,3 @@ def padded(items: Column, n: Column, filler: Column) -> Column:
 def pruned(fields: Column) -> Column:
     """A map of lists without its empty entries."""
     return F.map_filter(fields, lambda _, v: v.isNotNull() & (F.size(v) > 0))
-
-
-def merged_overlays(a: Column, b: Column) -> Column:
-    """Two maps of lists: list fields joined and deduplicated, others from the first that has them, empty ones dropped.
-
-    One side empty: the other one as it is.
-    """
-    nothing = lambda m: m.isNull() | (F.size(m) == 0)
-    both = F.map_zip_with(a, b, lambda k, x, y: F.when(k.isin(rules.OVERLAY_LISTS), dedupe(F.concat(listed(x), listed(y)))).otherwise(F.when(F.size(listed(x)) > 0, x).otherwise(y)))
-    return F.when(nothing(a) & nothing(b), F.create_map().cast("map<string,array<string>>")).when(nothing(b), a).when(nothing(a), b).otherwise(pruned(both))

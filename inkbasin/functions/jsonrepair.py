@@ -23,8 +23,8 @@ def parsed(text: Column) -> Column:
     return F.coalesce(*(F.try_parse_json(x) for x in (plain, _no_trailing_commas(plain), block, _no_trailing_commas(block))), F.when(is_object(repaired) & (F.to_json(repaired) != "{}"), repaired))
 
 
-#: What follows the quote that ends a text: a colon, the end of an object or array, the end, or a comma before a value or key.
-_AFTER = r"""\s*+(?:[:}\]]|\z|,\s*+(?:["'{\[}\]\-\d]|true|false|null|\w++\s*+:|\z))"""
+#: What follows the quote that ends a text: a colon, the end of an object or array, the end, a quoted key whose comma is missing, or a comma before a value or key.
+_AFTER = r"""\s*+(?:[:}\]]|\z|["']\w[^"'\n]{0,80}+["']\s*+:|,\s*+(?:["'{\[}\]\-\d]|true|false|null|\w++\s*+:|\z))"""
 #: Texts in double or single quotes, brackets and marks, other runs. Loops are possessive, so that long texts need no stack.
 _TOKEN = rf"""("[^"\\]*+(?:(?:\\.|"(?!{_AFTER})|\\(?=\z))[^"\\]*+)*+(?:"|\z)|'[^'\\]*+(?:(?:\\.|'(?!{_AFTER})|\\(?=\z))[^'\\]*+)*+(?:'|\z)|[{{}}\[\]:,]|[^\s{{}}\[\]:,"']++)"""
 _WORDS = {"true": "true", "false": "false", "null": "null", "none": "null", "undefined": "null", "nan": "null"}

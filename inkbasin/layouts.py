@@ -95,5 +95,24 @@ SYNTHESIS = (
     + "{% else %}\n_Synthesis not available._\n{% endif %}\n"
 )
 
+#: The note of a session of a deck and a recording.
+SESSION = (
+    front(
+        ("title", TEXT, "title"), ("type", PLAIN, "'training_session'"), ("source_type", PLAIN, "'correlated_session'"), ("session_id", TEXT, "session_id"), ("session_hash", TEXT, "session_hash"), ("date", PLAIN, "date"), ("sources", JSON, "sources"),
+        ("correlation", JSON, "correlation"), ("topics", JSON, "topics"), ("products", JSON, "products"), ("entities_mentioned", JSON, "entities"), ("people", JSON, "people"), ("key_facts", JSON, "key_facts"), ("domains", JSON, "domains"),
+        ("confidentiality", PLAIN, "'internal'"), ("authority", PLAIN, "'approved'"), ("language", PLAIN, "'en'"), ("extraction_version", PLAIN, "2"), ("depth", PLAIN, "'deep'"), ("schema_version", PLAIN, "2"), ("source_tool", PLAIN, "'knowledge-extractor'"),
+        ("{{ overlay_type }}", JSON, "overlay", "details and overlay_type"),
+    )
+    + "\n# {{ title }}\n\n{% if summary %}\n## Executive Summary\n\n{{ summary }}\n\n{% endif %}\n"
+    + "{% if key_facts %}\n## Key Facts\n\n{% for f in key_facts %}\n- {{ f.fact }}\n{% endfor %}\n\n{% endif %}\n"
+    + "{% if details and overlay_type %}\n## {{ overlay_name }} Details\n\n{{ details }}\n\n{% endif %}\n"
+    + "{% if slides %}\n## Slide-by-Slide Walkthrough\n\n{% for s in slides %}\n{% if index > 1 %}\n\n---\n{% endif %}\n### Slide {{ s.slide_number }}: {{ s.title }}\n"
+    + "{% if s.frame_path %}\n\n![Slide {{ s.slide_number }}]({{ s.frame_path }})\n{% endif %}\n{% if s.speaker_explanation %}\n\n**Speaker Commentary:** {{ s.speaker_explanation }}\n{% endif %}\n"
+    + "{% if s.so_what %}\n\n**So what:** {{ s.so_what }}\n{% endif %}\n{% if s.key_facts %}\n\n**Key Facts (from deck):**\n{% for f in s.key_facts %}\n- {{ f }}\n{% endfor %}\n{% endif %}\n"
+    + "{% if s.warning %}\n\n> WARNING: {{ s.warning }}\n{% endif %}\n{% endfor %}\n\n\n{% endif %}\n"
+    + "{% if quotes %}\n## Notable Quotes\n\n{{ quotes }}\n\n{% endif %}\n"
+    + "## Source Provenance\n\n- **Video:** `{{ video_name }}`\n- **Deck:** `{{ deck_name }}`\n- **Merge method:** Correlated session (PPTX structured facts + MP4 visual/speaker context)"
+)
+
 #: Fields of a sidecar, in order: those of a standard extraction. With a prompt of the user's own the reply is written as it came.
 SIDECAR = "schema_version id source_file title summary topics products people domains key_points content_type source_type layer confidentiality authority client project slides_count links_line validation_result valid_to source_date facts processed_at extraction_version depth doc_type key_facts entities_mentioned overlay freshness".split()

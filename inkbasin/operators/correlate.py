@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from inkbasin import rules
-from inkbasin.functions.arrays import dedupe, jaccard, merged_overlays
-from inkbasin.functions.text import extension, normalize_stem, pair_hash, session_id, stem_prefix, title_case, words
+from inkbasin import layouts, rules
+from inkbasin.functions import overlays
+from inkbasin.functions.arrays import dedupe, jaccard
+from inkbasin.functions.template import compiled
+from inkbasin.functions.text import extension, file_name, normalize_stem, pair_hash, session_id, stem_prefix, title_case, words
 from inkbasin.operators.facts import deduplicated
 
 
@@ -93,18 +95,28 @@ def confirmed(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"confidence": confidence, "decision": F.when(merge, "merge").otherwise("crosslink")})
 
 
-def merged_sessions(pairs: DataFrame) -> DataFrame:
-    """Confirmed pairs (deck, video, hashes, lists, overlays) as one record each; deck values come first."""
+def merged_sessions(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Confirmed pairs (deck, video, hashes, titles; lists, overlays as VARIANT and their types where there are any) as one record each; deck values come first."""
     c = F.col
-    union = {n: dedupe(F.concat(F.coalesce(f"deck_{n}", F.array().cast("array<string>")), F.coalesce(f"video_{n}", F.array().cast("array<string>")))) for n in ("topics", "people", "products")}
+    for name in (f"{n}_{k}" for n in ("deck", "video") for k in ("topics", "people", "products", "entities", "domains", "overlay", "overlay_type")):
+        if name not in pairs.columns:
+            pairs = pairs.withColumn(name, F.lit(None).cast(_SIDE[name.partition("_")[2]]))
+    union = {n: dedupe(F.concat(F.coalesce(f"deck_{n}", F.array().cast("array<string>")), F.coalesce(f"video_{n}", F.array().cast("array<string>")))) for n in ("topics", "people", "products", "entities", "domains")}
     return pairs.select(
-        session_id(c("deck")).alias("session_id"), "deck", "video", pair_hash(c("deck_hash"), c("video_hash")).alias("session_hash"),
+        *keep, session_id(c("deck")).alias("session_id"), "deck", "video", pair_hash(c("deck_hash"), c("video_hash")).alias("session_hash"),
         F.coalesce(F.nullif(c("deck_title"), F.lit("")), c("video_title")).alias("title"), *(v.alias(k) for k, v in union.items()),
-        merged_overlays(c("deck_overlay"), c("video_overlay")).alias("overlay"),
+        overlays.merged(c("deck_overlay"), c("video_overlay")).alias("overlay"), F.coalesce("deck_overlay_type", "video_overlay_type").alias("overlay_type"),
     )
 
 
-_SIDE = ("hash", "title", "slides", "topics", "people", "products", "overlay", "facts", "extracted_at")
+#: What sessions need of the extraction of a file. facts: texts, or (fact, slide_ref); walk: the slides with what was said.
+_SIDE = {
+    "hash": "string", "title": "string", "summary": "string", "slides": "int", "topics": "array<string>", "people": "array<string>", "products": "array<string>", "entities": "array<string>", "domains": "array<string>", "overlay": "variant", "overlay_type": "string",
+    "facts": "array<struct<fact:string,slide_ref:string>>", "extracted_at": "string", "quotes": "string", "walk": "array<struct<slide_number:string,title:string,frame_path:string,speaker_explanation:string,so_what:string,warning:string>>",
+}
+#: What either source gives to a session, and how the two were found to belong together.
+CONTRIBUTIONS = {"mp4": ["slide_frames", "speaker_commentary", "visual_context"], "pptx": ["key_facts", "overlay", "entities", "topics", "products"]}
+METHOD = "filename_similarity + title_match"
 
 
 def confirmed_pairs(files: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -112,7 +124,16 @@ def confirmed_pairs(files: DataFrame, extractions: DataFrame) -> DataFrame:
 
     files (folder, path), extractions (path and the columns of _SIDE). A pair of which one extraction is missing is left out.
     """
-    side = lambda n: extractions.select(F.col("path").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in _SIDE))
+    there = dict(extractions.dtypes)
+
+    def of(name: str):
+        if name not in there:
+            return F.lit(None).cast(_SIDE[name])
+        if name == "facts" and there[name] == "array<string>":
+            return F.transform(name, lambda x: F.struct(x.alias("fact"), F.lit(None).cast("string").alias("slide_ref")))
+        return F.col(name).cast(_SIDE[name]) if name in ("facts", "walk") else F.col(name)
+
+    side = lambda n: extractions.select(F.col("path").alias(n), *(of(c).alias(f"{n}_{c}") for c in _SIDE))
     return confirmed(assigned(session_candidates(files)).join(side("deck"), "deck").join(side("video"), "video"))
 
 
@@ -124,14 +145,38 @@ def sessions(pairs: DataFrame) -> DataFrame:
     """
     merge = pairs.filter("decision = 'merge'")
     c = F.col
-    source = lambda n, modality: F.struct(F.lit(modality).alias("modality"), F.replace(c(n), F.lit("\\"), F.lit("/")).alias("path"), c(f"{n}_hash").alias("hash"), F.coalesce(f"{n}_extracted_at", F.lit("")).alias("extracted_at"))
-    about = merge.select("deck", F.array(source("video", "mp4"), source("deck", "pptx")).alias("sources"), c("confidence").cast("int").alias("confidence"))
-    said = lambda n, modality: F.transform(F.filter(F.coalesce(f"{n}_facts", F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(modality).alias("modality"), x.alias("fact")))
+    source = lambda n, modality: F.struct(F.lit(modality).alias("modality"), F.replace(c(n), F.lit("\\"), F.lit("/")).alias("path"), c(f"{n}_hash").alias("hash"), F.coalesce(f"{n}_extracted_at", F.lit("")).alias("extracted_at"), F.array(*map(F.lit, CONTRIBUTIONS[modality])).alias("contribution"))
+    walk = F.coalesce("video_walk", F.array().cast(_SIDE["walk"]))
+    refs = F.coalesce("deck_facts", F.array().cast(_SIDE["facts"]))
+    about = merge.select("deck", F.array(source("video", "mp4"), source("deck", "pptx")).alias("sources"), c("confidence").cast("int").alias("confidence"), F.lit(METHOD).alias("method"), c("video_summary").alias("summary"), c("video_quotes").alias("quotes"), walk.alias("walk"), refs.alias("refs"))
+    said = lambda n, modality: F.transform(F.filter(F.coalesce(f"{n}_facts", F.array().cast(_SIDE["facts"])), lambda x: x["fact"].isNotNull()), lambda x: F.struct(F.lit(modality).alias("modality"), x["fact"].alias("fact")))
     each = merge.select(c("deck").alias("session"), F.posexplode(F.concat(said("deck", "pptx"), said("video", "mp4"))).alias("pos", "f")).select("session", "pos", "f.*")
     facts = deduplicated(each).groupBy(c("session").alias("deck")).agg(F.array_sort(F.collect_list(F.struct("rank", "fact", "modality", "conflict"))).alias("key_facts"))
     none = F.array().cast(facts.schema["key_facts"].dataType)
     records = merged_sessions(merge).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Session")))
-    return records.join(about, "deck").join(facts, "deck", "left").withColumn("key_facts", F.coalesce("key_facts", none))
+    out = records.join(about, "deck").join(facts, "deck", "left").withColumn("key_facts", F.coalesce("key_facts", none))
+    # the slide that a fact of the deck names
+    ref = lambda f: F.get(F.transform(F.filter("refs", lambda r: (r["fact"] == f["fact"]) & (f["modality"] != "mp4")), lambda r: r["slide_ref"]), F.lit(0))
+    return out.withColumn("key_facts", F.transform("key_facts", lambda f: F.struct(f["rank"].alias("rank"), f["fact"].alias("fact"), f["modality"].alias("modality"), f["conflict"].alias("conflict"), ref(f).alias("slide_ref")))).drop("refs")
+
+
+def slide_facts(slides: DataFrame, facts: DataFrame) -> DataFrame:
+    """slides (package, slide) with the facts (package, pos, fact, slide_ref) that name them, compared as texts, in order."""
+    named = facts.filter("slide_ref IS NOT NULL").groupBy("package", F.col("slide_ref").cast("string").alias("_ref")).agg(F.array_sort(F.collect_list(F.struct("pos", "fact"))).alias("_facts"))
+    joined = slides.withColumn("_ref", F.col("slide").cast("string")).join(named, ["package", "_ref"], "left")
+    return joined.withColumn("slide_facts", F.coalesce(F.transform("_facts", lambda f: f["fact"]), F.array().cast("array<string>"))).drop("_ref", "_facts")
+
+
+def session_files(records: DataFrame, date: Column | None = None, layout: str = layouts.SESSION) -> DataFrame:
+    """The note of each of sessions() with a package: (path, value)."""
+    c = F.col
+    slide = lambda s: F.struct(s["slide_number"].alias("slide_number"), F.coalesce(s["title"], F.concat(F.lit("Slide "), s["slide_number"])).alias("title"), s["frame_path"].alias("frame_path"), s["speaker_explanation"].alias("speaker_explanation"), s["so_what"].alias("so_what"), s["warning"].alias("warning"), F.transform(F.filter("key_facts", lambda f: f["slide_ref"] == s["slide_number"]), lambda f: f["fact"]).alias("key_facts"))
+    name = F.regexp_replace("overlay_type", "_overlay", "")
+    rows = records.withColumns({
+        "date": F.date_format(F.current_timestamp() if date is None else date, "yyyy-MM-dd"), "overlay_name": title_case(F.replace(name, F.lit("_"), F.lit(" "))), "details": F.when(overlays.populated(c("overlay")) > 0, overlays.rendered(c("overlay"))),
+        "slides": F.transform("walk", slide), "correlation": F.struct("confidence", "method"), "video_name": file_name(c("video")), "deck_name": file_name(c("deck")),
+    })
+    return rows.select(F.concat("package", F.lit("/extract/session_"), "session_id", F.lit(".md")).alias("path"), compiled(layout, rows).alias("value"))
 
 
 def session_ids(notes: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkbasin import rules
 from inkbasin.functions import arrays as A
+from inkbasin.functions import overlays
 from inkbasin.functions import text as T
 from inkbasin.operators import taxonomy
 from inkbasin.plans import sql as S
@@ -87,11 +89,28 @@ def taxonomy_prompt(spark, d):
     return taxonomy.for_prompt(n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("kind"), F.col("n_name").alias("canonical")))
 
 
-@query("WITH s AS (SELECT s_suppkey AS id, 'A' || (s_suppkey % 3) AS a, 'a' || (s_suppkey % 2) AS b FROM supplier) SELECT id, CASE WHEN id % 5 = 0 THEN [b] WHEN lower(a) = lower(b) THEN [a] ELSE [a, b] END AS attendees, CAST(CASE WHEN id % 5 = 0 THEN 1 WHEN id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS fields FROM s")
+#: Overlays of orders as JSON texts: null, empty, texts, objects and both in lists, ties by case and spaces.
+_DECK = """CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '{}' WHEN 2 THEN '[1]' ELSE concat('{"action_items":[{"action":"Call ', o_custkey % 3, '","owner":"', o_orderstatus, '"},{"owner":"none"},"call ', o_orderkey % 4, ' "],"attendees":["Ann","ann ","Bo ', o_orderkey % 3, '"],"level":', o_orderkey % 2, ',"theme":"', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END, '"}') END"""
+_VIDEO = """CASE o_orderkey % 5 WHEN 0 THEN NULL ELSE concat('{"action_items":[{"action":"CALL ', o_custkey % 2, '"},{"action":"","decision":"call 1"},{"owner":"none"}],"attendees":[{"name":"ANN"},{"name":"Cy","role":"x"},null],"next_steps":', CASE WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '["go"]' END, ',"theme":"T"}') END"""
+_OBJECT = "CASE WHEN json_type({x}) = 'OBJECT' AND len(json_keys({x})) > 0 THEN {x} END"
+_KEY = "lower(trim(CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(" + ", ".join(f"nullif(x->>'$.{k}', '')" for k in rules.OVERLAY_KEYS) + ", CAST(x AS VARCHAR)) ELSE coalesce(x->>'$', 'null') END))"
+_JOINED = "list_concat(coalesce(CAST(json_extract(a, '$.{f}') AS JSON[]), []), coalesce(CAST(json_extract(b, '$.{f}') AS JSON[]), []))"
+_UNIQUE = f"list_filter({{l}}, lambda x, i: list_position(list_transform({{l}}, lambda x: {_KEY}), {_KEY}) = i)"
+
+
+def _field(name: str) -> str:
+    """The items of a list field of the merged overlay as a text; null where it has none."""
+    union = _UNIQUE.format(l=_JOINED.format(f=name))
+    one = lambda j: f"CAST(json_extract({j}, '$.{name}') AS JSON[])"
+    items = f"CASE WHEN b IS NULL THEN {one('a')} WHEN a IS NULL THEN {one('b')} ELSE {union} END"
+    return f"nullif(array_to_string(list_transform({items}, lambda x: coalesce(CAST(x AS VARCHAR), 'null')), ' '), '') AS {name}"
+
+
+@query(
+    f"WITH j AS (SELECT o_orderkey AS id, CAST({_DECK} AS JSON) AS d, CAST({_VIDEO} AS JSON) AS v FROM orders), o AS (SELECT id, {_OBJECT.format(x='d')} AS a, {_OBJECT.format(x='v')} AS b FROM j) "
+    f"SELECT id, {_field('action_items')}, {_field('attendees')}, {_field('next_steps')}, CASE WHEN b IS NULL THEN a->>'$.theme' ELSE coalesce(nullif(a->>'$.theme', ''), b->>'$.theme') END AS theme, CASE WHEN b IS NULL THEN a->>'$.level' ELSE nullif(a->>'$.level', '0') END AS level FROM o"
+)
 def overlay_merge(spark, d):
-    i = F.col("s_suppkey")
-    none = F.create_map().cast("map<string,array<string>>")
-    deck = F.when(i % 5 == 0, none).otherwise(F.create_map(F.lit("attendees"), F.array(F.concat(F.lit("A"), i % 3)), F.lit("theme"), F.when(i % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))))
-    video = F.create_map(F.lit("attendees"), F.array(F.concat(F.lit("a"), i % 2)))
-    m = table(spark, d, "supplier").select(i.alias("id"), A.merged_overlays(deck, video).alias("m"))
-    return m.select("id", F.try_element_at("m", F.lit("attendees")).alias("attendees"), F.size("m").alias("fields"))
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), overlays.merged(F.try_parse_json(F.expr(_DECK)), F.try_parse_json(F.expr(_VIDEO))).alias("m"))
+    items = lambda k: F.nullif(F.array_join(F.transform(F.try_variant_get("m", f"$.{k}", "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null"))), " "), F.lit("")).alias(k)
+    return m.select("id", items("action_items"), items("attendees"), items("next_steps"), *(F.try_variant_get("m", f"$.{k}", "string").alias(k) for k in ("theme", "level")))

@@ -55,7 +55,7 @@ def _extractions(spark, d):
     side = table(spark, d, "documents").select(
         "doc_id", F.sha2(i.cast("string"), 256).alias("hash"), F.when(i % 9 > 0, F.concat(F.lit("Session "), F.expr("doc_id div 8"))).alias("title"), (i % 6 * 2).alias("slides"),
         F.when(i % 7 > 0, F.array(F.lit("T"), F.concat(F.lit("t"), F.expr("doc_id div 6").cast("string")))).alias("topics"), F.array("source").alias("people"), F.when(i % 2 == 0, F.array("lang")).alias("products"),
-        F.create_map(F.lit("k"), F.array(F.col("lang"))).alias("overlay"), F.when(i % 11 > 0, facts).alias("facts"), F.lit(None).cast("string").alias("extracted_at"),
+        F.when(i % 10 > 0, F.to_variant_object(F.struct(F.array(F.col("lang"), F.lit("x")).alias("attendees"), F.when(i % 2 == 0, F.col("source")).alias("theme")))).alias("overlay"), F.when(i % 10 > 0, F.lit("training_overlay")).alias("overlay_type"), F.array(F.col("source"), F.upper("source")).alias("entities"), F.when(i % 11 > 0, facts).alias("facts"), F.lit(None).cast("string").alias("extracted_at"),
     )
     return _media(spark, d).join(side.filter(i % 10 < 9), "doc_id").drop("doc_id", "folder")
 
@@ -63,7 +63,7 @@ def _extractions(spark, d):
 @query()
 def session_records(spark, d):
     pairs = correlate.confirmed_pairs(_media(spark, d).select("folder", "path"), _extractions(spark, d))
-    return correlate.sessions(pairs)
+    return correlate.sessions(pairs).withColumn("overlay", F.to_json("overlay"))
 
 
 _P = "p AS (SELECT o_orderkey AS id, (o_orderkey % 40 + 55) / 100.0 AS similarity, CAST(o_orderkey % 40 + 55 AS INTEGER) AS stage1, o_orderkey % 25 AS ds, (o_orderkey * 7) % 25 AS vs, o_orderpriority AS dt, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus || ' talk' END AS vt, ['A', o_orderstatus, 'C'] AS dp, CASE WHEN o_orderkey % 2 = 0 THEN ['a', lower(o_orderstatus), 'c', 'd'] ELSE [] END AS vp FROM orders)"
@@ -84,16 +84,29 @@ def session_stage2(spark, d):
     return correlate.confirmed(pairs).select("id", "signals", "decision", "confidence")
 
 
-@query("WITH s AS (SELECT s_suppkey AS k, s_name FROM supplier) SELECT 'deck-' || k AS session_id, sha256(least(sha256(s_name), sha256('v' || k)) || '|' || greatest(sha256(s_name), sha256('v' || k))) AS session_hash, s_name AS title, ['Shared', 'deck ' || k, 'video ' || k] AS topics FROM s")
+def _side(n: str, other: int) -> str:
+    """What was extracted from one file of a pair, from an order: lists with ties by case and spaces, nulls and empty ones."""
+    pick = lambda k: f"CASE (o_orderkey + {other}) % {k}"
+    return (
+        f"{pick(7)} WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('{n} ', o_orderpriority) END AS {n}_title, {pick(5)} WHEN 0 THEN NULL WHEN 1 THEN array() ELSE array(o_orderstatus, lower(o_orderstatus), concat(' ', o_orderpriority), concat('t', o_custkey % 3)) END AS {n}_topics, "
+        f"{pick(3)} WHEN 0 THEN array(o_clerk, upper(o_clerk)) ELSE array(lower(o_clerk), '') END AS {n}_people, sha2(concat('{n}', o_orderkey % 50), 256) AS {n}_hash"
+    )
+
+
+_PAIRS = f"SELECT o_orderkey, {_side('deck', 0)}, {_side('video', 2)} FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, coalesce(o_orderpriority, '') AS o_clerk FROM orders)"
+_JOIN = "list_concat(coalesce(deck_{x}, []), coalesce(video_{x}, []))"
+_ONES = "list_filter({l}, lambda x, i: list_position(list_transform({l}, lambda x: lower(trim(x))), lower(trim(x))) = i) AS {x}"
+
+
+@query(
+    f"WITH p AS ({_PAIRS.replace('array(', 'list_value(').replace('sha2(', 'sha256(').replace(', 256)', ')')}) SELECT o_orderkey AS id, substring(replace('deck-' || o_orderkey || '-of-' || o_orderkey % 7, '_', '-'), 1, 50) AS session_id, sha256(least(deck_hash, video_hash) || '|' || greatest(deck_hash, video_hash)) AS session_hash, coalesce(nullif(deck_title, ''), video_title) AS title, "
+    f"{_ONES.format(l=_JOIN.format(x='topics'), x='topics')}, {_ONES.format(l=_JOIN.format(x='people'), x='people')} FROM p"
+)
 def session_merge(spark, d):
-    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
-    one = lambda x: F.array(x)
-    none = F.create_map().cast("map<string,array<string>>")
-    pairs = s.select(
-        F.concat(F.lit("f/Deck_"), k, F.lit(".pptx")).alias("deck"), F.concat(F.lit("f/v"), k, F.lit(".mp4")).alias("video"), F.sha2("s_name", 256).alias("deck_hash"), F.sha2(F.concat(F.lit("v"), k), 256).alias("video_hash"), F.col("s_name").alias("deck_title"), F.lit("v").alias("video_title"),
-        F.array(F.lit("Shared"), F.concat(F.lit("deck "), k)).alias("deck_topics"), F.array(F.lit("shared"), F.concat(F.lit("video "), k)).alias("video_topics"), one(F.lit("p")).alias("deck_people"), one(F.lit("q")).alias("video_people"), one(F.lit("x")).alias("deck_products"), one(F.lit("x")).alias("video_products"), none.alias("deck_overlay"), none.alias("video_overlay"),
-    )
-    return correlate.merged_sessions(pairs).select("session_id", "session_hash", "title", "topics")
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    k = F.col("o_orderkey")
+    pairs = spark.sql(_PAIRS).withColumns({"deck": F.concat(F.lit("f/Deck_"), k, F.lit(" of_"), k % 7, F.lit(".pptx")), "video": F.concat(F.lit("f/v"), k, F.lit(".mp4"))})
+    return correlate.merged_sessions(pairs.withColumnRenamed("o_orderkey", "id"), "id").select("id", "session_id", "session_hash", "title", "topics", "people")
 
 
 @query("SELECT e.event_id, e.user_id, CASE WHEN e.event_id % 5 > 0 THEN 'frame_' || e.event_id END AS frame, e.event_id % 5 = 0 AS missing FROM events e")
@@ -127,3 +140,14 @@ def offline_extraction(spark, d):
     asked = providers.prompts(docs, "Extract from a {doc_type} document.").select("key", "prompt", F.lit("rules").alias("model"), F.lit(8192).alias("max_tokens"))
     replies = providers.call(asked)
     return replies.select("key", J.field(J.parsed(F.col("text")), "title").alias("title"), "tokens_in", "tokens_out", "error")
+
+
+@query(
+    "WITH f AS (SELECT l_orderkey AS package, l_linenumber AS pos, CASE WHEN l_linenumber % 3 > 0 THEN CAST((l_partkey % 4) AS VARCHAR) END AS ref, 'Fact ' || l_partkey AS fact FROM lineitem), s AS (SELECT o_orderkey AS package, unnest(range(4)) AS slide FROM orders WHERE o_orderkey % 9 > 0), "
+    "g AS (SELECT package, ref, list(fact ORDER BY pos, fact) AS facts FROM f WHERE ref IS NOT NULL GROUP BY 1, 2) SELECT s.package, s.slide, coalesce(array_to_string(g.facts, '|'), '') AS slide_facts FROM s LEFT JOIN g ON g.package = s.package AND g.ref = CAST(s.slide AS VARCHAR)"
+)
+def slide_facts(spark, d):
+    lines, i = table(spark, d, "lineitem"), F.col("l_linenumber")
+    facts = lines.select(F.col("l_orderkey").alias("package"), i.alias("pos"), F.concat(F.lit("Fact "), "l_partkey").alias("fact"), F.when(i % 3 > 0, (F.col("l_partkey") % 4).cast("string")).alias("slide_ref"))
+    slides = table(spark, d, "orders").filter("o_orderkey % 9 > 0").select(F.col("o_orderkey").alias("package"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("slide"))
+    return correlate.slide_facts(slides, facts).withColumn("slide_facts", F.array_join("slide_facts", "|"))

@@ -223,11 +223,14 @@ def test_session_records_restated(spark):
         a, b = known[r.deck], known[r.video]
         assert r.title == (a.title or b.title or "Untitled Session")
         assert r.session_hash == sha256("|".join(sorted([a.hash, b.hash])).encode()).hexdigest()
-        assert [tuple(x) for x in r.sources] == [("mp4", r.video, b.hash, ""), ("pptx", r.deck, a.hash, "")]
+        assert [tuple(x)[:4] for x in r.sources] == [("mp4", r.video, b.hash, ""), ("pptx", r.deck, a.hash, "")]
         assert [x["rank"] for x in r.key_facts] == list(range(1, len(r.key_facts) + 1))
         said = {"pptx": set(a.facts or []), "mp4": set(b.facts or [])}
         assert {x.fact for x in r.key_facts} <= said["pptx"] | said["mp4"]
         assert bool(r.key_facts) == bool(a.facts or b.facts)
+        assert r.method == "filename_similarity + title_match" and "overlay" in r.sources[1].contribution
+        assert r.entities == list({t.lower(): t for t in reversed((a.entities or []) + (b.entities or []))}.values())[::-1]
+        assert r.overlay_type == (a.overlay_type or b.overlay_type) and r.domains == []
         assert r.topics == list({t.lower(): t for t in reversed((a.topics or []) + (b.topics or []))}.values())[::-1]
     crossed = correlate.sessions(correlate.confirmed_pairs(spark.createDataFrame([], "folder string, path string"), sessions._extractions(spark, DATA)))
     assert crossed.count() == 0
