@@ -1,18 +1,15 @@
-"""Command line: python -m inkbasin.cli COMMAND ... (scan, info, process, manifest, evaluate, compare_packages, compare, query)."""
+"""Command line: python -m inkbasin.cli COMMAND ... (scan, info, process, manifest, reextract, evaluate, compare_packages, compare, query)."""
 
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 
-from pyspark.sql import functions as F
-
-from inkbasin import providers
-from inkbasin.functions import jsonrepair as J
-from inkbasin.functions.classify import file_type, text_quality
-from inkbasin.functions.text import file_name, output_filename
-from inkbasin.operators import packages, reports, resume, routing
+from inkbasin.operators import extract, packages, routing
+from inkbasin.operators import process as whole
 from inkbasin.session import session
-from inkbasin.sources import files, sinks
+from inkbasin.sources import files
 
 
 def scan(spark, a):
@@ -20,35 +17,31 @@ def scan(spark, a):
     rows.write.mode("overwrite").json(a.out) if a.out else rows.select("filename", "extension", "size", "tier", "error").show(1000, False)
 
 
-def _routed(spark, path):
-    text = files.texts(spark, path).withColumn("type", file_type(F.col("path"))).filter("type in ('note', 'transcript', 'spreadsheet')")
-    return routing.routed(text)
+def info(spark, a):
+    """What a folder would cost by tier."""
+    routing.cost_by_tier(whole.folder_texts(spark, a.path)).orderBy("tier").show()
 
 
-def info(spark, a):
-    routing.cost_by_tier(_routed(spark, a.path)).orderBy("tier").show()
+def _prompt(a) -> dict:
+    return {"template": open(a.prompt_file).read() if a.prompt_file else whole.PROMPT, "own_prompt": bool(a.prompt_file)}
 
 
 def process(spark, a):
-    """Route, extract offline, write sidecars; with --dry-run only the cost."""
-    rows = _routed(spark, a.path) if not a.tier else routing.routed(files.texts(spark, a.path).withColumn("type", file_type(F.col("path"))), force=a.tier)
+    """Route, extract and write a package; with --dry-run only the cost."""
     if a.dry_run:
-        return routing.cost_by_tier(rows).orderBy("tier").show()
-    keyed = rows.withColumns({"key": F.col("path"), "doc_type": F.lit("general"), "overlay_fields": F.lit(""), "source_hash": F.sha2("text", 256)})
-    if not a.force and a.done:
-        keyed = resume.changed(keyed, spark.read.json(a.done).select("path", "source_hash"))
-    template = open(a.prompt_file).read() if a.prompt_file else "Extract title, summary and key points from a {doc_type} document."
-    asked = providers.prompts(keyed, template, context=a.context or "").select("key", "prompt", F.lit(a.model).alias("model"), F.lit(8192).alias("max_tokens"))
-    replies = providers.call(asked, a.provider, a.max_rpm).withColumn("v", J.parsed(F.col("text")))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    out = keyed.drop("text").join(replies.select("key", "error", *(J.field(F.col("v"), n).alias(n) for n in ("title", "summary"))), "key", "left")
-    sinks.write_sidecars(out.withColumn("name", output_filename(file_name(F.col("path")), now, F.col("source_hash"))), a.out)
+        return routing.cost_by_tier(whole.folder_texts(spark, a.path, a.tier)).orderBy("tier").show()
+    name = a.name or os.path.basename(files.absolute(spark, a.path).rstrip("/"))
+    whole.package_folder(spark, a.path, files.absolute(spark, a.out), name, force_tier=a.tier, model=a.model, provider=a.provider, context=a.context or "", **_prompt(a)).show(1000, False)
 
 
 def manifest(spark, a):
-    entries = files.manifest(spark, a.path)
-    todo = resume.checked(resume.pending(entries, files.status(spark, a.status), a.force), files.listing(spark, a.root))
-    todo.select("id", "path", "doc_type", "name", "error").show(1000, False)
+    """Extract what a manifest names and is not done yet, and show where its entries stand."""
+    whole.run_manifest(spark, a.path, a.root, a.status, a.out, a.force, model=a.model, provider=a.provider).orderBy("id").show(1000, False)
+
+
+def reextract(spark, a):
+    """Extract a package anew from its sources; the notes before go to its .history."""
+    whole.reextract(spark, a.path, model=a.model, provider=a.provider).show(1000, False)
 
 
 def _files(spark, root: str):
@@ -76,8 +69,14 @@ def compare_packages(spark, a):
 
 
 def compare(spark, a):
-    one = lambda p: files.report_slides(spark.read.text(p, wholetext=True).select(F.lit("r").alias("report"), F.col("value").alias("text")))
-    reports.slide_changes(one(a.old), one(a.new)).show(1000, False)
+    """Two folders of reports; with --fail-on-regression the exit code is 1 if one got worse."""
+    shown, verdicts = whole.compare_reports(spark, a.old, a.new)
+    shown.orderBy("report").show(1000, False)
+    verdicts.orderBy("report").show(1000, False)
+    for r in extract.comparison_note(verdicts, "report").toLocalIterator():
+        print(r.text)
+    if a.fail_on_regression and verdicts.filter("regressions > 0").take(1):
+        return 1
 
 
 def query(spark, a):
@@ -86,7 +85,7 @@ def query(spark, a):
     QUERIES[a.name](spark, a.data).show(a.rows, False)
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="inkbasin")
     commands = top.add_subparsers(required=True)
 
@@ -98,19 +97,21 @@ def main(argv: list[str] | None = None) -> None:
 
     flag = {"action": "store_true"}
     path = (["path"], {})
+    asked = ((["--model"], {"default": "rules"}), (["--provider"], {"default": "rules"}))
     command(scan, path, (["--out"], {}), (["--flat"], flag))
     command(info, path)
-    command(process, path, (["--out"], {"default": "extract"}), (["--dry-run"], flag), (["--tier"], {"type": int}), (["--force"], flag), (["--done"], {}), (["--prompt-file"], {}), (["--context"], {}), (["--model"], {"default": "rules"}), (["--provider"], {"default": "rules"}), (["--max-rpm"], {"type": int, "default": 0}))
-    command(manifest, path, (["--status"], {"default": "status"}), (["--root"], {"default": "."}), (["--force"], flag))
+    command(process, path, (["--out"], {"default": "extract"}), (["--dry-run"], flag), (["--name"], {}), (["--tier"], {"type": int}), (["--prompt-file"], {}), (["--context"], {}), *asked)
+    command(manifest, path, (["--status"], {"default": "status"}), (["--root"], {"default": "."}), (["--out"], {}), (["--force"], flag), *asked)
+    command(reextract, path, *asked)
     command(evaluate, path)
     command(compare_packages, (["old"], {}), (["new"], {}))
-    command(compare, (["old"], {}), (["new"], {}))
+    command(compare, (["old"], {}), (["new"], {}), (["--fail-on-regression"], flag))
     command(query, (["name"], {}), (["data"], {}), (["--rows"], {"type": int, "default": 20}))
     a = top.parse_args(argv)
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
-    a.run(spark, a)
+    return a.run(spark, a) or 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -33,9 +33,9 @@ def asked(texts: DataFrame, template: str, model: str, provider: Callable | str
     return joined.select("path", "name", "error", *(c.alias(k) for k, c in fields.items()))
 
 
-def extracted(texts: DataFrame, template: str, model: str, provider: Callable | str = "rules") -> DataFrame:
+def extracted(texts: DataFrame, template: str, model: str, provider: Callable | str = "rules", context: str = "") -> DataFrame:
     """texts (path, name, type, text, doc_type, tier): tier 1 locally, the rest by the provider, with defaults filled."""
-    both = asked(texts.filter("tier > 1"), template, model, provider).unionByName(local(texts.filter("tier = 1")), allowMissingColumns=True)
+    both = asked(texts.filter("tier > 1"), template, model, provider, context).unionByName(local(texts.filter("tier = 1")), allowMissingColumns=True)
     return with_defaults(both)
 
 
@@ -47,18 +47,19 @@ def facts_of(records: DataFrame, texts: DataFrame, as_of_year: int, source_date:
     return enriched(ready, as_of_year).drop("source_text", "reference", "ext", "max_pages")
 
 
-def package(records: DataFrame, facts: DataFrame | None, root: str, now: Column | None = None, history: str = "", **options) -> None:
+def package(records: DataFrame, facts: DataFrame | None, root: str, now: Column | None = None, history: str = "", unit: int = 2, **options) -> None:
     """Packages of records (package and an extraction's fields; operators/notes.py) as folders below root.
 
     facts: (path, fact, verification_status, anomalies), gathered to their record. Each package's `extract` folder is
-    replaced as a whole when all files are written; with `history` the one before is kept in the package's .history.
+    replaced as a whole when all files are written; with `history` the one before is kept in the package's .history. With
+    unit 0 files are put beside those that are there.
     """
     if facts is not None:
         item = F.struct("pos", "fact", "verification_status", "anomalies")
         own = facts.groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("_facts"))
         kept = F.transform("_facts", lambda f: F.struct(f["fact"].alias("fact"), f["verification_status"].alias("verification_status"), f["anomalies"].alias("anomalies")))
         records = records.drop("facts").join(own, "path", "left").withColumn("facts", kept).drop("_facts")
-    notes.write_files(notes.package_files(records, now, **options), root, unit=2, history=history)
+    notes.write_files(notes.package_files(records, now, **options), root, unit=unit, history=history)
 
 
 def comparison_note(verdicts: DataFrame, by: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -222,6 +223,36 @@ def report_slides(reports: DataFrame) -> DataFrame:
     return rows.select("report", "pos", F.trim(F.substring_index("part", "\n", 1)).alias("title"), explanation.alias("explanation"))
 
 
+class Reports(NamedTuple):
+    """The reports of a folder: slides (report, pos, title, explanation), lines (report, pos, line), counts (report, frames, questions), pairs (report, question, answer, category, source)."""
+
+    slides: DataFrame
+    lines: DataFrame
+    counts: DataFrame
+    pairs: DataFrame
+
+
+def report_folders(spark: SparkSession, root: str) -> Reports:
+    """Reports below a folder, one in each of its folders (report.md, knowledge.jsonl, frames/*.png), or the one in it.
+
+    Each report has a row of counts, without a file zero; lines of JSON that can't be read are left out. A missing
+    folder is an error.
+    """
+    found = listing(spark, root)
+    name = F.when(F.col("relative").rlike(r"^(report\.md|knowledge\.jsonl|metadata\.json|frames/[^/]+)$"), ".").otherwise(F.substring_index("relative", "/", 1))
+    inner = F.when(name == ".", F.col("relative")).otherwise(F.regexp_replace("relative", r"^[^/]+/", ""))
+    placed = found.select(name.alias("report"), inner.alias("inner"))
+    texts_ = _whole(spark, root).select(F.col("text"), F.when(F.col("relative").isin("report.md", "knowledge.jsonl"), ".").otherwise(F.substring_index("relative", "/", 1)).alias("report"), F.regexp_extract("relative", r"^(?:[^/]+/)?(report\.md|knowledge\.jsonl)$", 1).alias("file"))
+    marked = texts_.filter("file = 'report.md'").select("report", "text")
+    lines = marked.select("report", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    schema = "question string, answer string, category string, source string"
+    said = texts_.filter("file = 'knowledge.jsonl'").select("report", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
+    pairs = said.select("report", F.try_parse_json("line").alias("v")).filter("v IS NOT NULL").select("report", F.from_json(F.to_json("v"), schema).alias("q")).select("report", "q.*")
+    frames = placed.groupBy("report").agg(F.count_if(F.col("inner").rlike(r"^frames/[^/]+\.png$")).alias("frames"))
+    counts = frames.join(pairs.groupBy("report").agg(F.count("*").alias("questions")), "report", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
+    return Reports(report_slides(marked), lines, counts, pairs)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines without those that can't be read."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
