@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -114,19 +114,28 @@ def lean_groups(groups):
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of lineage that was cut off, now and not when the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own clean-up of the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Queries within leave no shuffle files behind; a stage that needs them again is run again by Spark."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
-    release(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # small row groups: a writer holds one in memory
-    df.write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

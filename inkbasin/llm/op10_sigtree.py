@@ -8,7 +8,7 @@ up to collisions of 64-bit hashes of shingles.
    n - ceil(0.8 n) + l hold l common ones. With l = n / 20, a class of which fewer of these shingles occur elsewhere
    than any partner asks for can't link and is dropped. Tasks drop repeated (shingle, class) rows before the shuffle,
    and the reader of a shingle's rows streams over them. Only the texts of classes that are left are shuffled: a bitmap
-   of 2^24 bits, which has the hashes of their rows and possibly some others, is broadcast for that.
+   of 2^24 to 2^27 bits, which has the hashes of their rows and possibly some others, is broadcast for that.
 3. Signature trees. Classes with a shingle in common meet in a cell, as bitmaps, by band of sizes (a partner's size is
    within 1.25, so a class is in the cells of two bands). There, a tree over them holds in each node the OR of the
    bitmaps below, the range of sizes and the largest number of shingles beyond one per bit. Two trees are walked
@@ -17,7 +17,8 @@ up to collisions of 64-bit hashes of shingles.
    pairs that remain are compared exactly. That takes two steps: bitmaps alone tell which members may link with one of
    another group, and only their texts come to the cell (to one of the cells that have the same of them), where groups grow as links are found, so that a large group of
    near copies costs about one comparison a member and no list of pairs ever leaves a cell. A cell of more than
-   `cell_rows` members or `cell_bytes` of bitmaps is split into a grid, so that every pair of members still meets in one.
+   `cell_rows` members, `cell_bytes` of bitmaps or eight times as much of text is split into a grid, so that every pair
+   of members still meets in one.
    First, each class is in the cells of its smallest shared shingle, then of the smallest by two other orders if other
    groups are there, which joins nearly all near copies to a group.
    Then classes that share enough with other groups are dealt anew. Shingles with the same members count as one, so that
@@ -41,13 +42,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import dropped, free_names, lean, release, row_keys, runs_of, small_batches, stored, table
+from inkbasin.llm.common import dropped, free_names, lean, row_keys, runs_of, small_batches, stored, table
 from inkbasin.llm.components import components
 from inkbasin.llm.shingles import mixed, shingle_sets
 
 FANOUT = 8
-#: Bits of the bitmap of rows whose texts are needed.
-SIFT = 1 << 24
+#: Bits of the bitmap of rows whose texts are needed: eight for each, between these two (32 MB of rows at most).
+SIFT = 1 << 24, 1 << 27
 
 
 def least_overlap(n: int) -> int:
@@ -150,37 +151,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["h", "k1", "first"])
 
 
-@lean
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, k1, label) sorted by h: of shingles that several groups share, each class with the number and a sum of hashes of all of them."""
-    for batch in _whole_runs(batches, "h"):
-        h, k, label = (batch[c].to_numpy() for c in ("h", "k1", "label"))
-        cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        m = np.diff(np.r_[cut, len(h)])
-        sig = np.add.reduceat(mixed(k.astype(np.uint64)), cut).astype(np.int64)
-        keep = np.repeat(np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut), m)
-        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(np.repeat(m, m)[keep]), pa.array(np.repeat(sig, m)[keep])], names=["k1", "m", "sig"])
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows sorted by key in tables that end where a key ends."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows, keys = pa.Table.from_batches([batch]), batch.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if held and held[0][key][0].as_py() != keys[0].item():
-            yield pa.concat_tables(held).combine_chunks()
-            held = []
-        if cut:
-            yield pa.concat_tables([*held, rows.slice(0, cut)]).combine_chunks()
-            held = []
-        held.append(rows.slice(cut))
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
 def band_of(n: int) -> int:
     """Sizes of partners lie in the same band or a neighbouring one."""
     return int(math.log(n) / math.log(1.25) + 1e-9)
@@ -207,7 +177,9 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = [band_of(len(s)) for s in sets]
             maps = [pa.array([bitmap(s, band_bits(b + up)).tobytes() for s, b in zip(sets, bands)], pa.binary()) for up in (0, 1)]
             k1, raw = (batch.column(c).slice(rows[0], len(rows)) for c in ("k1", "raw"))
-            yield pa.RecordBatch.from_arrays([k1, pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.int64()), *maps, raw], names=["k1", "n", "band", "own", "up", "raw"])
+            # a cell holds texts as well: eight bytes of text count as one of a bitmap
+            sizes = [max(len(up), len(text) // 8) for up, text in zip(maps[1].to_pylist(), texts)]
+            yield pa.RecordBatch.from_arrays([k1, pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.int64()), pa.array(sizes, pa.int64()), *maps, raw], names=["k1", "n", "band", "bytes", "own", "up", "raw"])
 
 
 class Forest:
@@ -416,9 +388,10 @@ def _cells(members: DataFrame, cell_rows: int, cell_bytes: int) -> DataFrame:
 
 def _sifted(raw: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of raw (_rid) that are in wanted (rep), and a few others: what a bitmap of SIFT bits lets through."""
-    bit = F.pmod(F.xxhash64("_rid"), F.lit(SIFT))
-    marks = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(SIFT)).alias("_bit")).groupBy((F.col("_bit") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_mask"))
-    met = raw.withColumn("_bit", bit).withColumn("_word", (F.col("_bit") / 64).cast("int")).join(F.broadcast(marks), "_word")  # at most SIFT / 64 rows
+    bits = min(SIFT[1], max(SIFT[0], 1 << (8 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("_rid"), F.lit(bits))
+    marks = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("_bit")).groupBy((F.col("_bit") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_mask"))
+    met = raw.withColumn("_bit", bit).withColumn("_word", (F.col("_bit") / 64).cast("int")).join(F.broadcast(marks), "_word")  # at most SIFT[1] / 64 rows of 12 bytes
     return met.filter("(_mask & shiftleft(1L, cast(_bit % 64 as int))) <> 0").select(*raw.columns)
 
 
@@ -441,8 +414,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cel
     need = F.greatest(F.lit(1), F.expr("((4 * n + 4) div 5) div 20"))
     open_ = stored(found.join(classes, "k1").filter((F.col("met") >= need) & F.col("key0").isNotNull()).select("k1", "rep", "key0", "key1", "key2"), "jaccard-open")
     texts = _sifted(raw, open_).join(open_.select("k1", F.col("rep").alias("_rid")).hint("merge"), "_rid").select("k1", "raw")
-    maps = stored(texts.mapInArrow(_maps, "k1 long, n long, band long, own binary, up binary, raw binary"), "jaccard-maps")
-    sized = maps.select("k1", "n", "band", F.octet_length("up").cast("long").alias("bytes"))
+    maps = stored(texts.mapInArrow(_maps, "k1 long, n long, band long, bytes long, own binary, up binary, raw binary"), "jaccard-maps")
+    sized = maps.select("k1", "n", "band", "bytes")
 
     def compared(members: DataFrame, name: str) -> DataFrame:
         """Links (a, b) between classes that meet in cells of members (key, k1, label, band, bytes)."""
@@ -463,8 +436,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cel
     labels = stored(sized.join(group, sized["k1"] == group["node"], "left").select("k1", "n", "band", "bytes", F.coalesce("component", "k1").alias("label")), "jaccard-labels")
 
     # what is shared with another group only; classes with too little of that are done
-    marks = shared.select("h", "k1").join(labels.select("k1", "label").hint("merge"), "k1").repartition("h").sortWithinPartitions("h")
-    marks = marks.mapInArrow(_spread, "k1 long, m long, sig long").repartition("k1")
+    # number, signature and labels of all classes of a shingle come from a window, which Spark spills where it is large
+    marks = shared.select("h", "k1").join(labels.select("k1", "label").hint("merge"), "k1")
+    all_ = Window.partitionBy("h")
+    marks = marks.select("k1", F.count("*").over(all_).alias("m"), F.bit_xor(F.xxhash64("k1")).over(all_).alias("sig"), F.min("label").over(all_).alias("low"), F.max("label").over(all_).alias("high"))
+    marks = marks.filter("low <> high").select("k1", "m", "sig").repartition("k1")
     # shingles with the same members are one; of all that it shares, a class may miss need - 1 with a partner
     owned = marks.groupBy("k1", "m", "sig").agg(F.count("*").alias("w"))
     owned = owned.withColumn("before", F.sum("w").over(Window.partitionBy("k1").orderBy("m", "sig")) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy("k1")))
@@ -474,7 +450,6 @@ def near_groups(spark: SparkSession, docs: DataFrame, cell_rows: int = 4096, cel
 
     joined = stored(components(near.unionAll(more)), "jaccard-joined")
     dropped(shared, maps)
-    release(spark)
     # components speak of classes; a group is named by the smallest row of its classes
     named = classes.join(joined, classes["k1"] == joined["node"]).select("k1", "k2", "rep", F.col("component").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least"))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import id_text, lean, lean_groups, partitions_for, release, small_batches, stored, table
+from inkbasin.llm.common import id_text, lean, lean_groups, partitions_for, small_batches, stored, table
 from inkbasin.llm.grams import KeyTable
 from inkbasin.llm.shingles import mixed, word_hashes
 
@@ -454,7 +454,6 @@ def ctw_score(spark: SparkSession, docs: DataFrame, depth: int = 5, block_bytes:
     values = both.mapInArrow(_values(depth, sent, whole), "block long, kind byte, size int, keys binary, value binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     score = _score_block(depth, math.log10((n_docs + 0.1) / whole), n_docs > 0, math.log10(0.5 / whole))
-    release(spark)
     result = texts.select("block", "doc_id", "held_out", "raw").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, out)
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 

@@ -14,7 +14,9 @@ id, or earlier in the same one. Strings never cross documents and are judged on
    the intervals of ever longer strings, and with them the longest common prefixes of neighbouring suffixes in order of
    increasing value. It stops at `least`: the neighbours left without a value share `least` symbols or more. Of every
    run of those, all but the earliest window are marked.
-   The windows of an anchor with more than `most_contexts` contexts are dealt by their content instead.
+   The windows of an anchor with more than `most_contexts` contexts, such as a licence line in very many texts, are dealt
+   by two hashes of their content instead: of equal ones a task sends the first and marks the others, so that a bucket
+   meets a row for each task, and its first row stays unmarked.
 3. The marks of a document are joined to its text once.
 
 Hashes have 64 bits. A null text is an empty one. Rows with equal ids count in the order of their texts, null ids last;
@@ -31,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import lean, lean_group, partitions_for, release, row_keys, small_batches, stored, table
+from inkbasin.llm.common import lean, lean_group, partitions_for, row_keys, small_batches, stored, table
 from inkbasin.llm.shingles import _BYTE, mixed, powers
 
 ANCHOR = 32
 _RUN = 4 << 20
 _TOP = np.uint64(0xFFFFFFFFFF000000)
 _SYMBOL = np.random.default_rng(7).permutation(_BYTE)  # one number per byte value, upper and lower case apart
+_SYMBOL_2 = np.random.default_rng(8).permutation(_BYTE)
+#: Of a window that is dealt by its content.
+WINDOW_BYTES = 48
 
 
 def _slices(batch: pa.RecordBatch, least: int):
@@ -151,26 +156,91 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(names, *(held[i] for i in (0, 2, 3, 4)))
 
 
+#: What a row is that goes to a bucket: a context with its bytes, the first of equal windows that a task has met, windows that start earlier elsewhere.
+CONTEXT, WINDOW, MARK = 0, 1, 2
+_DEALT = ["kind", "bucket", "rid", "lo", "n", "w1", "w2", "raw"]
+DEALT = "kind int, bucket long, rid long, lo long, n long, w1 long, w2 long, raw binary"
+#: Windows that a task remembers, of those that it met twice and of others, about 200 bytes each; beyond, it begins anew.
+MOST_SEEN = 1 << 18
+
+
+def _dealt(kind: int, bucket, rid, lo, n=None, w1=None, w2=None, raw=None) -> pa.RecordBatch:
+    rows = len(rid)
+    null = lambda t: pa.nulls(rows, t)
+    columns = [pa.array(x) if x is not None else null(pa.int64()) for x in (bucket, rid, lo, n, w1, w2)]
+    return _batch(_DEALT, pa.array(np.full(rows, kind, np.int32)), *columns, null(pa.binary()) if raw is None else pa.array(raw, pa.binary()))
+
+
+def windows(strings: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """Of every window of some strings: its string, its offset there and two hashes of its bytes."""
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    lengths = np.array([len(s) for s in strings], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    up, down = powers(len(text) + 1)
+    count = (lengths - least + 1).clip(0)
+    owner = np.repeat(np.arange(len(strings)), count)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = starts[owner] + offset
+    hashes = []
+    for symbol in (_SYMBOL, _SYMBOL_2):
+        run = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(symbol[text] * up[: len(text)], out=run[1:])
+        hashes.append(mixed((run[at + least] - run[at]) * down[at]).astype(np.int64))
+    return owner, offset, *hashes
+
+
 def _contexts(least: int, buckets: int):
-    """The bytes of contexts, dealt to buckets by anchor; window by window, by content, for anchors with very many."""
+    """Contexts with their bytes, dealt to buckets by anchor; those of anchors with very many as windows, by content.
+
+    Of equal windows a task sends the first and marks the others; one that is frequent is remembered over batches, so
+    that a bucket gets a row for each task of it and not for each document.
+    """
 
     @lean
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple[int, int]] = {}  # met twice
+        once: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in batches:
-            out: list = []
+            cold: list = []
+            rids, los, parts = [], [], []
             for raw, rid, own in zip(batch.column("raw").to_pylist(), batch.column("rid").to_pylist(), batch.column("own").to_pylist()):
                 for c in own:
+                    part = raw[c["lo"] : c["lo"] + c["n"] + least - 1]
                     if c["hot"]:
-                        for at in range(c["lo"], c["lo"] + c["n"]):
-                            window = raw[at : at + least]
-                            out.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little") % buckets, rid, at, window))
+                        rids.append(rid)
+                        los.append(c["lo"])
+                        parts.append(part)
                     else:
-                        out.append((c["h"] % buckets, rid, c["lo"], raw[c["lo"] : c["lo"] + c["n"] + least - 1]))
-                if len(out) > 20_000:
-                    yield _batch(["bucket", "rid", "lo", "raw"], *(pa.array(x) for x in zip(*out)))
-                    out = []
-            if out:
-                yield _batch(["bucket", "rid", "lo", "raw"], *(pa.array(x) for x in zip(*out)))
+                        cold.append((c["h"] % buckets, rid, c["lo"], part))
+            for a in range(0, len(cold), 20_000):
+                bucket, rid, lo, raw = zip(*cold[a : a + 20_000])
+                yield _dealt(CONTEXT, np.array(bucket), np.array(rid), np.array(lo), raw=raw)
+            for a in range(0, len(parts), 20_000):
+                yield from _hot(np.array(rids[a : a + 20_000]), np.array(los[a : a + 20_000]), parts[a : a + 20_000], seen, once)
+
+    def _hot(rids: np.ndarray, los: np.ndarray, parts: list[bytes], seen: dict, once: dict):
+        owner, offset, w1, w2 = windows(parts, least)
+        rid, lo = rids[owner], los[owner] + offset
+        order = np.lexsort((lo, rid, w2, w1))
+        rid, lo, w1, w2 = (x[order] for x in (rid, lo, w1, w2))
+        new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])] if len(rid) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        again = np.diff(np.r_[at, len(rid)]) > 1
+        mark = ~new
+        for i, frequent in zip(at.tolist(), again.tolist()):
+            key, place = (int(w1[i]), int(w2[i])), (int(rid[i]), int(lo[i]))
+            first = seen.get(key) or once.pop(key, None)
+            if first is not None and first < place:
+                mark[i] = True
+                place = first
+            to = seen if first is not None or frequent else once
+            if len(to) >= MOST_SEEN:
+                to.clear()
+            to[key] = place
+        keep = ~mark
+        yield _dealt(WINDOW, (w1[keep].astype(np.uint64) % np.uint64(buckets)).astype(np.int64), rid[keep], lo[keep], w1=w1[keep], w2=w2[keep])
+        r, start, n = _merged(rid[mark], lo[mark], np.ones(int(mark.sum()), np.int64))
+        yield _dealt(MARK, r % buckets, r, start, n)
 
     return contexts
 
@@ -246,11 +316,19 @@ def repeated_windows(strings: list[bytes], least: int) -> np.ndarray:
 def _expand(least: int):
     @lean_group
     def expand(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([("rid", "ascending"), ("lo", "ascending")])
-        rid, lo = bucket["rid"].to_numpy(), bucket["lo"].to_numpy()
-        found = repeated_windows(bucket["raw"].to_pylist(), least)
-        r, a, n = _merged(rid[found[:, 0]], lo[found[:, 0]] + found[:, 1], np.ones(len(found), np.int64))
-        return pa.table({"rid": r, "lo": a, "n": n})
+        kind = bucket["kind"].to_numpy()
+        of = lambda k: bucket.filter(pa.array(kind == k))
+        rows = of(CONTEXT).sort_by([("rid", "ascending"), ("lo", "ascending")])
+        rid, lo = rows["rid"].to_numpy(), rows["lo"].to_numpy()
+        found = repeated_windows(rows["raw"].to_pylist(), least) if len(rid) else np.zeros((0, 2), np.int64)
+        hot = of(WINDOW)
+        r, a, w1, w2 = (hot[c].to_numpy() for c in ("rid", "lo", "w1", "w2"))
+        order = np.lexsort((a, r, w2, w1))
+        later = order[1:][(w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])]
+        r, a = np.r_[rid[found[:, 0]], r[later]], np.r_[lo[found[:, 0]] + found[:, 1], a[later]]
+        r, a, n = _merged(r, a, np.ones(len(r), np.int64))
+        told = of(MARK)
+        return pa.table({c: np.r_[x, told[c].to_numpy()] for c, x in (("rid", r), ("lo", a), ("n", n))})
 
     return expand
 
@@ -276,11 +354,12 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, least: int = 100, most_
     judged = rows.repartition("h").sortWithinPartitions("mark", "h", "ctx", "rid", "lo").mapInArrow(_compare, "h long, rid long, lo long, n long")
     judged = stored(judged, "repeats-judged")
     open_ = judged.filter("h is not null")
-    size = open_.agg(F.sum(F.col("n") + least)).first()[0]
-    hot = open_.groupBy("h").count().filter(F.col("count") > most_contexts).select("h", F.lit(True).alias("hot"))
+    many = open_.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("n")).withColumn("hot", F.col("k") > most_contexts)
+    size = many.agg(F.sum(F.when(F.col("hot"), F.col("n") * WINDOW_BYTES).otherwise(F.col("n") + F.col("k") * least))).first()[0]
+    hot = many.filter("hot").select("h", "hot")
     own = open_.join(hot, "h", "left").groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("own"))
     texts = raw.join(own, raw["_rid"] == own["rid"]).select("rid", "raw", "own")
-    contexts = texts.mapInArrow(_contexts(least, partitions_for(size, bucket_bytes)), "bucket long, rid long, lo long, raw binary")
+    contexts = texts.mapInArrow(_contexts(least, partitions_for(size, bucket_bytes)), DEALT)
     more = contexts.groupBy("bucket").applyInArrow(_expand(least), "rid long, lo long, n long")
     return judged.filter("h is null").select("rid", "lo", "n").unionAll(stored(more, "repeats-expanded"))
 
@@ -313,7 +392,6 @@ def op9_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digests(spark: SparkSession, docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text, _rid)."""
     marks = repeated_bytes(spark, docs, least).groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
-    release(spark)
     raw = docs.select("_rid", F.col("text").cast("binary").alias("raw"))
     found = raw.join(marks, raw["_rid"] == marks["rid"], "left").select("_rid", "raw", "marks")
     found = found.mapInArrow(_cut(least), "_rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -513,6 +513,27 @@ def test_repeats(spark, docs, odd, none, hot, monkeypatch):
     assert op9_bwt.digests(spark, row_keys(none)).count() == 0
 
 
+def test_frequent_passage(spark, monkeypatch):
+    """A passage of many documents with different text around it: equal windows meet as a row for each task, not for each document."""
+    rng = random.Random(31)
+    passage = prose(rng, 40)[:180]
+    texts = [f"{prose(rng, 12)} {k} {passage} {k} {prose(rng, 12)}" for k in range(3000)] + [passage] * 3
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _rid long").repartition(8)
+    whole = op9_bwt.repeated_bytes
+    monkeypatch.setattr(op9_bwt, "repeated_bytes", lambda s, d, least=100: whole(s, d, least, most_contexts=100, bucket_bytes=20_000))
+    expected = brute_repeats([t.encode() for t in texts], 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op9_bwt.digests(spark, docs).collect()}
+    assert got == dict(enumerate(expected))
+    # the windows of the frequent passage that leave the tasks
+    import pyarrow as pa
+
+    own = [{"h": 1, "lo": 0, "n": len(t) - 99, "hot": True} for t in texts]
+    batches = [pa.RecordBatch.from_pylist([{"rid": i, "raw": texts[i].encode(), "own": [own[i]]} for i in range(a, a + 50)]) for a in range(0, 3000, 50)]
+    rows = [r for b in op9_bwt._contexts(100, 4)(iter(batches)) for r in b.to_pylist()]
+    times = Counter((r["w1"], r["w2"]) for r in rows if r["kind"] == op9_bwt.WINDOW)
+    assert max(times.values()) == 1 and sum(r["kind"] == op9_bwt.MARK for r in rows) >= 2999
+
+
 def test_interval_expansion():
     rng = random.Random(10)
     for least in (33, 40):
@@ -610,10 +631,6 @@ def test_runs_of():
     batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b, "i": i} for a, b, i in rows[x : x + 17]], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int64())])) for x in range(0, 200, 17)]
     expected = [[r[2] for r in group] for _, group in itertools.groupby(rows, lambda r: r[:2])]
     assert [t["i"].to_pylist() for t in runs_of(iter(batches), "a", "b")] == expected
-    whole = list(op10_sigtree._whole_runs(iter(batches), "a"))
-    assert [i for t in whole for i in t["i"].to_pylist()] == [r[2] for r in rows]
-    ends = [t["a"].to_pylist() for t in whole]
-    assert all(x[-1] != y[0] for x, y in zip(ends, ends[1:]))
     assert list(runs_of(iter([]), "a")) == []
 
 
