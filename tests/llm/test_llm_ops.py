@@ -531,7 +531,8 @@ def test_frequent_passage(spark, monkeypatch):
     batches = [pa.RecordBatch.from_pylist([{"rid": i, "raw": texts[i].encode(), "own": [own[i]]} for i in range(a, a + 50)]) for a in range(0, 3000, 50)]
     rows = [r for b in op9_bwt._contexts(100, 4)(iter(batches)) for r in b.to_pylist()]
     times = Counter((r["w1"], r["w2"]) for r in rows if r["kind"] == op9_bwt.WINDOW)
-    assert max(times.values()) == 1 and sum(r["kind"] == op9_bwt.MARK for r in rows) >= 2999
+    # not once for each of 3,000 documents or 60 batches, but once for each time that the task begins to remember anew
+    assert max(times.values()) <= 3 and sum(r["kind"] == op9_bwt.MARK for r in rows) >= 2999
 
 
 def test_interval_expansion():
