@@ -6,6 +6,7 @@ Calls run in mapInPandas with one client per task. A task may run again, so a pr
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -54,23 +55,44 @@ class RecordedProvider:
 
 
 _REGISTRY: dict[str, Callable[[], Provider]] = {"rules": RuleProvider}
+#: Environment variables that hold the keys of providers.
+_KEYS: dict[str, str] = {}
 
 
-def register(name: str, factory: Callable[[], Provider]) -> None:
+def register(name: str, factory: Callable[[], Provider], key: str | None = None) -> None:
+    """Make a provider known; key: the environment variable without which it can't be asked."""
     _REGISTRY[name] = factory
+    _KEYS.pop(name, None)
+    if key:
+        _KEYS[name] = key
 
 
-def get_provider(name: str) -> Provider:
+def first_available(*names: str) -> str:
+    """The first of some providers whose key is there; ValueError that names what is missing if there is none."""
+    for name in names:
+        get_provider_factory(name)
+        if name not in _KEYS or os.environ.get(_KEYS[name]):
+            return name
+    raise ValueError("no provider has its key: " + ", ".join(f"{n} needs {_KEYS[n]}" for n in names))
+
+
+def get_provider_factory(name: str) -> Callable[[], Provider]:
     if name not in _REGISTRY:
         raise ValueError(f"unknown provider: {name}")
-    return _REGISTRY[name]()
+    return _REGISTRY[name]
+
+
+def get_provider(name: str) -> Provider:
+    return get_provider_factory(name)()
 
 
-def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules", max_rpm: int = 0, attempts: int = 1, base: float = 2.0) -> DataFrame:
+def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules", max_rpm: float = 0, attempts: int = 1, base: float = 2.0, lanes: int = 1) -> DataFrame:
     """requests (key, prompt, model, max_tokens) -> replies; a failed call is a row with an error, never a failed job.
 
-    max_rpm: calls a minute of one task. attempts: a call that fails is tried again up to so many times in all, after
-    base, base squared, ... seconds; the last error stays.
+    max_rpm: calls a minute of the whole job, repeated ones included. It is dealt to `lanes` tasks that a barrier stage
+    starts together, each with its share and its own offset, so two calls never start closer than 60 / max_rpm seconds;
+    there must be room for so many tasks at once. Without a limit every task calls as fast as it can. attempts: a call
+    that fails is tried again up to so many times in all, after base, base squared, ... seconds; the last error stays.
     """
     make = (lambda p=provider: _REGISTRY[p]()) if isinstance(provider, str) else provider
     if isinstance(provider, str):
@@ -78,11 +100,13 @@ def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
+        wait = _lane(max_rpm, lanes) if max_rpm else lambda: None
         for rows in batches:
             out = []
             for r in rows.itertuples():
                 text = error = None
                 for attempt in range(1, max(1, attempts) + 1):
+                    wait()
                     try:
                         text, error = client.extract(r.prompt, r.model, int(r.max_tokens)), None
                         break
@@ -91,11 +115,33 @@ def call(requests: DataFrame, provider: Callable[[], Provider] | str = "rules",
                     if attempt < attempts:
                         time.sleep(base**attempt)
                 out.append((r.key, text, r.model, client.name, len(r.prompt) // 4, len(text or "") // 4, error))
-                if max_rpm:
-                    time.sleep(60 / max_rpm)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")])
 
-    return requests.select("key", "prompt", "model", "max_tokens").mapInPandas(run, REPLY)
+    asked = requests.select("key", "prompt", "model", "max_tokens")
+    return asked.repartition(lanes).mapInPandas(run, REPLY, barrier=True) if max_rpm else asked.mapInPandas(run, REPLY)
+
+
+def _lane(max_rpm: float, lanes: int) -> Callable[[], None]:
+    """Waits for this task's next turn: lane k of n has every n-th turn, counted from when all lanes have come together."""
+    from pyspark import BarrierTaskContext
+
+    context = BarrierTaskContext.get()
+    # the latest of the lanes' clocks, so that they count from one moment
+    begin = max(float(x) for x in context.allGather(str(time.time())))
+    turn = context.partitionId()
+
+    def wait() -> None:
+        nonlocal turn
+        now = time.time()
+        at = begin + turn * 60 / max_rpm
+        if at < now:  # turns that went by are lost, not saved up
+            missed = -int(-(now - at) // (lanes * 60 / max_rpm))
+            turn += missed * lanes
+            at = begin + turn * 60 / max_rpm
+        time.sleep(max(0.0, at - now))
+        turn += lanes
+
+    return wait
 
 
 def validated(requests: DataFrame, replies: DataFrame, second: Callable[[], Provider] | str, model: str) -> DataFrame:
