@@ -9,12 +9,12 @@ import sys
 from inkbasin.operators import extract, packages, routing
 from inkbasin.operators import process as whole
 from inkbasin.session import session
-from inkbasin.sources import files
+from inkbasin.sources import files, sinks
 
 
 def scan(spark, a):
     rows = files.scanned(spark, a.path, not a.flat).drop("preview")
-    rows.write.mode("overwrite").json(a.out) if a.out else rows.select("filename", "extension", "size", "tier", "error").show(1000, False)
+    sinks.write_scan(rows, a.out) if a.out else rows.select("filename", "extension", "size", "tier", "error").show(1000, False)
 
 
 def info(spark, a):

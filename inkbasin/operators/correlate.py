@@ -39,10 +39,21 @@ def file_groups(files: DataFrame) -> DataFrame:
     return grouped.select("prefix", F.get(paths, F.lit(0)).alias("primary"), F.array_sort(F.slice(paths, 2, F.greatest(F.size("all") - 1, F.lit(0)))).alias("related"))
 
 
-def single_group(files: DataFrame) -> DataFrame:
-    """Three files at most: one group named after its primary file, in title case."""
-    first = F.struct(primary_order(F.col("type")).alias("o"), "path", "name")
-    return files.agg(F.min(first).alias("p")).select(title_case(F.col("p.name")).alias("prefix"), F.col("p.path").alias("primary"))
+def correlated(files: DataFrame, few: int = 3) -> DataFrame:
+    """files (input, path, name, type; title where one was extracted): group, role (primary or related) and place of each.
+
+    An input of `few` files at most is one group, named by its primary file's title, or name, in title case. Else files
+    go by the prefix of their names, and a group has its primary file's title, its prefix or its name. The primary file
+    is the first by type, then by path. One row a file, so a group may be of any size.
+    """
+    named = files if "title" in files.columns else files.withColumn("title", F.lit(None).cast("string"))
+    sizes = files.groupBy("input").agg(F.count("*").alias("_files"))
+    rows = named.join(sizes, "input").withColumn("_few", F.col("_files") <= few).withColumn("_prefix", F.when(F.col("_few"), "").otherwise(stem_prefix(F.col("name"))))
+    order = Window.partitionBy("input", "_prefix").orderBy(primary_order(F.col("type")), "path")
+    title, name = (F.first(F.nullif(c, F.lit(""))).over(order) for c in (F.col("title"), F.col("name")))
+    group = F.when(F.col("_few"), title_case(F.coalesce(title, name))).otherwise(F.coalesce(title, F.nullif("_prefix", F.lit("")), name))
+    placed = rows.withColumns({"group": group, "place": F.row_number().over(order)})
+    return placed.withColumn("role", F.when(F.col("place") == 1, "primary").otherwise("related")).drop("_files", "_few", "_prefix")
 
 
 def session_candidates(files: DataFrame, least: float = 0.6) -> DataFrame:

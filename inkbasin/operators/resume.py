@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,10 @@ def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame, key: str = "id", order: str = "processed_at") -> DataFrame:
-    """The last entry of each key of an append-only status log."""
-    return log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+    """The last entry of each key of an append-only status log, of equal times the greatest; tasks send one row a key."""
+    whole = F.struct(*[c for c in log.columns if c != key])
+    rows = log.groupBy(key).agg(F.max_by(whole, F.struct(order, F.to_json(whole))).alias("_r"))
+    return rows.select(*(F.col(c) if c == key else F.col(f"_r.{c}") for c in log.columns))
 
 
 def duplicates(files: DataFrame, content: str = "text") -> DataFrame:

@@ -39,6 +39,8 @@ def _sql(name: str, where: str, text: str) -> str:
 
 _OLD = _sql("o", _KEPT, "text")
 _NEW = _sql("n", "doc_id % 7 > 0", "concat('## ', text, chr(10), '![a](b)')")
+_EVERY = _sql("n", "true", "concat('## ', text, chr(10), '![a](b)')")
+_TEXT = "concat('## ', coalesce(text, ''), '\\n![a](b)')"
 
 
 def _evaluated(spark, d, where: str, text: str):
@@ -53,15 +55,15 @@ def _old(spark, d):
 
 
 def _new(spark, d):
-    return _evaluated(spark, d, "doc_id % 7 > 0", "concat('## ', coalesce(text, ''), '\\n![a](b)')")
+    return _evaluated(spark, d, "doc_id % 7 > 0", _TEXT)
 
 
 @query(
-    f"WITH {_NEW} SELECT package, note, title, score, key_facts, specific, key_facts - specific AS generic, polarity_count, locator_count, has_overlay, populated, fresh, static, entities, chars, slide_coverage, list_filter([CASE WHEN key_facts = 0 THEN 'no facts' END, CASE WHEN round_even(specific / key_facts, 2) < 0.5 THEN 'generic facts' END,"
+    f"WITH {_EVERY} SELECT package, note, title, score, key_facts, specific, key_facts - specific AS generic, polarity_count, locator_count, has_overlay, populated, fresh, static, entities, chars, slide_coverage, list_filter([CASE WHEN key_facts = 0 THEN 'no facts' END, CASE WHEN round_even(specific / key_facts, 2) < 0.5 THEN 'generic facts' END,"
     " CASE WHEN chars < 2000 THEN 'low content' END, CASE WHEN depth = 'deep' AND NOT has_overlay THEN 'deep without overlay' END, CASE WHEN slide_coverage < 0.5 THEN 'low slide coverage' END], lambda i: i IS NOT NULL) AS issues FROM n"
 )
 def package_eval(spark, d):
-    return _new(spark, d).select("package", "note", "title", "score", "key_facts", "specific", "generic", "polarity_count", "locator_count", "has_overlay", "populated", "fresh", "static", "entities", "chars", "slide_coverage", "issues")
+    return _evaluated(spark, d, "true", _TEXT).select("package", "note", "title", "score", "key_facts", "specific", "generic", "polarity_count", "locator_count", "has_overlay", "populated", "fresh", "static", "entities", "chars", "slide_coverage", "issues")
 
 
 @query(

@@ -21,9 +21,13 @@ _W = S.WORDS.format(x="lower(text)")
 def word_jaccard(spark, d):
     from pyspark.sql import Window
 
+    # a source may hold a third of all rows: only ids are sorted by it, the words come by their ids
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    pairs = docs.select(F.lag("doc_id").over(w).alias("a"), F.col("doc_id").alias("b"), F.lag("w").over(w).alias("x"), F.col("w").alias("y")).filter("a is not null")
+    docs = table(spark, d, "documents")
+    pairs = docs.select(F.lag("doc_id").over(w).alias("a"), F.col("doc_id").alias("b")).filter("a is not null")
+    said = docs.select("doc_id", F.array_distinct(T.words(F.lower("text"))).alias("w"))
+    side = lambda n, name: said.select(F.col("doc_id").alias(n), F.col("w").alias(name))
+    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return pairs.select("a", "b", F.round(A.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 

@@ -33,9 +33,11 @@ def batch_requests(requests: DataFrame) -> DataFrame:
     return requests.select(F.to_json(F.struct("key", body.alias("request"))).alias("value"))
 
 
-def scan_result(scanned: DataFrame) -> DataFrame:
-    """value: one JSON text with date, count and all results, for small scans; large ones are written row by row."""
-    return scanned.agg(F.count("*").alias("total_files"), F.collect_list(F.struct(*scanned.columns)).alias("results")).select(F.to_json(F.struct(F.current_date().alias("scan_date"), "total_files", "results")).alias("value"))
+def write_scan(scanned: DataFrame, path: str) -> None:
+    """A scan below path: its rows as JSON lines in `results`, written by the tasks, and date and count in `summary`."""
+    scanned.write.mode("overwrite").json(f"{path}/results")
+    back = scanned.sparkSession.read.schema(scanned.schema).json(f"{path}/results")
+    back.agg(F.current_date().alias("scan_date"), F.count("*").alias("total_files")).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def archive(df: DataFrame, path: str, history: str) -> str:
