@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() applies them to the documents table and stores what each returns before the next reads it.
+
+Defined cases, in every stage: a null text has no language and goes with the first stage, as does one without a letter;
+an empty table passes through; texts are whole, however long. Rows with equal or null ids are rows of their own: of a
+group of near copies the row with the smallest id stays (nulls last, then by text), and of repeated rows one. Ties of
+sizes are broken by seeded hashes, so reruns agree. Columns besides those of documents are kept up to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -4,11 +4,14 @@ Detected entities get replacements that a key determines: the same value gets th
 other values get others (distinctness), and kind, gender, script and format stay.
 
 - Numbers and codes go through a keyed permutation of all strings of their format, a Feistel network over the
-  positions that may change: card numbers keep length, separators, issuer digit and a valid check digit, phone numbers
-  the country code and punctuation, addresses their public or private range, IBANs the country and a valid check
-  number, e-mail addresses and secrets the class of every character.
-- Names after a title, or a known given name with a family name, become a given name with an ending of the same gender
-  and a family name, both of syllables in the same script.
+  positions that may change: card numbers (long numbers with a valid check digit; others are none) keep length,
+  separators, issuer and a valid check digit, phone numbers the country code and punctuation, addresses their public or
+  private range, IBANs the country and a valid check number, e-mail addresses and secrets the class of every character.
+- Names after a title, or a known given name with a family name, become given names with an ending of the same gender
+  (a neutral one where nothing tells it) and a family name, of syllables in the same script. A name may have several
+  words, initials and particles, which stay, as do hyphens and apostrophes: each part has its own surrogate. Capitals
+  don't tell persons apart and are written as they were. Where a text has a family name, its other mentions in that text
+  that begin with a capital are replaced too, unless the text has the same word in small letters.
 
 Replacements are made where the text is, by computation alone. A table of the distinct values of the corpus is checked
 for collisions: two values with one replacement, or a replacement that is itself a value of the corpus (given and
@@ -41,27 +44,47 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora
 OTHER_TITLES = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Доктор")
 MALE = ("James", "Robert", "Michael", "David", "Thomas", "Daniel", "Matthew", "Andrew", "Hans", "Klaus", "Jürgen", "Pierre", "Jacques", "François", "Carlos", "José", "Javier", "Иван", "Сергей", "Дмитрий")
 FEMALE = ("Mary", "Patricia", "Jennifer", "Elizabeth", "Susan", "Sarah", "Karen", "Emily", "Ursula", "Greta", "Heidi", "Marie", "Camille", "Chloé", "Carmen", "Lucía", "Isabel", "Анна", "Мария", "Ольга")
-SYLLABLES = {"LATIN": ("ba", "den", "for", "gra", "hol", "kin", "lam", "mor", "nel", "pas", "ril", "sten", "tor", "ver", "wick", "zan"), "CYRILLIC": ("ба", "ден", "гор", "зар", "кин", "лом", "мир", "нел", "пар", "рил", "сте", "тор", "вер", "жан", "чик", "шин")}
+SYLLABLES = {"LATIN": ("ba", "den", "for", "gra", "hol", "kin", "lam", "mor", "nel", "pas", "ril", "sten", "tor", "ver", "wick", "zan"), "CYRILLIC": ("ба", "ден", "гор", "зар", "кин", "лом", "мир", "нел", "пар", "рил", "сте", "тор", "вер", "жан", "чик", "шин"), "GREEK": ("βα", "δεν", "γορ", "ζαρ", "κιν", "λομ", "μιρ", "νελ", "παρ", "ριλ", "στε", "τορ", "φερ", "χαν", "ψικ", "θιν")}
+PARTICLES = ("van", "der", "den", "de", "da", "di", "del", "della", "la", "le", "von", "zu", "zur", "al", "el", "bin", "ibn", "dos", "du", "ten", "ter")
 #: What given names end with, by script and gender.
-ENDINGS = {"LATIN": {"male": "o", "female": "a"}, "CYRILLIC": {"male": "ий", "female": "ия"}}
-_NAMES = ("male", "female", "family")
+ENDINGS = {"LATIN": {"male": "o", "female": "a", "given": "e"}, "CYRILLIC": {"male": "ий", "female": "ия", "given": "и"}, "GREEK": {"male": "ος", "female": "α", "given": "ι"}}
+_NAMES = ("male", "female", "given", "family")
 #: The attempt from which secrets and e-mail addresses get more characters than they had.
 LONGER = 8
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+def _ranges(of) -> str:
+    """The letters that `of` is true for as ranges of a character class."""
+    out, last = [], -2
+    for c in filter(lambda c: of(chr(c)), range(0x250 * 64)):
+        if c == last + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+        last = c
+    return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
+
+
+_UPPER, _LETTER = f"[{_ranges(str.isupper)}]", r"[^\W\d_]"
+#: A word of a name: O'Neil, Smith-Jones, SMITH.
+_WORD = rf"{_UPPER}(?:['’]{_UPPER})?{_LETTER}+(?:[-'’]{_LETTER}+)*"
+_INITIAL, _PARTICLE = rf"{_UPPER}\.", rf"(?:{'|'.join(PARTICLES)})"
+_HEAD = rf"(?:{_INITIAL} ?){{0,3}}(?:{_PARTICLE} ){{0,3}}{_WORD}"
+_TAIL = rf"(?: (?:{_INITIAL} ?){{0,2}}(?:{_PARTICLE} ){{0,3}}{_WORD})"
+#: After these the next capital needn't belong to the name, as nouns have capitals too.
+_GERMAN = ("Herr", "Frau", "Doktor")
 _PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?<=password=)\S+|(?<=passwd=)\S+|(?<=secret=)\S+|(?<=token=)\S+|(?<=api_key=)\S+|(?<=token = \")[^\"\n]+|(?<=secret = \")[^\"\n]+|(?<=password = \")[^\"\n]+|(?<=api_key = \")[^\"\n]+|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
+    "secret": r"(?<=password=)\S+|(?<=passwd=)\S+|(?<=secret=)\S+|(?<=token=)\S+|(?<=[Pp]assword: )(?=\S*\d)\S+|(?<=api_key=)\S+|(?<=token = \")[^\"\n]+|(?<=secret = \")[^\"\n]+|(?<=password = \")[^\"\n]+|(?<=api_key = \")[^\"\n]+|\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "card": r"(?<![\d+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
+    "card": r"(?<![\d+-])(?:3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|(?:[3-6]\d{3}|2[2-7]\d{2})(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
-    "name": rf"\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\b\.?[ ]{_CAPITAL}(?: {_CAPITAL})?|\b(?:{'|'.join(MALE + FEMALE)}) {_CAPITAL}",
+    "name": rf"\b(?:{'|'.join(_GERMAN)})\b\.? {_HEAD}{_TAIL}?|\b(?:{'|'.join(t for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES if t not in _GERMAN)})\b\.? {_HEAD}{_TAIL}{{0,2}}|\b(?:{'|'.join(MALE + FEMALE)}){_TAIL}",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: What any of them needs; texts without it aren't searched.
-_HINT = re.compile(r"[@\d=]|= \"|\b(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE + FEMALE) + r")\b")
+_HINT = re.compile(r"[@\d=]|assword: |= \"|\b(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE + FEMALE) + r")\b")
 _TITLE = re.compile(rf"(?P<title>{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\b\.? ")
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -109,7 +132,7 @@ def _luhn(digits: str) -> int:
 
 
 def _script(word: str) -> str:
-    return "CYRILLIC" if "Ѐ" <= word[0] <= "ӿ" else "LATIN"
+    return "CYRILLIC" if "Ѐ" <= word[0] <= "ӿ" else "GREEK" if "Ͱ" <= word[0] <= "Ͽ" or "ἀ" <= word[0] <= "῾" else "LATIN"
 
 
 def _more(key: bytes, tweak: str, value: str, n: int) -> str:
@@ -140,7 +163,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return ".".join(map(str, new))
     if kind == "card":
         valid = int(value[-1]) == _luhn(value[:-1])
-        new = _swap(key, f"{tweak}{valid}", value[:-1] if valid else value, {0})
+        new = _swap(key, f"{tweak}{valid}", value[:-1] if valid else value, {0, 1} if value[0] == "2" or len(value) == 15 else {0})
         return new + str(_luhn(new)) if valid else new
     if kind == "ssn":
         return _swap(key, tweak, value)
@@ -161,22 +184,30 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     return (out + ending).capitalize()
 
 
+def _parts(word: str) -> list[tuple[str, int, int]]:
+    """(canonical, start, end) of the parts of a word between hyphens and apostrophes; single letters stay."""
+    return [(m[0][0].upper() + m[0][1:].lower(), *m.span()) for m in re.finditer(rf"{_LETTER}+", word) if len(m[0]) > 1]
+
+
 def _tokens(kind: str, found: str):
     """(kind, canonical value, as it stands, how the replacement is written there), pieces of what was found."""
     if kind == "name":
         title = _TITLE.match(found)
-        words = found[title.end() :].split(" ") if title else found.split(" ")
         at = title.end() if title else 0
-        told = "male" if title and title["title"] in MALE_TITLES else "female" if title and title["title"] in FEMALE_TITLES else None
-        for i, w in enumerate(words):
-            given = "male" if w in MALE else "female" if w in FEMALE else None
-            own = given or (told if len(words) > 1 and i == 0 and told else "family")
-            yield own, w, at, at + len(w)
-            at += len(w) + 1
+        told = "male" if title and title["title"] in MALE_TITLES else "female" if title and title["title"] in FEMALE_TITLES else "given"
+        words = [m for m in re.finditer(rf"{_INITIAL}|{_WORD}", found[at:]) if m[0][-1] != "."]
+        for i, m in enumerate(words):
+            parts = _parts(m[0])
+            known = next((g for w, _, _ in parts for g, names in (("male", MALE), ("female", FEMALE)) if w in names), None)
+            own = known or ("family" if i == len(words) - 1 else told)
+            for w, a, b in parts:
+                yield own, w, at + m.start() + a, at + m.start() + b
     elif kind == "email":
         yield kind, found.lower(), 0, len(found)
     elif kind in ("card", "iban"):
-        yield kind, re.sub("[ -]", "", found), 0, len(found)
+        value = re.sub("[ -]", "", found)
+        if kind == "iban" or int(value[-1]) == _luhn(value[:-1]):  # other long numbers are no cards
+            yield kind, value, 0, len(found)
     elif kind == "phone":
         code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|", found)[0]
         yield kind, f"{code} {re.sub(r'[^0-9]', '', found[len(code) :])}", 0, len(found)
@@ -195,14 +226,32 @@ def _written(kind: str, found: str, new: str) -> str:
         code, _, national = new.partition(" ")
         rest = iter(national)
         return code + "".join(next(rest) if c.isdigit() else c for c in found[len(code) :])
-    return new
+    if kind in _NAMES and len(found) > 1 and not found[1:].islower():
+        return new.upper() if found.isupper() else new
+    return new.lower() if kind in _NAMES and found.islower() else new
 
 
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, canonical value, start, end) of all that is found, in the order of the text."""
     if not text or not _HINT.search(text):
         return []
-    return [(k, v, m.start() + a, m.start() + b) for m in _FIND.finditer(text) for k, v, a, b in _tokens(m.lastgroup, m.group())]
+    found = [(k, v, m.start() + a, m.start() + b) for m in _FIND.finditer(text) for k, v, a, b in _tokens(m.lastgroup, m.group())]
+    families = {v for k, v, _, _ in found if k == "family" and len(v) > 2}
+    if families:
+        families -= {w[0].upper() + w[1:] for w in re.findall(rf"{_LETTER}+", text) if w.islower()}
+    if not families:
+        return found
+    # other mentions: words with a capital that are in no entity
+    taken = iter([(a, b) for _, _, a, b in found] + [(len(text) + 1, len(text) + 1)])
+    a, b = next(taken)
+    more = []
+    for m in re.finditer(rf"(?<!\w){_UPPER}{_LETTER}+(?!\w)", text):
+        while b <= m.start():
+            a, b = next(taken)
+        value = m[0][0] + m[0][1:].lower()
+        if m.end() <= a and value in families:
+            more.append(("family", value, *m.span()))
+    return sorted(found + more, key=lambda e: e[2]) if more else found
 
 
 def replaced(text: str, key: bytes, attempts: dict) -> tuple[str, int]:
