@@ -219,7 +219,7 @@ def _prose(start: int, words: int) -> str:
     return " ".join(f"{w}." if i % 8 == 7 or i == words - 1 else w for i, w in enumerate(made)) + f" x{start}x"
 
 
-def labelled(pages: int = 64) -> list[tuple[list[float], float]]:
+def labelled(pages: int = 80) -> list[tuple[list[float], float]]:
     """The labelled table: FEATURES and label (1: main text) of the blocks of `pages` small pages that a rule makes.
 
     The rule goes through kinds of article (marked by an element, by a name, or not at all), what stands around it
@@ -257,8 +257,10 @@ def labelled(pages: int = 64) -> list[tuple[list[float], float]]:
             head = f"<div>{said(2 + k % 6, 0)}</div>"
             aside = f"<div><h3>{said(2 + k % 3, 0)}</h3><ul>" + "".join(f'<li><a href="/y">{said(3 + (k + i) % 7, 0)}</a></li>' for i in range(3)) + "</ul></div>" if k % 16 == 7 else ""
             foot += f"<div>{said(3 + k % 7, 0)}</div><div>{said(2 + k % 5, 0)}</div>"
-        title = f"<h1>{said(3 + k % 6, 1)}</h1>"
+        title = f"<h1>{said(1 + k % 7, 1)}</h1>"
         inner = comments if k % 4 < 2 and k % 2 else ""
+        if k % 8 == 7 and k % 3 != 1:  # nothing but the article
+            head = nav = ad = notice = aside = form = loose = comments = foot = inner = within = ""
         if k % 12 == 5:  # a page of links
             title = paragraphs = within = inner = comments = ""
         page = f"<html><head><title>t</title></head><body>{head}{nav}{ad}{notice}{open_}{title}{paragraphs}{within}{inner}{close}{aside}{form}{loose}{'' if inner else comments}{foot}</body></html>"

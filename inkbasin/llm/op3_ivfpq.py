@@ -55,14 +55,18 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Fitted centroids and codebooks. Slices and books are padded with zeros to one shape."""
+    """Fitted centroids and codebooks. Slices and books are padded with zeros to one shape.
 
-    def __init__(self, sample: np.ndarray, lists: int, parts: int, seed: int = 5):
+    The codebooks are fitted on the residuals of at most `codebook_rows` vectors, drawn by the seed from the sample.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, parts: int, seed: int = 5, codebook_rows: int = 8192):
         self.centroids = k_means(sample, lists, 10, seed)
         self.dim = sample.shape[1]
         self.parts = min(parts, self.dim)
         self.width = -(-self.dim // self.parts)
-        residual = self._sliced(sample - self.centroids[nearest(sample, self.centroids)[:, 0]])[:8192]
+        drawn = sample if len(sample) <= codebook_rows else sample[np.random.default_rng(seed).choice(len(sample), codebook_rows, replace=False)]
+        residual = self._sliced(drawn - self.centroids[nearest(drawn, self.centroids)[:, 0]])
         books = [k_means(residual[:, j], 256, 6, seed) for j in range(self.parts)]
         self.books = np.stack([np.concatenate([b, np.repeat(b[:1], 256 - len(b), 0)]) for b in books])
 

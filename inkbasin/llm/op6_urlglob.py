@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkbasin.llm.common import table
+from inkbasin.llm.common import small_batches, table
 
 MARK = 0xFF
 #: Rules of the query: (verdict, host, path).
@@ -119,6 +119,7 @@ def _judge(rules: list[tuple[str, str, str]], globs: list[str]):
 
 def judge_urls(pages: DataFrame, rules=None, globs=None) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url)."""
+    small_batches(pages.sparkSession)
     host, path = canonical()
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     judge = _judge(RULES if rules is None else rules, GLOBS if globs is None else globs)
