@@ -158,7 +158,7 @@ _INPUT = "CASE WHEN doc_id % 11 < 2 THEN concat('few', doc_id // 22) ELSE concat
 
 @query(
     f"WITH {FILES_SQL}, t AS (SELECT {_INPUT} AS input, path, {NAME} AS name, {S.FILE_TYPE} AS type, CASE WHEN doc_id % 4 = 0 THEN 'Title ' || doc_id WHEN doc_id % 4 = 1 THEN '' END AS title FROM files), "
-    "c AS (SELECT *, count(*) OVER (PARTITION BY input) <= 3 AS few, trim(lower(regexp_replace(name, '(?i)[_\-\s]*(slides|notes|transcript|audio|video|recording|deck|doc|docs)$', '')), '_- ') AS prefix FROM t), "
+    "c AS (SELECT *, count(*) OVER (PARTITION BY input) <= 3 AS few, trim(lower(regexp_replace(name, '(?i)[_\\-\\s]*(slides|notes|transcript|audio|video|recording|deck|doc|docs)$', '')), '_- ') AS prefix FROM t), "
     f"r AS (SELECT *, row_number() OVER w AS place, first_value(nullif(title, '')) OVER w AS t1, first_value(name) OVER w AS n1 FROM c WINDOW w AS (PARTITION BY input, CASE WHEN few THEN '' ELSE prefix END ORDER BY {_ORDER}, path)) "
     "SELECT input, path, CASE WHEN NOT few THEN coalesce(t1, nullif(prefix, ''), n1) WHEN t1 IS NOT NULL THEN t1 ELSE array_to_string(list_transform(regexp_extract_all(n1, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') END AS group, CAST(place AS INTEGER) AS place, CASE WHEN place = 1 THEN 'primary' ELSE 'related' END AS role FROM r"
 )
