@@ -3,7 +3,7 @@
 A page is cut at its block elements into a flat list of texts. Each has a few numbers: words and link density of itself,
 of the block before and of the block after it, whether it is a heading, and what the elements around it say (an article,
 a menu, a form, readers' comments). The tree is trained by Spark's DecisionTreeClassifier on the blocks of `labelled()`,
-some hundred rows that a rule makes from page layouts; its nodes, a few dozen, go to the tasks. Pages are rows that need
+a thousand rows or so that a rule makes from page layouts; its nodes, a few dozen, go to the tasks. Pages are rows that need
 no others, so there is no shuffle, and no text is cut.
 
 Null and empty pages, and pages without a main block, give the empty text. Repeated and null ids are rows like others.
@@ -219,7 +219,7 @@ def _prose(start: int, words: int) -> str:
     return " ".join(f"{w}." if i % 8 == 7 or i == words - 1 else w for i, w in enumerate(made)) + f" x{start}x"
 
 
-def labelled(pages: int = 80) -> list[tuple[list[float], float]]:
+def labelled(pages: int = 72) -> list[tuple[list[float], float]]:
     """The labelled table: FEATURES and label (1: main text) of the blocks of `pages` small pages that a rule makes.
 
     The rule goes through kinds of article (marked by an element, by a name, or not at all), what stands around it
