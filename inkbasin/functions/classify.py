@@ -47,7 +47,7 @@ def image_heavy(slides: Column, chars: Column) -> Column:
 
 
 def route_tier(path: Column, type_: Column, chars: Column, quality: Column, *, slides: Column | None = None, renderer: bool = False, force: int | None = None, error: Column | None = None, extractor: Column | None = None) -> Column:
-    """struct(tier, reason, cost): the cheapest way to read a file that is good enough."""
+    """struct(tier, reason, cost, model): the cheapest way to read a file that is good enough."""
     ext, count = extension(path), F.concat(F.lit(" ("), chars.cast("string"), F.lit(" chars)"))
     slides = F.lit(0) if slides is None else slides
     error = F.coalesce(error, F.lit("no text")) if error is not None else F.lit("no text")
@@ -68,7 +68,12 @@ def route_tier(path: Column, type_: Column, chars: Column, quality: Column, *, s
         good = F.concat(F.lit("good text extraction ("), chars.cast("string"), F.lit(" chars, "), extractor, F.lit(")"))
         tier = _first([(c, F.lit(t)) for c, t, _ in cases], F.lit(2))
         reason = _first([(c, r) for c, _, r in cases], good)
-    return F.struct(tier.cast("int").alias("tier"), reason.alias("reason"), tier_cost(tier).alias("cost"))
+    return F.struct(tier.cast("int").alias("tier"), reason.alias("reason"), tier_cost(tier).alias("cost"), tier_model(tier).alias("model"))
+
+
+def tier_model(tier: Column) -> Column:
+    """The model that a tier asks; null for the one that asks none."""
+    return _first([(tier == t, F.lit(m)) for t, m in rules.TIER_MODELS.items() if m], F.lit(None).cast("string"))
 
 
 def tier_cost(tier: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkbasin import providers
 from inkbasin.functions import jsonrepair as J
 from inkbasin.functions.records import reply_fields, with_defaults
+from inkbasin.functions.text import extension
 from inkbasin.operators import notes
 from inkbasin.operators.facts import enriched
 
@@ -40,10 +41,18 @@ def extracted(texts: DataFrame, template: str, model: str, provider: Callable |
 
 
 def facts_of(records: DataFrame, texts: DataFrame, as_of_year: int, source_date: Column | None = None) -> DataFrame:
-    """The key points of records as facts checked against their text: path, pos, fact, polarity, verification_status, anomalies."""
-    points = records.select("path", F.posexplode("key_points").alias("pos", "fact")).join(texts.select("path", F.col("text").alias("source_text")), "path")
+    """The facts of records checked against their text: path, pos, fact, locator, polarity, verification_status, anomalies.
+
+    Facts that a reply (`raw`) gives as objects, with the page, slide or section they name, else the key points.
+    """
+    none = F.array().cast("array<variant>")
+    given = F.coalesce(F.try_variant_get("raw", "$.facts", "array<variant>"), F.try_variant_get("raw", "$.base.facts", "array<variant>"), none) if "raw" in records.columns else none
+    objects = F.transform(given, lambda f: F.struct(F.coalesce(J.field(f, "fact"), J.field(f, "text"), F.lit("")).alias("fact"), F.coalesce(J.field(f, "page"), J.field(f, "slide"), J.field(f, "section")).alias("reference")))
+    points = F.transform("key_points", lambda p: F.struct(p.alias("fact"), F.lit(None).cast("string").alias("reference")))
+    said = F.when(J.is_object(F.get(given, F.lit(0))), objects).otherwise(points)
+    rows = records.select("path", F.posexplode(said).alias("pos", "f")).select("path", "pos", "f.fact", "f.reference").join(texts.select("path", F.col("text").alias("source_text")), "path")
     date = F.lit(None).cast("string") if source_date is None else source_date
-    ready = points.withColumns({"source_date": date, "reference": F.lit(None).cast("string"), "ext": F.lit(""), "max_pages": F.lit(0)})
+    ready = rows.withColumns({"source_date": date, "ext": extension(F.col("path")), "max_pages": F.lit(0)})
     return enriched(ready, as_of_year).drop("source_text", "reference", "ext", "max_pages")
 
 

@@ -15,6 +15,7 @@ from inkbasin.functions import jsonrepair as J
 from inkbasin.functions.arrays import dedupe, tags
 from inkbasin.functions.template import compiled
 from inkbasin.functions.text import file_name, links_line, output_filename, slashes, stem
+from inkbasin.operators.scores import record_quality
 from inkbasin.sources import filewriter
 
 #: Fields of a record with their types; what a record lacks is null, lists are empty.
@@ -30,7 +31,7 @@ _DEFAULTS = {"tokens_used": 0, "validation_result": "valid", "prompt_version": "
 
 
 def complete(records: DataFrame, now: Column) -> DataFrame:
-    """Records with all FIELDS, what notes derive from them, and the name of their files (file)."""
+    """Records with all FIELDS, what notes derive from them, and the name of their files (file). A score is counted where none is given."""
     out = {}
     for name, kind in FIELDS.items():
         c = F.col(name) if name in records.columns else F.lit(None).cast(kind)
@@ -43,6 +44,8 @@ def complete(records: DataFrame, now: Column) -> DataFrame:
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
     file = output_filename(file_name(F.col("path")), F.coalesce("freshness.extracted_at", stamp), F.coalesce("freshness.source_hash", F.lit("")))
     flagged = F.filter("facts", lambda f: f["verification_status"].isin("flagged_mismatch", "unverified") & (F.size(f["anomalies"]) > 0))
+    if "quality_score" not in records.columns:
+        rows = rows.withColumn("quality_score", record_quality(*(F.col(c) for c in ("key_facts", "facts", "overlay", "summary", "key_points", "entities_mentioned"))))
     return rows.withColumns({
         "source_file": slashes(F.col("path")), "date": F.substring(stamp, 1, 10), "now": stamp, "file": file, "flagged_facts": flagged, "links_line": links_line(F.col("topics"), F.col("products"), F.col("people")),
         "tags": tags(*(F.col(c) for c in ("products", "topics", "domains", "client", "doc_type", "source_type"))),

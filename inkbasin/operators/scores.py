@@ -16,6 +16,23 @@ def quality_score(specific: Column, facts: Column, verified: Column, overlay_fie
     return F.least(F.lit(100), total).cast("int")
 
 
+def record_quality(key_facts: Column, facts: Column, overlay: Column, summary: Column, key_points: Column, entities: Column) -> Column:
+    """The quality score of a record from its lists: key_facts (VARIANTs), facts (fact, verification_status), overlay (VARIANT).
+
+    Of key facts and facts the larger number of specific ones (30 characters or more) counts; verification is that of
+    the facts. The content is the summary and the points.
+    """
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    long_ = F.size(F.filter(key_facts, lambda v: F.length(text(v)) >= 30)), F.size(F.filter(facts, lambda f: F.length(f["fact"]) >= 30))
+    specific = F.greatest(*(F.greatest(n, F.lit(0)) for n in long_))
+    verified = F.size(F.filter(facts, lambda f: f["verification_status"] == "verified"))
+    points = F.aggregate(key_points, F.lit(0), lambda n, p: n + F.coalesce(F.length(p), F.lit(0)))
+    chars = F.coalesce(F.length(summary), F.lit(0)) + F.coalesce(points, F.lit(0))
+    fields = F.coalesce(F.size(F.map_keys(F.try_variant_get(overlay, "$", "map<string,variant>"))), F.lit(0))
+    some = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return quality_score(specific, some(facts), F.greatest(F.coalesce(verified, F.lit(0)), F.lit(0)), fields, chars, some(entities))
+
+
 def evaluator_score(n: DataFrame) -> Column:
     """Of a row with specific, has_overlay, populated, static, fresh, entities, topics, chars, images, version, has_polarity, has_locator."""
     c = F.col

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkbasin import rules
@@ -26,6 +26,28 @@ def lists(terms: DataFrame) -> DataFrame:
     return out.select("id", "kind", F.slice(F.transform("_l", lambda x: x["canonical"]), F.lit(1), cap).alias("terms"))
 
 
+def outcomes(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """records (id, title, summary) with the outcome of their terms (normalized): result, changes and unknown terms.
+
+    changes: `kind: term -> canonical` of each term that was renamed and `kind: term dropped` of each beyond the cap of
+    its kind, in order. quarantine: a record without a title or a summary; warnings: an unknown or a dropped term;
+    else valid.
+    """
+    cap = F.lit(2**31 - 1)
+    for kind, n in rules.CAPS.items():
+        cap = F.when(F.col("kind") == kind, n).otherwise(cap)
+    first = terms.groupBy("id", "kind", "canonical").agg(F.min("pos").alias("_at"))
+    placed = first.withColumn("_place", F.row_number().over(Window.partitionBy("id", "kind").orderBy("_at", "canonical"))).filter(F.col("_place") > cap)
+    dropped = placed.select("id", F.struct("kind", F.col("_at").alias("pos"), F.lit(1).alias("o"), F.concat("kind", F.lit(": "), "canonical", F.lit(" dropped")).alias("text")).alias("c"), F.lit(True).alias("warn"))
+    renamed = terms.filter("changed").select("id", F.struct("kind", "pos", F.lit(0).alias("o"), F.concat("kind", F.lit(": "), "term", F.lit(" -> "), "canonical").alias("text")).alias("c"), F.lit(False).alias("warn"))
+    log = dropped.unionAll(renamed).groupBy("id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["text"]).alias("changes"), F.bool_or("warn").alias("_warn"))
+    odd = terms.filter("unknown").groupBy("id").agg(F.count("*").alias("unknown"))
+    out = records.join(log, "id", "left").join(odd, "id", "left").withColumns({"changes": F.coalesce("changes", F.array().cast("array<string>")), "unknown": F.coalesce("unknown", F.lit(0))})
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    result = F.when(blank("title") | blank("summary"), "quarantine").when(F.coalesce("_warn", F.lit(False)) | (F.col("unknown") > 0), "warnings").otherwise("valid")
+    return out.withColumn("result", result).drop("_warn")
+
+
 def validated(tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """tags (id, tag) with valid and reason: unknown_prefix, unvalidated (not among the known values) or validated."""
     prefix, value = F.substring_index("tag", "/", 1), F.regexp_replace("tag", "^[^/]*/", "")

@@ -81,6 +81,18 @@ def taxonomy_caps(spark, d):
     return taxonomy.lists(_terms(spark, d))
 
 
+@query(
+    f"WITH {_TERMS}, r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN ' ' ELSE c_name END AS title, CASE WHEN c_custkey % 11 > 0 THEN c_name END AS summary FROM customer), f AS (SELECT id, kind, canonical, min(pos) AS pos FROM n GROUP BY ALL), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY pos, canonical) AS place FROM f), c AS (SELECT id, kind, pos, 0 AS o, kind || ': ' || term || ' -> ' || canonical AS t FROM n WHERE canonical <> term UNION ALL SELECT id, kind, pos, 1, kind || ': ' || canonical || ' dropped' FROM g WHERE place > 8), "
+    "l AS (SELECT id, string_agg(t, '; ' ORDER BY kind, pos, o, t) AS changes, max(o) AS dropped FROM c GROUP BY id), u AS (SELECT id, count(*) AS unknown FROM n WHERE unknown GROUP BY id) "
+    "SELECT r.id, coalesce(l.changes, '') AS changes, coalesce(u.unknown, 0) AS unknown, CASE WHEN trim(title) = '' OR summary IS NULL THEN 'quarantine' WHEN coalesce(dropped, 0) = 1 OR u.unknown > 0 THEN 'warnings' ELSE 'valid' END AS result FROM r LEFT JOIN l ON l.id = r.id LEFT JOIN u ON u.id = r.id"
+)
+def taxonomy_outcomes(spark, d):
+    i = F.col("c_custkey")
+    records = table(spark, d, "customer").select(i.alias("id"), F.when(i % 6 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.when(i % 11 > 0, F.col("c_name")).alias("summary"))
+    return taxonomy.outcomes(records, _terms(spark, d)).select("id", F.array_join("changes", "; ").alias("changes"), "unknown", "result")
+
+
 @query(f"WITH {_TERMS} SELECT DISTINCT kind, term FROM n WHERE unknown AND term <> 'new 1'")
 def review_terms(spark, d):
     unknown = _terms(spark, d).filter("unknown").select("kind", "term")

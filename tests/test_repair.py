@@ -5,7 +5,6 @@ import io
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from inkbasin.functions import csvtext

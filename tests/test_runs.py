@@ -4,7 +4,6 @@ import datetime
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from inkbasin import cli, providers
 from inkbasin.operators import process

@@ -209,3 +209,19 @@ def test_large_csv(spark, tmp_path):
     assert (big.row_count, big.headers, big.sample_rows) == (len(rows), rows[0], rows[1:4])
     assert (got["open.csv"].row_count, got["open.csv"].sample_rows) == (2, [["never closed\nc\n"]])
     assert (got["short.csv"].row_count, got["short.csv"].headers, got["short.csv"].sample_rows) == (1, ["only"], [])
+
+
+def test_facts_and_quality(spark):
+    """Facts of a reply as objects with places, else its points; the larger of two sources of specific facts."""
+    raw = '{"facts": [{"fact": "Uptime of 99 percent", "page": 3}, {"text": "Half of 40 units", "slide": "2"}, {"page": 1}]}'
+    records = spark.createDataFrame([("a.pdf", raw, ["p"]), ("b.txt", '{"facts": ["x"]}', ["Costs of 7 units"]), ("c.txt", None, None)], "path string, raw string, key_points array<string>").withColumn("raw", F.parse_json("raw"))
+    texts = spark.createDataFrame([("a.pdf", "99 percent and 40"), ("b.txt", "8"), ("c.txt", "")], "path string, text string")
+    got = [(r.path, r.pos, r.fact, r.verification_status) for r in extract.facts_of(records, texts, 2026).orderBy("path", "pos").collect()]
+    assert got == [("a.pdf", 0, "Uptime of 99 percent", "verified"), ("a.pdf", 1, "Half of 40 units", "verified"), ("a.pdf", 2, "", "verified"), ("b.txt", 0, "Costs of 7 units", "unverified")]
+    long = "A fact that says more than thirty characters."
+    row = ("p", "x", [long] * 3, [(long, "verified", []), ("short", "unverified", [])], '{"a": 1, "b": []}', "s" * 900, ["t" * 100], ["e"])
+    one = spark.createDataFrame([row], f"package string, path string, key_facts array<string>, facts {notes.FIELDS['facts']}, overlay string, summary string, key_points array<string>, entities_mentioned array<string>")
+    as_variants = lambda c: F.try_variant_get(F.parse_json(F.to_json(c)), "$", "array<variant>")
+    one = one.withColumns({"key_facts": as_variants("key_facts"), "entities_mentioned": as_variants("entities_mentioned"), "overlay": F.parse_json("overlay")})
+    # three specific facts, half verified, two overlay fields, a thousand characters, one entity
+    assert notes.complete(one, F.current_timestamp()).first().quality_score == 6 + 10 + 8 + 3 + 3
