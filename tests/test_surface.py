@@ -30,6 +30,42 @@ def test_nearest_frames(spark):
     assert got == {("r", 1): (2, 0.96), ("r", 2): (5, 0.12), ("s", 1): (None, None), ("r", 3): (None, None)}
 
 
+def test_nearest(spark):
+    """Against all pairs within: times that many share, ties on either side, nulls, repeated rows, intervals beside the time."""
+    rng = random.Random(7)
+    side = lambda n: [(rng.choice(["a", "b", None]), rng.randrange(n), None if i % 19 == 0 else rng.choice([rng.uniform(-40, 200), float(rng.randrange(60)), 1.7e9 + rng.randrange(40) / 10])) for i in range(n)]
+    left, right = side(90), side(150)
+    left, right = left + left[:5] + [("c", 1, 1.0)], right + right[:20] + [("d", 1, 1.0)]
+    df = lambda rows: spark.createDataFrame(rows, "by string, id int, at double")
+    for before, after, n in ((5, 10, 3), (0, 0, 2), (0.1, 0.2, 1), (-5, 20, 3), (20, -5, 3), (4000, 4000, 4), (-2, -2, 1)):
+        got = sorted(map(tuple, alignment.nearest(df(left), df(right), "by", "at", before, after, n, "id").select("by", "id", "at", "r_id", "r_at").collect()))
+        expected = []
+        for by, i, at in left:
+            near = [y for y in right if None not in (by, at, y[2]) and y[0] == by and at - before <= y[2] <= at + after]
+            expected += [(by, i, at, y[1], y[2]) for y in sorted(near, key=lambda y: (abs(at - y[2]), y[1]))[:n]]
+        near = lambda rows: sorted((by, i, at, r, abs(at - t)) for by, i, at, r, t in rows)
+        assert near(got) == near(expected) and (expected or before < 0)
+
+
+def made(plan) -> int:
+    """Most rows that a step of a plan that ran has made."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(made, below)])
+
+
+def test_nearest_frames_of_crowded_times(spark):
+    """Where all frames lie within reach of all slides, no step makes the pairs of them."""
+    slides = spark.range(400).selectExpr("'r' AS recording", "id AS slide", "cast(id % 40 AS double) AS at", "array('a') AS tags", "'x' AS text")
+    frames = spark.range(500).selectExpr("'r' AS recording", "id AS frame", "cast(id % 50 AS double) + 0.25 AS at", "array(if(id % 3 = 0, 'a', 'b')) AS tags", "'x' AS text")
+    found = alignment.nearest_frames(slides, frames, before=100, after=100)
+    got = {r.slide: r.frame for r in found.collect()}
+    # frames of one time are 50 apart, and the three smallest of the nearest time are scored
+    assert got == {i: next(f for f in (i % 40, i % 40 + 50, i % 40 + 100) if f % 3 == 0) for i in range(400)}
+    assert 400 <= made(found._jdf.queryExecution().executedPlan()) <= 10_000
+
+
 def test_keywords(spark):
     rules = spark.createDataFrame([("api", "REST API"), ("api", "endpoint"), ("sla", "uptime"), ("sla", "service level"), ("sla", "99.9%"), ("x", " "), ("api", "rest  api")], "category string, keyword string")
     order = spark.createDataFrame([("sla", 1), ("api", 2)], "category string, place int")
