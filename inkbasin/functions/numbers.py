@@ -46,6 +46,15 @@ def magnitude_ratio(a: Column, b: Column) -> Column:
     return F.when((a == 0) | (b == 0), F.lit(float("inf"))).otherwise(F.greatest(a, b) / F.least(a, b))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do it: its product with the power of ten to a whole number, half away from zero.
+
+    F.round goes by the digits that are shown, so that what lies a little under a half goes up.
+    """
+    scaled_up = value * 10.0**digits
+    return F.when(F.abs(scaled_up) < float("inf"), F.round(scaled_up, 0) / 10.0**digits).otherwise(value)
+
+
 def bound(value: Column, body) -> Column:
     """body(value) with the value computed once, however often the body refers to it within lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -44,8 +44,7 @@ def validation(fact: Column, source: Column, as_of_year: int) -> Column:
 
 def closest_ratio(fact: Column, source: Column) -> Column:
     """For the first number of a fact: how far off the closest number of the source is; null without numbers."""
-    first = F.get(numbers(fact), F.lit(0))
-    return F.array_min(F.transform(numbers(source), lambda b: magnitude_ratio(first, b)))
+    return bound(F.get(numbers(fact), F.lit(0)), lambda first: F.array_min(F.transform(numbers(source), lambda b: magnitude_ratio(first, b))))
 
 
 def enriched(facts: DataFrame, as_of_year: int) -> DataFrame:

@@ -59,7 +59,7 @@ def fact_status_counts(spark, d):
 @query(f"{_NUMS} SELECT id, round(list_min(list_transform(sn, lambda b: {S.ratio('fn[1]', 'b')})), 6) AS ratio FROM n WHERE len(fn) > 0")
 def fact_magnitude(spark, d):
     out = facts(spark, d).filter(F.size(N.numbers(F.col("fact"))) > 0)
-    return out.select("id", F.round(O.closest_ratio(F.col("fact"), F.col("source_text")), 6).alias("ratio"))
+    return out.select("id", N.rounded(O.closest_ratio(F.col("fact"), F.col("source_text")), 6).alias("ratio"))
 
 
 _OVER = f"list_transform(list_filter(list_transform(regexp_extract_all(fact, '(\\d[\\d,]*\\.?\\d*)\\s*%', 1), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE)), lambda v: v > 100 AND NOT {S.has_any('lower(fact)', rules.GROWTH_WORDS)}), lambda v: 'Percentage over 100%: ' || CAST(v AS VARCHAR) || '%')"

@@ -97,3 +97,29 @@ def test_dedup_by_the_rules(spark):
     assert sorted((r.session, r["rank"], r.fact, r.modality, r.conflict) for r in got) == [
         ("s", 1, "Costs fell by 40 percent in Europe", "both", False), ("s", 2, "Team has 12 engineers", "pptx", True), ("s", 3, "Team has 15 engineers", "mp4", True), ("s", 4, "Sales reached 900 units", "mp4", False), ("t", 1, "Team has 15 engineers", "mp4", False),
     ]
+
+
+def test_rounded(spark):
+    """As the SQL of fact_magnitude rounds: by the product, also where the digits shown end in a half."""
+    duckdb = pytest.importorskip("duckdb")
+    values = [(i * 1_000_000 + 500_000 + k * 1_000_000_000_000) / 1e12 for i in range(400) for k in range(4)] + [1.0211875, 2.0763125, 0.0, -1.0211875, 2.5e-7, 1e300, 4e15 + 0.5, float("inf"), -float("inf"), None]
+    values += [a / b for a, b in ((55_266_000 + i * 7, 54_119_000) for i in range(500))]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.x for r in frame.orderBy("i").select(N.rounded(F.col("v"), 6).alias("x")).collect()]
+    asked = duckdb.connect().execute("SELECT round(v, 6) FROM (SELECT unnest(range(len($1))) AS i, unnest($1::DOUBLE[]) AS v) ORDER BY i", [values])
+    assert got == [x for (x,) in asked.fetchall()]
+    assert any(x != v and abs(x - v) > 5e-7 for x, v in zip(got, values) if v is not None and abs(v) < 10)
+    assert math.isnan(one(spark, N.rounded(F.lit(float("nan")), 6)))
+
+
+def test_magnitudes_as_their_sql(spark, tmp_path):
+    """Rows of fact_magnitude whose ratio ends in a half at the seventh digit."""
+    duckdb = pytest.importorskip("duckdb")
+    from inkbasin.plans import registry
+
+    spark.range(10_000, 12_000).selectExpr("id * 6 AS o_orderkey", "id AS o_custkey", "cast(16000 + id % 1000 AS double) AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    mine = {r.id: r.ratio for r in registry.QUERIES["fact_magnitude"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    theirs = dict(con.execute(registry.ORACLE_SQL["fact_magnitude"]).fetchall())
+    assert len(mine) == 2000 and mine == theirs
