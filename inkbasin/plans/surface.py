@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkbasin import rules
 from inkbasin.functions import sqlsurface
+from inkbasin.functions.numbers import rounded
 from inkbasin.operators import alignment, keywords
 from inkbasin.plans.inputs import FACT, NAME, PATH, table
 from inkbasin.plans.register import registry
@@ -74,4 +75,4 @@ def nearest_frames(spark, d):
     slides = e.filter(_SLIDES).select("recording", "at", *side("slide", 4))
     frames = e.select("recording", (F.col("at") + F.col("event_id") % 5).alias("at"), *side("frame", 3))
     found = alignment.nearest_frames(slides, frames, before=600, after=1200, divisor=900)
-    return found.select("recording", "slide", "frame", F.round("score", 6).alias("score"))
+    return found.select("recording", "slide", "frame", rounded(F.col("score"), 6).alias("score"))
